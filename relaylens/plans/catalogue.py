@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from relaylens.plans import metric_queries  # noqa: F401
+from relaylens.plans import metric_queries, state_queries  # noqa: F401
 from relaylens.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "metrics_by_module"
