@@ -8,6 +8,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession, functions as F
+from pyspark.sql.types import StringType
 
 from relaylens.functions.regex import java
 
@@ -100,7 +101,7 @@ def snippet(text: Column, n: int = 120) -> Column:
     return F.translate(F.substring(text, 1, n), "\n", " ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from relaylens.plans import metric_queries, state_queries  # noqa: F401
+from relaylens.plans import (  # noqa: F401
+    metric_queries, routing_queries, state_queries, stream_queries, text_queries)
 from relaylens.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "metrics_by_module"

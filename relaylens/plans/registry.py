@@ -13,15 +13,19 @@ ORACLES: dict[str, str] = {}
 
 
 class Inputs:
-    """The tables of one scale factor, addressed as attributes."""
+    """The tables of one scale factor, addressed as attributes; ``live`` reads them as streams."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, streaming: bool = False):
+        self.spark, self.sf_dir, self._streaming = spark, sf_dir, streaming
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return views.view(self.spark, self.sf_dir, name)
+        return views.view(self.spark, self.sf_dir, name, self._streaming)
+
+    @property
+    def live(self) -> Inputs:
+        return Inputs(self.spark, self.sf_dir, streaming=True)
 
 
 def query(key: str, oracle: str | None = None):

@@ -10,6 +10,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from relaylens.functions.pii import PII_PATTERNS
+from relaylens.functions.text import INJECTION_PATTERNS, LOOKALIKES
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -140,35 +143,164 @@ VIEWS = {
 }
 
 
+_ALL_PII = "|".join(f"(?:{p})" for _, p in PII_PATTERNS).replace("{", "{{").replace("}", "}}")
+_KIND = (r"CASE WHEN regexp_full_match({v}, '\d{{3}}-\d{{2}}-\d{{4}}') THEN 'SSN' "
+         r"WHEN contains({v}, '@') THEN 'EMAIL' "
+         r"WHEN regexp_full_match({v}, '(\d+\.){{3}}\d+') THEN 'IP_ADDR' ELSE 'PHONE' END")
+
+
+def duckdb_kind(value: str) -> str:
+    return _KIND.replace("{v}", value)
+
+
+def duckdb_token(value: str) -> str:
+    return (f"('[PII_' || ({duckdb_kind(value)}) || '_' "
+            f"|| substr(sha256({value}), 1, 8) || ']')")
+
+
+def duckdb_mask(text: str) -> str:
+    """Masking by one alternation, which equals the rule wherever patterns do not overlap."""
+    found, gaps = (f"{fn}({text}, '{_ALL_PII}')" for fn in
+                   ("regexp_extract_all", "string_split_regex"))
+    return (f"array_to_string(list_transform(range(1, len({gaps}) + 1), lambda i: {gaps}[i] || "
+            f"CASE WHEN i <= len({found}) THEN {duckdb_token(f'({found})[i]')} ELSE '' END), '')")
+
+
+def duckdb_scan(text: str) -> str:
+    """First injection pattern of a text, after replacing the look-alike letters."""
+    arms = " ".join(
+        "WHEN regexp_matches(t, '{}', 'i') THEN '{}'".format(
+            p.replace("{", "{{").replace("}", "}}"), name) for name, p in INJECTION_PATTERNS)
+    plain = LOOKALIKE_SQL.format(text=text)
+    return f"(SELECT CASE {arms} END FROM (SELECT {plain} AS t) AS one)"
+
+
+LOOKALIKE_SQL = "translate({{text}}, '{}', '{}')".format(
+    "".join(a for a, _ in LOOKALIKES), "".join(b for _, b in LOOKALIKES))
+
+# Views that only the reference SQL uses.
+REFERENCE_VIEWS = {
+    "message_texts": """
+        SELECT request_id, turn, role, 0 AS part, body AS text FROM {messages}
+        WHERE shape = 'string'
+        UNION ALL SELECT request_id, turn, role, 0, SUBSTR(body, 1, 40) FROM {messages}
+        WHERE shape = 'parts'
+        UNION ALL SELECT request_id, turn, role, 1, SUBSTR(body, 41) FROM {messages}
+        WHERE shape = 'parts'""",
+    "sources": """
+        SELECT 'doc-' || doc_id AS request_id, text FROM {documents}
+        UNION ALL SELECT 'page-' || page_id, html FROM {pages}""",
+    "found": f"""
+        SELECT request_id, ordinal, value, {duckdb_kind('value')} AS entity_type,
+               {duckdb_token('value')} AS token FROM (
+          SELECT request_id, UNNEST(f) AS value, UNNEST(range(0, len(f))) AS ordinal
+          FROM (SELECT request_id, regexp_extract_all(text, '{_ALL_PII}') AS f
+                FROM {{sources}}) a) b""",
+    "masked_sources": f"""
+        SELECT request_id, {duckdb_mask('text')} AS text FROM {{sources}}""",
+    "token_store": """
+        SELECT token, MIN(value) AS original_value, MIN(entity_type) AS entity_type,
+               MIN(request_id) AS request_id,
+               MAX(CASE WHEN request_id LIKE 'doc-%' THEN {at}'2024-01-31 12:00:00'
+                        ELSE {at}'2024-01-30 00:00:00' END) AS expires_at
+        FROM {found} GROUP BY token""",
+    "rule_pools": """
+        SELECT rule_model_name, pos, models[pos + 1] AS candidate_model, n,
+               scoring_metric, k, strategy
+        FROM (SELECT model_name AS rule_model_name, models, len(models) AS n,
+                     UNNEST(range(0, len(models))) AS pos,
+                     COALESCE(instance_config->>'$.scoring_metric', 'quality_cost_ratio')
+                       AS scoring_metric,
+                     CAST(COALESCE(instance_config->>'$.top_k', '1') AS INT) AS k,
+                     instance_config->>'$.selection_strategy' AS strategy
+              FROM (SELECT *, CAST(instance_config->'$.models' AS VARCHAR[]) AS models
+                    FROM {routing_rules} WHERE enabled AND module_name = 'quality') r) q""",
+    "pool_scores": """
+        SELECT p.*, w.score AS stored, GREATEST(COALESCE(w.score, 0.01), 0.01) AS score,
+               CASE WHEN contains(candidate_model, 'opus') THEN 15.0 ELSE 1.0 END AS cost,
+               COUNT(w.score) OVER (PARTITION BY rule_model_name) > 0 AS scored
+        FROM {rule_pools} p LEFT JOIN {weights} w USING (rule_model_name, candidate_model)""",
+    "draws": """
+        SELECT request_id, model_name,
+               CAST(CAST('0x' || substr(sha256(CAST(request_id AS VARCHAR)), 1, 13) AS BIGINT)
+                    AS DOUBLE) / 4503599627370496.0 AS u,
+               CAST(CAST('0x' || substr(sha256(request_id || '|explore'), 1, 13) AS BIGINT)
+                    AS DOUBLE) / 4503599627370496.0 AS u_explore
+        FROM {traffic}""",
+    "weighted_picks": """
+        SELECT request_id, COALESCE(
+          MIN_BY(candidate_model, pos) FILTER (through > u * total),
+          MAX_BY(candidate_model, pos)) AS target_model
+        FROM (SELECT d.request_id, d.u, p.candidate_model, p.pos,
+                     SUM(p.score) OVER (PARTITION BY d.request_id ORDER BY p.pos) AS through,
+                     SUM(p.score) OVER (PARTITION BY d.request_id) AS total
+              FROM {draws} d JOIN {pool_scores} p ON d.model_name = p.rule_model_name) x
+        GROUP BY request_id""",
+    "cold_picks": """
+        SELECT request_id, COALESCE(
+          MIN_BY(candidate_model, pos) FILTER (through > u * total),
+          MAX_BY(candidate_model, pos)) AS target_model
+        FROM (SELECT d.request_id, d.u, p.candidate_model, p.pos,
+                     SUM(1 / p.cost) OVER (PARTITION BY d.request_id ORDER BY p.pos) AS through,
+                     SUM(1 / p.cost) OVER (PARTITION BY d.request_id) AS total
+              FROM {draws} d JOIN {pool_scores} p ON d.model_name = p.rule_model_name) x
+        GROUP BY request_id""",
+    "best_of_pool": """
+        SELECT *, ROW_NUMBER() OVER (PARTITION BY rule_model_name ORDER BY score DESC, pos) - 1
+                  AS place FROM {pool_scores}""",
+    "top_picks": """
+        SELECT d.request_id, p.candidate_model AS target_model
+        FROM {draws} d JOIN {best_of_pool} p ON d.model_name = p.rule_model_name
+         AND p.place = CAST(FLOOR(d.u * LEAST(2, p.n)) AS BIGINT)""",
+    "first_errors": """
+        SELECT model_key, CAST(ts AS DATE) AS day, MIN(ts) AS started
+        FROM {rate_limit_events} GROUP BY ALL""",
+    "chunk_pieces": """
+        SELECT request_id, seq, SUBSTR(text, seq * 16 + 1, 16) AS delta,
+               SUBSTR(text, 1, seq * 16 + 16) AS so_far, seq = last AS closing
+        FROM (SELECT request_id, text, (LENGTH(text) - 1) // 16 AS last,
+                     UNNEST(range(0, (LENGTH(text) - 1) // 16 + 1)) AS seq
+              FROM {masked_sources} WHERE contains(text, '[PII_')) p""",
+}
+
+
+_CONSTANTS = {"at": "TIMESTAMP", "pii_pattern": "|".join(f"(?:{p})" for _, p in PII_PATTERNS)}
+
+
 def _names(sql: str) -> list[str]:
-    return [n for n in re.findall(r"(?<!\{)\{(\w+)\}(?!\})", sql) if n != "at"]
+    return [n for n in re.findall(r"(?<!\{)\{(\w+)\}(?!\})", sql) if n not in _CONSTANTS]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, streaming: bool = False) -> DataFrame:
+    path = f"{sf_dir}/{name}.parquet"
+    static = spark.read.parquet(path)
+    if not streaming:
+        return static
+    # a file source rejects the plain path of a single file, but not a pattern
+    return spark.readStream.schema(static.schema).parquet(f"{path}*")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A shipped table or a derived view as a DataFrame."""
+def view(spark: SparkSession, sf_dir: str, name: str, streaming: bool = False) -> DataFrame:
+    """A shipped table or a derived view, over tables or over streams of them."""
     if name in TABLES:
-        return table(spark, sf_dir, name)
+        return table(spark, sf_dir, name, streaming)
     sql = VIEWS[name].replace("{at}", "TIMESTAMP_NTZ")
-    return spark.sql(sql, **{n: view(spark, sf_dir, n) for n in _names(sql)})
+    return spark.sql(sql, **{n: view(spark, sf_dir, n, streaming) for n in _names(sql)})
 
 
 def duckdb_sql(body: str) -> str:
     """``body`` with the views it names prepended as common table expressions."""
+    known = {**VIEWS, **REFERENCE_VIEWS}
     order: list[str] = []
 
     def need(sql: str) -> None:
         for name in _names(sql):
-            if name in VIEWS and name not in order:
-                need(VIEWS[name])
-                if name not in order:
-                    order.append(name)
+            if name in known and name not in order:
+                need(known[name])
+                order.append(name)
 
     need(body)
-    slots = {name: name for name in [*TABLES, *VIEWS]} | {"at": "TIMESTAMP"}
-    ctes = ", ".join(f"{name} AS ({VIEWS[name].format(**slots)})" for name in order)
+    slots = {name: name for name in [*TABLES, *known]} | _CONSTANTS
+    ctes = ", ".join(f"{name} AS ({known[name].format(**slots)})" for name in order)
     text = f"SELECT * FROM ({body.format(**slots)}) AS result"
     return f"WITH {ctes} {text}" if ctes else text
