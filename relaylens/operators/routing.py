@@ -152,16 +152,18 @@ def switchboard(requests: DataFrame, rules: DataFrame, module_configs: DataFrame
         F.when(~blocked, decided).alias("target_model"))
 
 
+def metric_target() -> Column:
+    return F.when(F.col("blocked"), F.lit("circuit_breaker_open")).otherwise(
+        F.coalesce("target_model", F.lit("default")))
+
+
 def decision_metrics(decisions: DataFrame) -> DataFrame:
     """The metric row of every request that had a rule."""
-    blocked = F.col("blocked")
+    opened = F.concat(F.lit("Circuit breaker "), "module_name", F.lit(" is OPEN"))
     return decisions.filter(F.col("module_name").isNotNull()).select(
-        "request_id", "ts", "model_name", "module_name",
-        F.when(blocked, F.lit("circuit_breaker_open"))
-        .otherwise(F.coalesce("target_model", F.lit("default"))).alias("target_model"),
-        (~blocked).alias("success"),
-        F.when(blocked, F.concat(F.lit("Circuit breaker "), "module_name", F.lit(" is OPEN")))
-        .alias("error_message"))
+        "request_id", "ts", "model_name", "module_name", metric_target().alias("target_model"),
+        (~F.col("blocked")).alias("success"),
+        F.when(F.col("blocked"), opened).alias("error_message"))
 
 
 class RouteRegistry:

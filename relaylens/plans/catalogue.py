@@ -6,7 +6,7 @@ from relaylens.plans import (  # noqa: F401
     metric_queries, routing_queries, state_queries, stream_queries, text_queries)
 from relaylens.plans.registry import ORACLES, QUERIES
 
-FLAGSHIP = "metrics_by_module"
+FLAGSHIP = "route_switchboard"
 
 
 def queries():

@@ -209,7 +209,7 @@ def model_cost(t):
     return quality.model_costs(models, column="model")
 
 
-_ROUTE_QUALITY = """
+ROUTE_QUALITY = """
     SELECT d.request_id,
            CASE WHEN NOT q.scored THEN c.target_model WHEN q.strategy = 'top_k' THEN k.target_model
                 ELSE w.target_model END AS target_model
@@ -220,7 +220,7 @@ _ROUTE_QUALITY = """
     JOIN {cold_picks} c USING (request_id)"""
 
 
-@query("route_quality", _ROUTE_QUALITY)
+@query("route_quality", ROUTE_QUALITY)
 def route_quality(t):
     matched = routing.match_rule(t.traffic, t.routing_rules).filter(
         F.col("module_name") == routing.QUALITY)
@@ -245,7 +245,7 @@ def candidates_filter(t):
         F.col("candidates") != "")
 
 
-def _quality_sql(metric):
+def quality_sql(metric, start="{at}'2024-01-14 12:00:00'", end="{at}'2024-01-15 12:00:00'"):
     return f"""SELECT candidate_model, '{metric}' AS scoring_metric, ROUND(CASE
         WHEN total IS NULL THEN 0.5
         WHEN '{metric}' = 'quality' THEN ok
@@ -255,15 +255,14 @@ def _quality_sql(metric):
       LEFT JOIN (SELECT target_model, COUNT(*) AS total,
                    AVG(CASE WHEN success THEN 1.0 ELSE 0.0 END) AS ok,
                    GREATEST(0, 1 - AVG(response_time_ms) / 1000 / 30) AS speed
-                 FROM {{routing_log}} WHERE ts > {{at}}'2024-01-14 12:00:00'
-                   AND ts <= {{at}}'2024-01-15 12:00:00' GROUP BY target_model) l
+                 FROM {{routing_log}} WHERE ts > {start} AND ts <= {end} GROUP BY target_model) l
         ON l.target_model = c.candidate_model"""
 
 
 METRICS = ("quality", "latency_quality_ratio", "quality_cost_ratio")
 
 
-@query("quality_score", " UNION ALL ".join(_quality_sql(m) for m in METRICS))
+@query("quality_score", " UNION ALL ".join(quality_sql(m) for m in METRICS))
 def quality_score(t):
     models = quality.rule_pools(t.routing_rules).select("candidate_model").distinct()
     pool = models.withColumn("scoring_metric", F.explode(F.array(*map(F.lit, METRICS))))
@@ -279,7 +278,7 @@ def quality_score(t):
              AS assessment_count
     FROM {{weights}} w FULL OUTER JOIN (
       SELECT p.rule_model_name, p.candidate_model, q.score FROM {{rule_pools}} p
-      JOIN ({' UNION ALL '.join(_quality_sql(m) for m in METRICS)}) q
+      JOIN ({' UNION ALL '.join(quality_sql(m) for m in METRICS)}) q
         USING (candidate_model, scoring_metric)) s USING (rule_model_name, candidate_model)""")
 def quality_cycle(t):
     after = quality.assessment_cycle(t.routing_rules, t.routing_log, t.weights, NOON)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from relaylens.operators import breaker, state
+from relaylens.operators import breaker, routing, state
 from relaylens.operators.pii import message_texts
 from relaylens.plans import frames, views
 from relaylens.plans.registry import query
+from relaylens.plans.routing_queries import METRICS, ROUTE_QUALITY, quality_sql
 from relaylens.plans.views import AS_OF, duckdb_mask, duckdb_scan
 from relaylens.session import scratch_path
 from relaylens.sources import schemas
@@ -114,6 +115,54 @@ def breaker_config(t):
     return breaker.breaker_config(t.routing_modules, t.breaker_configs)
 
 
+@query("route_switchboard", f"""{_LOG}
+    SELECT request_id, module_name, state_open AS blocked, CASE WHEN NOT state_open THEN target END
+             AS target_model,
+           CASE WHEN module_name IS NULL THEN NULL WHEN state_open THEN 'circuit_breaker_open'
+                ELSE COALESCE(target, 'default') END AS metric_target,
+           CASE WHEN module_name IS NULL THEN NULL ELSE NOT state_open END AS metric_success
+    FROM (
+      SELECT t.request_id, r.module_name,
+             COALESCE(b.state = 'open' AND epoch_us(t.ts) - epoch_us(b.last_failure_at)
+               < CAST(b.recovery AS BIGINT) * 1000000, false) AS state_open,
+             CASE r.module_name
+               WHEN 'free_tier' THEN CASE
+                 WHEN NOT EXISTS (SELECT 1 FROM {{rate_limit_events}} e
+                   WHERE e.model_key = t.model_name || '-free' AND (e.ts, e.event_id) < (t.ts, t.request_id)
+                     AND CAST(e.ts AS DATE) = CAST(t.ts AS DATE)) THEN t.model_name || '-free'
+                 WHEN r.instance_config LIKE '%"false"%' THEN NULL
+                 ELSE t.model_name || '-paid' END
+               WHEN 'prompt_length' THEN CASE WHEN r.instance_config LIKE '%model_over%'
+                 THEN CASE WHEN t.n <= 1500 THEN 'small' ELSE 'large' END END
+               WHEN 'quality' THEN q.target_model END AS target
+      FROM (SELECT x.request_id, x.ts, x.model_name, LENGTH(e.props) * 100 AS n
+            FROM {{traffic}} x JOIN {{events}} e ON e.event_id = x.request_id) t
+      LEFT JOIN {{routing_rules}} r ON r.model_name = t.model_name AND r.enabled
+      LEFT JOIN ({ROUTE_QUALITY}) q ON q.request_id = t.request_id
+      LEFT JOIN (SELECT CASE module_name WHEN 'module-0' THEN 'free_tier'
+                   WHEN 'module-1' THEN 'prompt_length' WHEN 'module-2' THEN 'quality' END AS module,
+                   state, last_failure_at, CASE WHEN module_name = 'module-1' THEN 60 ELSE 3600 END
+                     AS recovery FROM ({_STATUS}) z) b ON b.module = r.module_name) w""")
+def route_switchboard(t):
+    """All traffic through the chain; the breakers are those of the first three log modules."""
+    standing = breaker.status(_replay(t), breaker.breaker_config(
+        t.routing_log, t.breaker_configs))
+    named = standing.withColumn("module_name", F.when(
+        F.col("module_name") == "module-0", routing.FREE_TIER).when(
+        F.col("module_name") == "module-1", routing.PROMPT_LENGTH).when(
+        F.col("module_name") == "module-2", routing.QUALITY)).filter("module_name is not null")
+    requests = t.traffic.join(t.events.select(
+        F.col("event_id").alias("request_id"), (F.length("props") * 100).alias("prompt_length")),
+        "request_id")
+    decisions = routing.switchboard(requests, t.routing_rules, t.module_configs, t.weights,
+                                    t.rate_limit_events, named)
+    ruled = F.col("module_name").isNotNull()
+    return decisions.select(
+        "request_id", "module_name", "blocked", "target_model",
+        F.when(ruled, routing.metric_target()).alias("metric_target"),
+        F.when(ruled, ~F.col("blocked")).alias("metric_success"))
+
+
 @query("module_overview", f"""{_LOG}
     SELECT m.module_name, COALESCE(display_name, m.module_name) AS display_name,
            COALESCE(description, '') AS description, COALESCE(version, '1.0.0') AS version, enabled,
@@ -238,7 +287,15 @@ def stream_cooldown(t):
     return table.read()
 
 
-@query("stream_assess")
+_NEWEST = "(SELECT MAX(ts) FROM {routing_log})"
+
+
+@query("stream_assess", f"""
+    SELECT p.rule_model_name, p.candidate_model, q.score, {_NEWEST} AS last_assessed_at,
+           1 AS assessment_count
+    FROM {{rule_pools}} p JOIN ({' UNION ALL '.join(
+        quality_sql(m, f"{_NEWEST} - INTERVAL 1 DAY", _NEWEST) for m in METRICS)}) q
+      USING (candidate_model, scoring_metric)""")
 def stream_assess(t):
     weights = StateTable(t.spark, scratch_path(t.spark, "weights"), schemas.QUALITY_WEIGHTS)
     sinks.drain(jobs.assess_schedule(

@@ -71,7 +71,7 @@ def restore_chunks(chunks: DataFrame, store: DataFrame, as_of,
 class _ChunkProcessor(StatefulProcessor):
     """Holds per request the tail, the next expected chunk, and chunks that came too early."""
 
-    def __init__(self, idle_ms: int):
+    def __init__(self, idle_ms: int | None):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -112,12 +112,14 @@ class _ChunkProcessor(StatefulProcessor):
                     self.early.removeKey((upcoming,))
             if out:
                 yield self._rows(key, out)
-        self._clear_timers()
+        if self.idle_ms is not None:
+            self._clear_timers()
         if done:
             self.progress.clear()
             self.early.clear()
-        else:
-            self.progress.update((tail, upcoming))
+            return
+        self.progress.update((tail, upcoming))
+        if self.idle_ms is not None:
             now = timerValues.getCurrentProcessingTimeInMs()
             self.handle.registerTimer(now + self.idle_ms)
 
@@ -133,21 +135,31 @@ class _ChunkProcessor(StatefulProcessor):
         pass
 
 
-def release_stream(chunks: DataFrame, idle_minutes: float = 30) -> DataFrame:
-    """Streaming form of ``release``; needs the RocksDB state store."""
+def release_stream(chunks: DataFrame, idle_minutes: float | None = None) -> DataFrame:
+    """Streaming form of ``release``; needs the RocksDB state store.
+
+    With ``idle_minutes`` a response that stops without its last chunk is flushed. That needs
+    timers on the wall clock, which keep a query running, so a draining job leaves them out.
+    """
     schema = StructType([StructField("request_id", StringType()), StructField("seq", LongType()),
                          StructField("safe", StringType())])
+    idle_ms = None if idle_minutes is None else int(idle_minutes * 60_000)
     return (chunks.select("request_id", "seq", "delta", "finish_reason").groupBy("request_id")
             .transformWithStateInPandas(
-                statefulProcessor=_ChunkProcessor(int(idle_minutes * 60_000)),
-                outputStructType=schema, outputMode="Append", timeMode="ProcessingTime"))
+                statefulProcessor=_ChunkProcessor(idle_ms), outputStructType=schema,
+                outputMode="Append", timeMode="None" if idle_ms is None else "ProcessingTime"))
 
 
 def restore_stream(chunks: DataFrame, store: DataFrame, as_of, out: str, checkpoint: str,
                    idle_minutes: float = 30, every: str | None = None):
     """Each micro-batch of released text is restored against the token store."""
     def handle(batch: DataFrame, epoch: int) -> None:
-        restored = restore(batch, "safe", ["request_id", "seq"], store, as_of, into="delta")
-        write_batch(restored.select("request_id", "seq", "delta"), out, epoch)
-
-    return each_batch(release_stream(chunks, idle_minutes), checkpoint, handle, every=every)
+        batch.persist()
+        try:
+            restored = restore(batch, "safe", ["request_id", "seq"], store, as_of, into="delta")
+            write_batch(restored.select("request_id", "seq", "delta"), out, epoch)
+        finally:
+            batch.unpersist()
+
+    released = release_stream(chunks, idle_minutes if every else None)
+    return each_batch(released, checkpoint, handle, every=every)

@@ -49,9 +49,14 @@ def fan_out(stream: DataFrame, checkpoint: str,
     return each_batch(stream, checkpoint, handle, every=every)
 
 
-def drain(writer: DataStreamWriter) -> StreamingQuery:
+def drain(writer: DataStreamWriter, seconds: float | None = None) -> StreamingQuery:
+    """Start a draining query and wait for its end, at most ``seconds``."""
     query = writer.start()
-    query.awaitTermination()
+    if seconds is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(seconds):
+        query.stop()
+        raise TimeoutError(f"stream still running after {seconds} s")
     return query
 
 
