@@ -72,11 +72,12 @@ def _matches(text: Column, rank: int, entity_type: str, pattern: str) -> Column:
     return F.when(hinted, spans).otherwise(F.array().cast(f"ARRAY<{_SPAN}>"))
 
 
-def spans(text: Column) -> Column:
+def spans(text: Column, guarded: bool = True) -> Column:
     """Non-overlapping matches in text order.
 
     Every pattern is matched on its own; of overlapping matches the earlier start wins, and of
-    equal starts the earlier pattern.
+    equal starts the earlier pattern. Callers that have tested ``may_contain`` pass
+    ``guarded=False``.
     """
     every = F.array_sort(F.concat(*[
         _matches(text, rank, kind, p) for rank, (kind, p) in enumerate(PII_PATTERNS)]))
@@ -85,6 +86,8 @@ def spans(text: Column) -> Column:
         s["start"] >= acc["stop"],
         F.struct(s["stop"].alias("stop"), F.concat(acc["kept"], F.array(s)).alias("kept")),
     ).otherwise(acc))["kept"]
+    if not guarded:
+        return kept
     return F.when(may_contain(text), kept).otherwise(F.array().cast(f"ARRAY<{_SPAN}>"))
 
 
@@ -102,8 +105,8 @@ def replace_spans(text: Column, found: Column, digits: int = 8, key: str = "") -
 
 def mask(text: Column, digits: int = 8, key: str = "") -> Column:
     """The text with every match replaced by its token; clean texts cost one scan."""
-    return F.when(may_contain(text), replace_spans(text, spans(text), digits, key)
-                  ).otherwise(text)
+    return F.when(may_contain(text), replace_spans(
+        text, spans(text, guarded=False), digits, key)).otherwise(text)
 
 
 def mask_parts(parts: Column) -> Column:

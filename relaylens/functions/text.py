@@ -56,6 +56,35 @@ INJECTION_PATTERNS = [
      r"\b(?:base64|rot13|hex|morse|binary)\b.{0,80}\b(?:decode|encoded|encoded\s+as|cipher)\b"),
 ]
 
+# Words without which a pattern cannot match: of every group at least one must occur. A plain
+# search for them rules out most texts before any regular expression runs.
+PATTERN_WORDS = {
+    "override_ignore": [["instruction"]],
+    "new_instructions": [["instruction"]],
+    "override_instructions": [["override"]],
+    "extract_system_prompt": [["prompt", "instruction"]],
+    "leak_instructions": [["instruction"]],
+    "remove_restrictions": [["without"]],
+    "ignore_safety": [["ignore", "bypass", "disable", "remove", "turn"]],
+    "no_restrictions_persona": [["you"], ["restrict", "bound", "limited", "constrained"]],
+    "you_are_now": [["you"], ["now"]],
+    "developer_mode": [["developer"]],
+    "dan_mode": [["dan"], ["mode"]],
+    "jailbreak_explicit": [["jailbreak"]],
+    "do_anything_now": [["anything"]],
+    "true_self": [["your"], ["true"]],
+    "hidden_mode": [["secret", "hidden", "real", "true", "actual"],
+                    ["mode", "instruction", "programming", "training", "guideline"]],
+    "pretend_no_restrictions": [["pretend"]],
+    "act_as_unrestricted": [["act"], ["have", "bound", "with"]],
+    "control_tokens": [["<|"]],
+    "encoding_bypass": [["base64", "rot13", "hex", "morse", "binary"],
+                        ["decode", "encoded", "cipher"]],
+}
+
+# Letters that a case-blind match takes for an ASCII letter although lowering keeps them apart.
+CASE_ODDITIES = ("\u0130\u0131\u017f\u212a", "iisk")
+
 # Cyrillic and Greek letters and the Latin letters they look like.
 LOOKALIKES = [
     ("А", "A"), ("а", "a"), ("В", "B"), ("С", "C"), ("с", "c"),
@@ -65,10 +94,10 @@ LOOKALIKES = [
     ("ο", "o"), ("α", "a"), ("ε", "e"), ("ν", "v"),
 ]
 
-# Letters and marks that NFKC never changes, alone or next to each other: ASCII, Latin-1 and
-# Latin Extended-A letters, Greek, Cyrillic, kana, CJK ideographs, Hangul, quotes and dashes.
+# Beside ASCII, letters and marks that NFKC never changes, alone or next to each other: Latin-1
+# and Latin Extended-A, Greek, Cyrillic, kana, CJK ideographs, Hangul, quotes and dashes.
 NFKC_STABLE = (
-    r"\u0000-\u007f¡-§©«-®°±¶·»¿-ı"
+    r"¡-§©«-®°±¶·»¿-ı"
     r"Ĵ-ľŁ-ňŊ-žΑ-ΡΣ-ώЀ-҂"
     r"Ҋ-ԯ–—‘-„•、。ぁ-ゖァ-ヺ"
     r"一-鿿가-힣")
@@ -112,18 +141,35 @@ def normalise(text: Column) -> Column:
     Spark has no NFKC, so this one step runs in Python over Arrow batches. Rows made of
     characters that NFKC leaves alone send a null instead of their text.
     """
-    unstable = F.when(text.rlike(f"[^{NFKC_STABLE}]"), text)
+    # most characters are ASCII and leave the class at its first, cheap half
+    unstable = F.when(text.rlike(f"[[^\\x00-\\x7f]&&[^{NFKC_STABLE}]]"), text)
     letters = F.coalesce(_nfkc(unstable), text)
     return F.translate(letters, "".join(a for a, _ in LOOKALIKES),
                        "".join(b for _, b in LOOKALIKES))
 
 
-def first_match(text: Column, patterns: list[tuple[str, str]]) -> Column:
-    """Name of the first pattern found in an already normalised text; null when clean."""
+def folded(text: Column) -> Column:
+    """Lower case, such that a case-blind match of ASCII words becomes a plain search."""
+    return F.lower(F.translate(text, *CASE_ODDITIES))
+
+
+def first_match(text: Column, lowered: Column, patterns: list[tuple[str, str]]) -> Column:
+    """Name of the first pattern found in an already normalised text; null when clean.
+
+    ``lowered`` is ``folded(text)`` as a column of its own, so that it is computed once.
+    """
+    def found(name: str, pattern: str) -> Column:
+        hit = text.rlike(java(pattern, ignore_case=True))
+        for words in reversed(PATTERN_WORDS.get(name, [])):
+            likely = F.contains(lowered, F.lit(words[0]))
+            for word in words[1:]:
+                likely = likely | F.contains(lowered, F.lit(word))
+            hit = likely & hit
+        return hit
+
     if not patterns:
         return F.lit(None).cast("string")
-    return F.coalesce(*[F.when(text.rlike(java(p, ignore_case=True)), F.lit(name))
-                        for name, p in patterns])
+    return F.coalesce(*[F.when(found(name, p), F.lit(name)) for name, p in patterns])
 
 
 def custom_patterns(spark: SparkSession, raw: str) -> list[tuple[str, str]]:

@@ -13,12 +13,13 @@ def scan(df: DataFrame, column: str, extra: list[tuple[str, str]] = (),
          into: str = "pattern") -> DataFrame:
     """Name of the first pattern each text matches, null when clean.
 
-    The normalised text is a column of its own, so the patterns share one normalisation.
+    The normalised text and its lower-case form are columns, so the patterns share them.
     """
     patterns = [*text.INJECTION_PATTERNS, *extra]
     return (df.withColumn("_normalised", text.normalise(F.col(column)))
-            .withColumn(into, text.first_match(F.col("_normalised"), patterns))
-            .drop("_normalised"))
+            .withColumn("_lowered", text.folded(F.col("_normalised")))
+            .withColumn(into, text.first_match(F.col("_normalised"), F.col("_lowered"), patterns))
+            .drop("_normalised", "_lowered"))
 
 
 def detections(messages: DataFrame, roles: str = "user",

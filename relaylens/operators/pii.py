@@ -14,9 +14,15 @@ MASKED_CALLS = ("completion", "text_completion")
 
 
 def entities(df: DataFrame, text: str, *ids: str) -> DataFrame:
-    """One row per found entity, with its place and its token."""
+    """One row per found entity, with its place and its token.
+
+    The outer form of explode keeps Spark from testing the array's size in a filter below,
+    which would compute the spans a second time.
+    """
     hits = df.filter(pii.may_contain(F.col(text)))
-    return (hits.select(*ids, F.posexplode(pii.spans(F.col(text))).alias("ordinal", "span"))
+    found = pii.spans(F.col(text), guarded=False)
+    return (hits.select(*ids, F.posexplode_outer(found).alias("ordinal", "span"))
+            .filter(F.col("ordinal").isNotNull())
             .select(*ids, "ordinal", F.col("span.start").alias("start"),
                     F.col("span.stop").alias("stop"),
                     pii.token(F.col("span.entity_type"), F.col("span.value")).alias("token"),

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from relaylens.functions import pii, text
 from relaylens.operators import pii as pii_ops
+from relaylens.session import scratch_path
 from relaylens.sources import schemas
+from relaylens.sources.tables import spread
 
 DOC_CLOCK, PAGE_CLOCK = "2024-01-30 12:00:00", "2024-01-29 00:00:00"
 CHUNK = 16  # shorter than any token, so that every token is cut
@@ -39,17 +41,24 @@ def sources(t) -> DataFrame:
     pages = t.pages.select(
         F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("request_id"),
         F.col("html").alias("text"))
-    return docs.union(pages)
+    return spread(docs.union(pages), "request_id")
 
 
 def masked_sources(t) -> DataFrame:
     return sources(t).withColumn("text", pii.mask(F.col("text")))
 
 
+def written(t, frame: DataFrame, label: str) -> DataFrame:
+    """The frame as a table in the shared folder, for work that several steps read."""
+    path = scratch_path(t.spark, label)
+    frame.write.parquet(path)
+    return t.spark.read.parquet(path)
+
+
 def token_store(t) -> DataFrame:
     """Tokens of the documents, then those of the pages with an earlier expiry."""
     empty = t.spark.createDataFrame([], schemas.PII_TOKENS)
-    found = pii_ops.entities(sources(t), "text", "request_id")
+    found = written(t, pii_ops.entities(sources(t), "text", "request_id"), "entities")
     from_docs = F.col("request_id").startswith("doc-")
     store = pii_ops.store_upsert(empty, found.filter(from_docs), DOC_CLOCK)
     return pii_ops.store_upsert(store, found.filter(~from_docs), PAGE_CLOCK)

@@ -8,8 +8,10 @@ from relaylens.functions import pii, text
 from relaylens.operators import injection, pii as pii_ops
 from relaylens.plans import frames
 from relaylens.plans.registry import query
+from relaylens.sources.tables import spread
 from relaylens.plans.views import (AS_OF, LOOKALIKE_SQL, duckdb_mask, duckdb_scan, duckdb_token)
 
+# DuckDB's \b knows ASCII letters only, so the reference SQL spells out the second pattern's.
 CUSTOM = "\\bprompt\\s+zero\\b\n\n([unclosed\n\\bles?\\b\\s+\\bqueque\\b\n\\bof\\s+the\\b"
 
 
@@ -110,7 +112,7 @@ def pii_store_upsert(t):
                   WHERE expires_at > {{at}}'{AS_OF}') AS live
           FROM {{sources}}) s""")
 def pii_restore(t):
-    masked = frames.masked_sources(t)
+    masked = frames.written(t, frames.masked_sources(t), "masked")
     restored = pii_ops.restore(masked, "text", ["request_id"], frames.token_store(t), AS_OF)
     return restored.select("request_id", F.md5("text").alias("digest"))
 
@@ -156,7 +158,8 @@ def pii_purge(t):
 @query("inj_normalise", f"""
     SELECT doc_id, MD5({LOOKALIKE_SQL.format(text='text')}) AS digest FROM {{documents}}""")
 def inj_normalise(t):
-    return t.documents.select("doc_id", F.md5(text.normalise(F.col("text"))).alias("digest"))
+    docs = spread(t.documents.select("doc_id", "text"), "doc_id")
+    return docs.select("doc_id", F.md5(text.normalise(F.col("text"))).alias("digest"))
 
 
 @query("inj_scan", f"""
@@ -169,18 +172,20 @@ def inj_scan(t):
                               "text")
     messages = pii_ops.message_texts(frames.messages(t), "request_id", "turn").select(
         F.concat_ws("-", F.lit("msg"), "request_id", "turn", "part").alias("id"), "text")
-    return injection.scan(docs.union(messages), "text").select("id", "pattern")
+    return injection.scan(spread(docs.union(messages), "id"), "text").select("id", "pattern")
 
 
 @query("inj_scan_custom", f"""
     SELECT doc_id, COALESCE({duckdb_scan('text')},
       CASE WHEN regexp_matches(text, '\\bprompt\\s+zero\\b', 'i') THEN 'custom_0'
-           WHEN regexp_matches(text, '\\bles?\\b\\s+\\bqueque\\b', 'i') THEN 'custom_1'
+           WHEN regexp_matches(text, '(^|[^\\p{{{{L}}}}\\p{{{{N}}}}_])les?\\s+queque([^\\p{{{{L}}}}\\p{{{{N}}}}_]|$)',
+                               'i') THEN 'custom_1'
            WHEN regexp_matches(text, '\\bof\\s+the\\b', 'i') THEN 'custom_2' END) AS pattern
     FROM {{documents}}""")
 def inj_scan_custom(t):
     extra = text.custom_patterns(t.spark, CUSTOM)
-    return injection.scan(t.documents, "text", extra).select("doc_id", "pattern")
+    docs = spread(t.documents.select("doc_id", "text"), "doc_id")
+    return injection.scan(docs, "text", extra).select("doc_id", "pattern")
 
 
 _VERDICTS = f"""

@@ -23,6 +23,17 @@ def read_jdbc(spark: SparkSession, url: str, table: str, partition_column: str |
     return reader.options(**options).load()
 
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Give every core a share of a scan whose files cannot be split that far.
+
+    Meant for costly work per row, such as matching patterns in texts, right after a scan. A
+    scan with at least as many splits as there are cores, i.e. any large one, stays as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    splits = scan.rdd.getNumPartitions()  # planned, not run: a scan has no shuffle
+    return scan if splits >= cores else scan.repartition(cores, *keys)
+
+
 def persist_metrics(log: DataFrame, path: str, mode: str = "append") -> None:
     """Write metric rows partitioned by day.
 
