@@ -1,14 +1,15 @@
 """Finding personal data, replacing it by tokens, and the hold-back rule for streams.
 
-All functions are Catalyst expressions. They refer to the text several times and inside
-lambdas, so pass a plain column, not an expensive expression.
+All functions are Catalyst expressions, the long ones written as SQL because that builds them
+in one step. They refer to the text several times and inside lambdas, so ``text`` is the name
+of a column (or a field of a lambda variable), not an expression that costs anything.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from relaylens.functions.regex import java
+from relaylens.functions.regex import java, literal
 
 # Entity types and patterns, most specific first.
 PII_PATTERNS = [
@@ -32,7 +33,8 @@ _HINTS = {
     "IP_ADDR": r"\d\.\d{1,3}\.\d{1,3}\.\d",
 }
 
-_SPAN = "STRUCT<start: INT, rank: INT, stop: INT, value: STRING, entity_type: STRING>"
+_NO_SPANS = ("CAST(array() AS ARRAY<STRUCT<start: INT, rank: INT, stop: INT, value: STRING, "
+             "entity_type: STRING>>)")
 
 
 def token(entity_type: Column, value: Column, digits: int = 8, key: str = "") -> Column:
@@ -43,76 +45,74 @@ def token(entity_type: Column, value: Column, digits: int = 8, key: str = "") ->
                     F.substring(F.sha2(keyed, 256), 1, digits), F.lit("]"))
 
 
-def may_contain(text: Column) -> Column:
+def _may_contain(text: str) -> str:
+    return f"{text} RLIKE {literal(java('|'.join(_HINTS.values())))}"
+
+
+def may_contain(text: str) -> Column:
     """False only for texts without any personal data; one scan, meant as a guard."""
-    return text.rlike(java("|".join(_HINTS.values())))
+    return F.expr(_may_contain(text))
 
 
-def _matches(text: Column, rank: int, entity_type: str, pattern: str) -> Column:
+def _matches(text: str, rank: int, entity_type: str, pattern: str) -> str:
     """All matches of one pattern with code point offsets.
 
     The matches and the gaps between them alternate, so running lengths give the offsets.
     """
-    regex = java(pattern)
-    found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    pairs = F.zip_with(found, F.split(text, regex, -1),
-                       lambda value, gap: F.struct(value.alias("value"), gap.alias("gap")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"ARRAY<{_SPAN}>").alias("spans"))
-
-    def step(acc, pair):
-        begin = acc["at"] + F.length(pair["gap"])
-        stop = begin + F.length(pair["value"])
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"),
-                        pair["value"].alias("value"), F.lit(entity_type).alias("entity_type"))
-        return F.when(pair["value"].isNull(), acc).otherwise(
-            F.struct(stop.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans")))
-
-    spans = F.aggregate(pairs, start, step)["spans"]
-    hinted = text.rlike(java(_HINTS[entity_type]))
-    return F.when(hinted, spans).otherwise(F.array().cast(f"ARRAY<{_SPAN}>"))
-
-
-def spans(text: Column, guarded: bool = True) -> Column:
+    regex = literal(java(pattern))
+    begin = "acc.at + length(pair.gap)"
+    stop = f"{begin} + length(pair.value)"
+    span = (f"named_struct('start', {begin}, 'rank', {rank}, 'stop', {stop}, "
+            f"'value', pair.value, 'entity_type', '{entity_type}')")
+    return f"""CASE WHEN {text} RLIKE {literal(java(_HINTS[entity_type]))} THEN aggregate(
+        zip_with(regexp_extract_all({text}, {regex}, 0), split({text}, {regex}, -1),
+                 (value, gap) -> named_struct('value', value, 'gap', gap)),
+        named_struct('at', 0, 'spans', {_NO_SPANS}),
+        (acc, pair) -> CASE WHEN pair.value IS NULL THEN acc ELSE named_struct(
+            'at', {stop}, 'spans', concat(acc.spans, array({span}))) END,
+        acc -> acc.spans) ELSE {_NO_SPANS} END"""
+
+
+def _spans(text: str) -> str:
+    every = ", ".join(_matches(text, rank, kind, p) for rank, (kind, p) in enumerate(PII_PATTERNS))
+    return f"""aggregate(array_sort(concat({every})),
+        named_struct('stop', -1, 'kept', {_NO_SPANS}),
+        (acc, s) -> CASE WHEN s.start >= acc.stop
+            THEN named_struct('stop', s.stop, 'kept', concat(acc.kept, array(s))) ELSE acc END,
+        acc -> acc.kept)"""
+
+
+def spans(text: str, guarded: bool = True) -> Column:
     """Non-overlapping matches in text order.
 
     Every pattern is matched on its own; of overlapping matches the earlier start wins, and of
     equal starts the earlier pattern. Callers that have tested ``may_contain`` pass
     ``guarded=False``.
     """
-    every = F.array_sort(F.concat(*[
-        _matches(text, rank, kind, p) for rank, (kind, p) in enumerate(PII_PATTERNS)]))
-    start = F.struct(F.lit(-1).alias("stop"), F.array().cast(f"ARRAY<{_SPAN}>").alias("kept"))
-    kept = F.aggregate(every, start, lambda acc, s: F.when(
-        s["start"] >= acc["stop"],
-        F.struct(s["stop"].alias("stop"), F.concat(acc["kept"], F.array(s)).alias("kept")),
-    ).otherwise(acc))["kept"]
-    if not guarded:
-        return kept
-    return F.when(may_contain(text), kept).otherwise(F.array().cast(f"ARRAY<{_SPAN}>"))
-
-
-def replace_spans(text: Column, found: Column, digits: int = 8, key: str = "") -> Column:
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    found = _spans(text)
+    return F.expr(f"CASE WHEN {_may_contain(text)} THEN {found} ELSE {_NO_SPANS} END"
+                  if guarded else found)
 
-    def step(acc, s):
-        return F.struct(s["stop"].alias("at"), F.concat(
-            acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]),
-            token(s["entity_type"], s["value"], digits, key)).alias("out"))
 
-    return F.aggregate(found, start, step, lambda acc: F.concat(
-        acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+def _mask(text: str, digits: int = 8, key: str = "") -> str:
+    keyed = f"concat({literal(key)}, s.value)" if key else "s.value"
+    replaced = f"""aggregate({_spans(text)}, named_struct('at', 0, 'out', ''),
+        (acc, s) -> named_struct('at', s.stop, 'out', concat(
+            acc.out, substring({text}, acc.at + 1, s.start - acc.at), '{TOKEN_MARK}',
+            s.entity_type, '_', substring(sha2({keyed}, 256), 1, {digits}), ']')),
+        acc -> concat(acc.out, substring({text}, acc.at + 1)))"""
+    return f"CASE WHEN {_may_contain(text)} THEN {replaced} ELSE {text} END"
 
 
-def mask(text: Column, digits: int = 8, key: str = "") -> Column:
+def mask(text: str, digits: int = 8, key: str = "") -> Column:
     """The text with every match replaced by its token; clean texts cost one scan."""
-    return F.when(may_contain(text), replace_spans(
-        text, spans(text, guarded=False), digits, key)).otherwise(text)
+    return F.expr(_mask(text, digits, key))
 
 
-def mask_parts(parts: Column) -> Column:
+def mask_parts(parts: str) -> Column:
     """Text parts masked; other parts and missing texts untouched."""
-    return F.transform(parts, lambda p: p.withField(
-        "text", F.when(p["type"] == "text", mask(p["text"])).otherwise(p["text"])))
+    return F.expr(f"""transform({parts}, p -> named_struct('type', p.type, 'text',
+        CASE WHEN p.type = 'text' THEN {_mask('p.text')} ELSE p.text END))""")
 
 
 def tokens_in(text: Column, digits: int = 8) -> Column:

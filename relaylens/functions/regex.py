@@ -14,3 +14,9 @@ _BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 def java(pattern: str, ignore_case: bool = False) -> str:
     flags = "(?iuUd)" if ignore_case else "(?Ud)"
     return flags + pattern.replace(r"\b", _BOUNDARY).replace(r"\s", r"[\s\x1c-\x1f]")
+
+
+def literal(text: str) -> str:
+    """A Spark SQL string literal."""
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession, functions as F
 from pyspark.sql.types import StringType
 
-from relaylens.functions.regex import java
+from relaylens.functions.regex import java, literal
 
 logger = logging.getLogger(__name__)
 
@@ -153,23 +153,18 @@ def folded(text: Column) -> Column:
     return F.lower(F.translate(text, *CASE_ODDITIES))
 
 
-def first_match(text: Column, lowered: Column, patterns: list[tuple[str, str]]) -> Column:
+def first_match(text: str, lowered: str, patterns: list[tuple[str, str]]) -> Column:
     """Name of the first pattern found in an already normalised text; null when clean.
 
-    ``lowered`` is ``folded(text)`` as a column of its own, so that it is computed once.
+    ``text`` and ``lowered`` (its ``folded`` form) are column names, so both are computed once.
     """
-    def found(name: str, pattern: str) -> Column:
-        hit = text.rlike(java(pattern, ignore_case=True))
-        for words in reversed(PATTERN_WORDS.get(name, [])):
-            likely = F.contains(lowered, F.lit(words[0]))
-            for word in words[1:]:
-                likely = likely | F.contains(lowered, F.lit(word))
-            hit = likely & hit
-        return hit
-
-    if not patterns:
-        return F.lit(None).cast("string")
-    return F.coalesce(*[F.when(found(name, p), F.lit(name)) for name, p in patterns])
+    arms = []
+    for name, pattern in patterns:
+        tests = [" OR ".join(f"contains({lowered}, {literal(word)})" for word in words)
+                 for words in PATTERN_WORDS.get(name, [])]
+        tests.append(f"{text} RLIKE {literal(java(pattern, ignore_case=True))}")
+        arms.append(f"WHEN {' AND '.join(f'({t})' for t in tests)} THEN {literal(name)}")
+    return F.expr(f"CASE {' '.join(arms)} END" if arms else "CAST(NULL AS STRING)")
 
 
 def custom_patterns(spark: SparkSession, raw: str) -> list[tuple[str, str]]:

@@ -18,7 +18,7 @@ def scan(df: DataFrame, column: str, extra: list[tuple[str, str]] = (),
     patterns = [*text.INJECTION_PATTERNS, *extra]
     return (df.withColumn("_normalised", text.normalise(F.col(column)))
             .withColumn("_lowered", text.folded(F.col("_normalised")))
-            .withColumn(into, text.first_match(F.col("_normalised"), F.col("_lowered"), patterns))
+            .withColumn(into, text.first_match("_normalised", "_lowered", patterns))
             .drop("_normalised", "_lowered"))
 
 

@@ -19,8 +19,8 @@ def entities(df: DataFrame, text: str, *ids: str) -> DataFrame:
     The outer form of explode keeps Spark from testing the array's size in a filter below,
     which would compute the spans a second time.
     """
-    hits = df.filter(pii.may_contain(F.col(text)))
-    found = pii.spans(F.col(text), guarded=False)
+    hits = df.filter(pii.may_contain(text))
+    found = pii.spans(text, guarded=False)
     return (hits.select(*ids, F.posexplode_outer(found).alias("ordinal", "span"))
             .filter(F.col("ordinal").isNotNull())
             .select(*ids, "ordinal", F.col("span.start").alias("start"),
@@ -32,8 +32,8 @@ def entities(df: DataFrame, text: str, *ids: str) -> DataFrame:
 
 def mask_messages(messages: DataFrame) -> DataFrame:
     """String contents and text parts masked, with a ``changed`` flag per message."""
-    masked = messages.withColumns({"_content": pii.mask(F.col("content")),
-                                   "_parts": pii.mask_parts(F.col("parts"))})
+    masked = messages.withColumns({"_content": pii.mask("content"),
+                                   "_parts": pii.mask_parts("parts")})
     changed = (~F.col("_content").eqNullSafe(F.col("content"))
                | ~F.col("_parts").eqNullSafe(F.col("parts")))
     return (masked.withColumn("changed", changed)
@@ -49,7 +49,7 @@ def message_texts(messages: DataFrame, *keep: str) -> DataFrame:
 
 def gate_by_call_type(df: DataFrame, text: str, calls=MASKED_CALLS) -> DataFrame:
     """Only the listed call types are masked."""
-    return df.withColumn(text, F.when(F.col("call_type").isin(*calls), pii.mask(F.col(text)))
+    return df.withColumn(text, F.when(F.col("call_type").isin(*calls), pii.mask(text))
                          .otherwise(F.col(text)))
 
 

@@ -45,7 +45,7 @@ def sources(t) -> DataFrame:
 
 
 def masked_sources(t) -> DataFrame:
-    return sources(t).withColumn("text", pii.mask(F.col("text")))
+    return sources(t).withColumn("text", pii.mask("text"))
 
 
 def written(t, frame: DataFrame, label: str) -> DataFrame:
