@@ -40,17 +40,24 @@ def _pick(pool: Column, u: Column) -> Column:
 
 
 def proportional(pool: Column, weight, u: Column) -> Column:
-    """The first candidate whose cumulative weight exceeds ``u`` times the total."""
-    total = F.aggregate(pool, F.lit(0.0), lambda acc, c: acc + weight(c))
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("string").alias("model"))
+    """The first candidate whose cumulative weight exceeds ``u`` times the total.
+
+    ``u`` is used once per candidate, so it should be a plain column.
+    """
+    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast(
+        "ARRAY<STRUCT<through: DOUBLE, model: STRING>>").alias("steps"))
 
     def step(acc, c):
-        reached = acc["sum"] + weight(c)
-        return F.struct(reached.alias("sum"), F.coalesce(
-            acc["model"], F.when(reached > u * total, c["model"])).alias("model"))
+        through = acc["sum"] + weight(c)
+        return F.struct(through.alias("sum"), F.concat(acc["steps"], F.array(F.struct(
+            through.alias("through"), c["model"].alias("model")))).alias("steps"))
+
+    def choose(acc):
+        reached = F.filter(acc["steps"], lambda s: s["through"] > u * acc["sum"])
+        last = F.get(acc["steps"], F.size(acc["steps"]) - 1)
+        return F.coalesce(F.get(reached, 0), last)["model"]
 
-    last = F.get(pool, F.size(pool) - 1)["model"]
-    return F.when(F.size(pool) > 0, F.coalesce(F.aggregate(pool, start, step)["model"], last))
+    return F.aggregate(pool, start, step, choose)
 
 
 def weighted(pool: Column, u: Column) -> Column:

@@ -28,17 +28,22 @@ def active_rules(rules: DataFrame) -> DataFrame:
     return all_rules(rules.filter("enabled"))
 
 
+def best_rules(rules: DataFrame) -> DataFrame:
+    """The enabled rule of highest priority per model; one row per model."""
+    fields = ["module_name", "priority", "instance_config"]
+    return rules.filter("enabled").groupBy("model_name").agg(F.max_by(
+        F.struct(*fields), F.struct("priority", "module_name")).alias("rule")).select(
+        "model_name", "rule.*")
+
+
 def match_rule(requests: DataFrame, rules: DataFrame) -> DataFrame:
     """Requests with the module, priority and config of their rule, or nulls.
 
-    The best rule per model is reduced first, so the join never multiplies rows. Spark
-    broadcasts the rules when they are below its threshold; otherwise AQE splits hot models.
+    The join never multiplies rows. Spark broadcasts the rules when they are below its
+    threshold; otherwise AQE splits hot models.
     """
-    fields = ["module_name", "priority", "instance_config"]
-    best = rules.filter("enabled").groupBy("model_name").agg(F.max_by(
-        F.struct(*fields), F.struct("priority", "module_name")).alias("rule"))
-    return requests.join(best, "model_name", "left").select(
-        *requests.columns, *[F.col(f"rule.{f}").alias(f) for f in fields])
+    return requests.join(best_rules(rules), "model_name", "left").select(
+        *requests.columns, "module_name", "priority", "instance_config")
 
 
 def effective_settings(matched: DataFrame, module_configs: DataFrame,
@@ -87,25 +92,53 @@ def candidate_pools(rules: DataFrame, weights: DataFrame,
         (F.count("score") > 0).alias("scored"))
 
 
-def quality_target(pool: Column, scored: Column, key: Column, strategy: Column, k: Column,
-                   epsilon: Column, cold: Column) -> Column:
-    u, explore = uniform(key), uniform(key, "explore")
+def draws(requests: DataFrame) -> DataFrame:
+    """Two repeatable draws per request, as columns so that each is hashed once."""
+    return requests.withColumns({"_u": uniform(F.col("request_id")),
+                                 "_explore": uniform(F.col("request_id"), "explore")})
+
+
+def quality_target() -> Column:
+    """The choice for a row with ``draws``, a pool and the effective settings."""
+    pool, u = F.col("pool"), F.col("_u")
     chosen = selection.by_strategy(
-        pool, F.coalesce(strategy, F.lit("weighted_random")),
-        F.coalesce(k.try_cast("int"), F.lit(1)),
-        F.coalesce(epsilon.try_cast("double"), F.lit(0.1)), u, explore)
-    fallback = selection.cold_start(pool, F.coalesce(cold, F.lit("cost_weighted")), u)
-    return F.when(scored, chosen).otherwise(fallback)
+        pool, F.coalesce("selection_strategy", F.lit("weighted_random")),
+        F.coalesce(F.col("top_k").try_cast("int"), F.lit(1)),
+        F.coalesce(F.col("epsilon").try_cast("double"), F.lit(0.1)), u, F.col("_explore"))
+    fallback = selection.cold_start(
+        pool, F.coalesce("cold_start_strategy", F.lit("cost_weighted")), u)
+    return F.when(F.col("scored"), chosen).otherwise(fallback)
 
 
 def route_quality(requests: DataFrame, pools: DataFrame) -> DataFrame:
     """Requests with their effective settings; models without a pool get null."""
-    joined = requests.join(pools.withColumnRenamed("rule_model_name", "model_name"),
-                           "model_name", "left")
-    target = quality_target(
-        F.col("pool"), F.col("scored"), F.col("request_id"), F.col("selection_strategy"),
-        F.col("top_k"), F.col("epsilon"), F.col("cold_start_strategy"))
-    return joined.withColumn("target_model", target).drop("pool", "scored")
+    joined = draws(requests).join(pools.withColumnRenamed("rule_model_name", "model_name"),
+                                  "model_name", "left")
+    return joined.withColumn("target_model", quality_target()).drop(
+        "pool", "scored", "_u", "_explore")
+
+
+def rule_cards(rules: DataFrame, module_configs: DataFrame, weights: DataFrame,
+               breakers: DataFrame) -> DataFrame:
+    """All that a decision needs to know about a model, one row per model with a rule.
+
+    Settings are parsed and merged, and pools and breakers attached, once per rule instead of
+    once per request; none of these joins touches the request table.
+    """
+    gates = breakers.select("module_name", F.col("state").alias("_state"),
+                            F.col("last_failure_at").alias("_failed_at"),
+                            F.col("recovery_timeout").alias("_recovery"))
+    pools = candidate_pools(rules, weights).withColumnRenamed("rule_model_name", "model_name")
+    return (effective_settings(best_rules(rules), module_configs)
+            .join(gates, "module_name", "left").join(pools, "model_name", "left"))
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Hint a broadcast only after counting; a larger frame is left to a shuffled join.
+
+    The count computes the frame once more, so pass one that is cheap next to the other side.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
 def switchboard(requests: DataFrame, rules: DataFrame, module_configs: DataFrame,
@@ -113,24 +146,20 @@ def switchboard(requests: DataFrame, rules: DataFrame, module_configs: DataFrame
                 reset_hour: int = 0) -> DataFrame:
     """The whole chain for requests ``(request_id, ts, model_name, prompt_length)``.
 
-    match rule -> merge settings -> breaker gate -> the module's own decision. All right sides
-    have one row per key, so the request table keeps its size through every join and one
-    ``case`` expression picks the branch.
+    match rule -> merge settings -> breaker gate -> the module's own decision. The request
+    table takes part in two joins, to the rule cards and to the cooldown periods. Both right
+    sides have one row per key, so it keeps its size, and one ``case`` picks the branch. Cards
+    beyond the broadcast bound join by shuffle on the model, where AQE splits hot models.
 
     ``breakers`` holds ``(module_name, state, last_failure_at, recovery_timeout)``.
     """
-    free = F.concat(F.col("model_name"), F.lit(cooldown.FREE))
+    cards = broadcast_if_small(rule_cards(rules, module_configs, weights, breakers))
     started = cooldown.periods(errors, reset_hour).select(
         F.col("model_key").alias("_key"), F.col("cooldown_until").alias("_reset"), "first_error")
-    gates = breakers.select("module_name", F.col("state").alias("_state"),
-                            F.col("last_failure_at").alias("_failed_at"),
-                            F.col("recovery_timeout").alias("_recovery"))
-    pools = candidate_pools(rules, weights).withColumnRenamed("rule_model_name", "model_name")
-    rows = (effective_settings(match_rule(requests, rules), module_configs)
-            .join(gates, "module_name", "left")
-            .join(pools, "model_name", "left")
-            .withColumns({"_key": free, "_reset": clock.next_reset(F.col("ts"), reset_hour)})
-            .join(started, ["_key", "_reset"], "left"))
+    keyed = draws(requests).withColumns({
+        "_key": F.concat("model_name", F.lit(cooldown.FREE)),
+        "_reset": clock.next_reset(F.col("ts"), reset_hour)})
+    rows = keyed.join(cards, "model_name", "left").join(started, ["_key", "_reset"], "left")
     waited = clock.seconds_between(F.col("_failed_at"), F.col("ts"))
     blocked = F.coalesce((F.col("_state") == "open") & (waited < F.col("_recovery")),
                          F.lit(False))
@@ -144,9 +173,7 @@ def switchboard(requests: DataFrame, rules: DataFrame, module_configs: DataFrame
         .when(module == PROMPT_LENGTH, prompt_length_target(
             F.col("prompt_length"), F.col("threshold"), F.col("model_under"),
             F.col("model_over")))
-        .when(module == QUALITY, quality_target(
-            F.col("pool"), F.col("scored"), F.col("request_id"), F.col("selection_strategy"),
-            F.col("top_k"), F.col("epsilon"), F.col("cold_start_strategy"))))
+        .when(module == QUALITY, quality_target()))
     return rows.select(
         "request_id", "ts", "model_name", "module_name", blocked.alias("blocked"),
         F.when(~blocked, decided).alias("target_model"))

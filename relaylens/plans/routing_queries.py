@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from relaylens.functions import config as settings, selection
-from relaylens.functions.hashing import uniform
 from relaylens.operators import config, cooldown, quality, routing, stages
 from relaylens.plans import frames
 from relaylens.plans.registry import query
@@ -154,19 +153,20 @@ def route_asof_cooldown(t):
 
 def _pooled(t):
     pools = routing.candidate_pools(t.routing_rules, t.weights)
-    return t.traffic.join(pools.withColumnRenamed("rule_model_name", "model_name"), "model_name")
+    return routing.draws(t.traffic).join(
+        pools.withColumnRenamed("rule_model_name", "model_name"), "model_name")
 
 
 @query("select_weighted", "SELECT request_id, target_model FROM {weighted_picks}")
 def select_weighted(t):
     return _pooled(t).select("request_id", selection.weighted(
-        F.col("pool"), uniform(F.col("request_id"))).alias("target_model"))
+        F.col("pool"), F.col("_u")).alias("target_model"))
 
 
 @query("select_top_k", "SELECT request_id, target_model FROM {top_picks}")
 def select_top_k(t):
     return _pooled(t).select("request_id", selection.top_k(
-        F.col("pool"), F.lit(2), uniform(F.col("request_id"))).alias("target_model"))
+        F.col("pool"), F.lit(2), F.col("_u")).alias("target_model"))
 
 
 @query("select_epsilon", """
@@ -175,9 +175,8 @@ def select_top_k(t):
      AND CASE WHEN d.u_explore < 0.1 THEN p.pos = CAST(FLOOR(d.u * p.n) AS BIGINT)
               ELSE p.place = 0 END""")
 def select_epsilon(t):
-    key = F.col("request_id")
     return _pooled(t).select("request_id", selection.epsilon_greedy(
-        F.col("pool"), F.lit(0.1), uniform(key, "explore"), uniform(key)).alias("target_model"))
+        F.col("pool"), F.lit(0.1), F.col("_explore"), F.col("_u")).alias("target_model"))
 
 
 @query("select_cold_start", """
@@ -186,7 +185,7 @@ def select_epsilon(t):
     JOIN {pool_scores} p ON p.rule_model_name = d.model_name
      AND p.pos = CAST(FLOOR(d.u * p.n) AS BIGINT)""")
 def select_cold_start(t):
-    u = uniform(F.col("request_id"))
+    u = F.col("_u")
     return _pooled(t).select(
         "request_id",
         selection.cold_start(F.col("pool"), F.lit("cost_weighted"), u).alias("target_model"),

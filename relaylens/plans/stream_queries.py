@@ -145,8 +145,8 @@ def breaker_config(t):
                      AS recovery FROM ({_STATUS}) z) b ON b.module = r.module_name) w""")
 def route_switchboard(t):
     """All traffic through the chain; the breakers are those of the first three log modules."""
-    standing = breaker.status(_replay(t), breaker.breaker_config(
-        t.routing_log, t.breaker_configs))
+    standing = frames.written(t, breaker.status(_replay(t), breaker.breaker_config(
+        t.routing_log, t.breaker_configs)), "breakers")
     named = standing.withColumn("module_name", F.when(
         F.col("module_name") == "module-0", routing.FREE_TIER).when(
         F.col("module_name") == "module-1", routing.PROMPT_LENGTH).when(
