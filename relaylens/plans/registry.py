@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from relaylens.plans import views
+from relaylens.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,7 +32,11 @@ class Inputs:
 def query(key: str, oracle: str | None = None):
     """Register ``fn(inputs) -> DataFrame`` under ``key`` with its DuckDB equivalent."""
     def register(fn):
-        QUERIES[key] = lambda spark, sf_dir: fn(Inputs(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            prepare(spark)
+            return fn(Inputs(spark, sf_dir))
+
+        QUERIES[key] = run
         if oracle is not None:
             ORACLES[key] = views.duckdb_sql(oracle)
         return fn

@@ -29,6 +29,13 @@ def build_session(app_name: str, master: str | None = None, **extra: str) -> Spa
     return builder.getOrCreate()
 
 
+def prepare(spark: SparkSession) -> None:
+    """The settings that results depend on, for a session that was built elsewhere."""
+    for key in ("spark.sql.session.timeZone", "spark.sql.streaming.stateStore.providerClass"):
+        if spark.conf.get(key, None) != SESSION_CONF[key]:
+            spark.conf.set(key, SESSION_CONF[key])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach; a temporary one only in local mode."""
     context = spark.sparkContext
