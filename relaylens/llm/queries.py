@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from relaylens.llm import pieces, simhash
+from relaylens.llm import decontaminate, licences, pieces, quality, rules, simhash, toxicity
 from relaylens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,14 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+@query
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", *[F.col(f"counts.{c}").alias(c) for c in rules.STATS[:5]],
+                        "base_failed", "kept", "stratum",
+                        F.array_join("rejected_by", ",").alias("rejected_by"))
+
+
 @query
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -31,8 +39,59 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *pieces.digests(F.col("pieces")))
 
 
+@query
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.judged(table(spark, sf_dir, "documents"),
+                                 table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256)
+                        .alias("items_sha256"), "contaminated")
+
+
+ORACLES["op5_decontamination"] = r"""
+    WITH d AS (SELECT doc_id, row_number() OVER () AS r, list_filter(string_split_regex(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                         'abcdefghijklmnopqrstuvwxyz'),
+               '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+         b AS (SELECT item_id, list_filter(string_split_regex(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                         'abcdefghijklmnopqrstuvwxyz'),
+               '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+         s AS (SELECT item_id, w, least(len(w), 13) AS n FROM b WHERE len(w) > 0),
+         bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS p
+                FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM s)),
+         dw AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS p
+                FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i
+                      FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+         h AS (SELECT r, i, n, item_id FROM dw JOIN bw USING (n, p)),
+         c AS (SELECT r, count(DISTINCT k) AS n_hit
+               FROM (SELECT r, unnest(range(i, i + n)) AS k FROM h) GROUP BY r),
+         t AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids
+               FROM (SELECT DISTINCT r, item_id::VARCHAR AS x FROM h) GROUP BY r)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+           coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)"""
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classified(table(spark, sf_dir, "documents"),
+                               table(spark, sf_dir, "labels"))
+
+
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return simhash.with_groups(docs).select(
         "doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scanned_documents(table(spark, sf_dir, "documents"))
