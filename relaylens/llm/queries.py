@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from relaylens.llm import decontaminate, licences, pieces, quality, rules, simhash, toxicity
+from relaylens.llm import (
+    archives, decontaminate, licences, pieces, quality, rules, simhash, toxicity)
 from relaylens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +33,24 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.array_join("rejected_by", ",").alias("rejected_by"))
 
 
+@query
+def op2_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = archives.through_archives(table(spark, sf_dir, "pages"))
+    return found.select(F.col("number").alias("page_id"), "payload_bytes", "payload_digest",
+                        F.col("type").alias("record_type"),
+                        F.col("refers_to_number").alias("refers_to"))
+
+
+ORACLES["op2_arc_to_warc"] = """
+    WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+                      sha256(coalesce(html, '')) AS payload_digest FROM pages),
+         f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p),
+         r AS (SELECT *, payload_bytes >= 100 AND first <> page_id AS again FROM f)
+    SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+           CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN again THEN first END AS refers_to FROM r"""
+
+
 @query
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
