@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from relaylens.llm import (
-    archives, decontaminate, licences, pieces, quality, rules, simhash, toxicity)
+    archives, decontaminate, licences, pieces, pseudo, quality, rules, simhash,
+    substrings, toxicity)
 from relaylens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,6 +99,16 @@ ORACLES["op5_decontamination"] = r"""
     FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)"""
 
 
+@query
+def op6_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo.scored(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.passage_table(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classified(table(spark, sf_dir, "documents"),
