@@ -15,7 +15,7 @@ only a single larger record makes a larger one. Payloads are not shuffled, unles
 
 Null payloads are empty; a null url becomes ``UNKNOWN``; blanks in urls are escaped; a record
 without number comes last among equals and reads back with a null number. Dates of 12 digits lack
-seconds; a date that cannot be read becomes that of the archive. A line that is no header is
+seconds; a date that cannot be read becomes ``CLOCK``. A line that is no header is
 skipped; a record cut off by the end of its file is dropped. Empty tables give empty archives.
 """
 

@@ -25,7 +25,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from relaylens.llm.common import blank_words, fresh, raw_texts, written
 from relaylens.llm.components import connected
@@ -312,7 +312,8 @@ def links(rows: DataFrame) -> DataFrame:
 
 
 def groups(prints: DataFrame, doc_id: str, fp: str) -> DataFrame:
-    """(fp, component_id): the smallest id reachable from each distinct fingerprint."""
+    """(fp, root, component_id) for each distinct fingerprint: the smallest fingerprint of its
+    group, and the smallest id."""
     nodes = written(prints.groupBy(F.col(fp).alias("fp")).agg(F.min(doc_id).alias("first")),
                     "simhash-nodes")
     only = nodes.select("fp")
@@ -323,29 +324,36 @@ def groups(prints: DataFrame, doc_id: str, fp: str) -> DataFrame:
     rooted = nodes.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rooted.join(named, "root").select("fp", "component_id")
+    return rooted.join(named, "root").select("fp", "root", "component_id")
 
 
 def with_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id), a row for every row of ``docs``."""
+    """(doc_id, fp, root, component_id), a row for every row of ``docs``."""
     prints = written(docs.select(F.col(doc_id).alias("doc_id"),
                                  fingerprints(F.col(text)).alias("fp")), "simhash-prints")
     return prints.join(groups(prints, "doc_id", "fp"), "fp").select(
-        "doc_id", "fp", "component_id")
+        "doc_id", "fp", "root", "component_id")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group: that of its smallest id, and of its repeated rows one.
 
-    Of rows that share the id that names their group, the smallest (text, other columns) stays.
-    Groups whose ids are all null keep one row.
+    Of rows that share the id that names their group, the smallest (of all columns, as text)
+    stays; so does the smallest row of a group whose ids are all null.
     """
-    fp, group, rank = (fresh(docs, n) for n in ("fp", "group", "rank"))
-    kept = with_groups(docs, doc_id, text).groupBy("component_id").agg(F.lit(1).alias("one"))
-    from pyspark.sql import Window
-    chosen = docs.join(kept.select(F.col("component_id").alias(group)),
-                       docs[doc_id].eqNullSafe(F.col(group)), "left_semi")
+    found = written(with_groups(docs, doc_id, text), "simhash-groups")
+    group, rank, fp = (fresh(docs, n) for n in ("group", "rank", "fp"))
     order = [F.col(f"`{c}`").cast("string").asc_nulls_first() for c in docs.columns]
-    del fp
-    return (chosen.withColumn(rank, F.row_number().over(
-        Window.partitionBy(doc_id).orderBy(*order))).filter(F.col(rank) == 1).drop(rank))
+
+    def first_of(rows: DataFrame, key: str) -> DataFrame:
+        return rows.withColumn(rank, F.row_number().over(
+            Window.partitionBy(key).orderBy(*order))).filter(F.col(rank) == 1).select(
+            *[f"`{c}`" for c in docs.columns])
+
+    ids = found.select(F.col("component_id").alias(group)).distinct()
+    named = first_of(docs.join(ids, F.col(doc_id) == F.col(group), "left_semi"), doc_id)
+    lone = found.filter("component_id is null").select(
+        F.col("fp").alias(fp), F.col("root").alias(group)).distinct()
+    nameless = docs.filter(F.col(doc_id).isNull()).withColumn(fp + "_own",
+                                                              fingerprints(F.col(text)))
+    return named.unionByName(first_of(nameless.join(lone, F.col(fp + "_own") == F.col(fp)), group))
