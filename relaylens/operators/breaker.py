@@ -89,6 +89,15 @@ class BreakerFold(Fold):
         stored = rows["initial"].iloc[0] if "initial" in rows.columns else None
         return json.loads(stored) if isinstance(stored, str) else [CLOSED, 0]
 
+    def split(self, state):
+        """The failures of a breaker that is not closed decide nothing, so they are the offset."""
+        if state[0] == CLOSED:
+            return state, 0
+        return [state[0], *state[2:]], state[1]
+
+    def joined(self, core, offset: int):
+        return core if core[0] == CLOSED else [core[0], offset, *core[1:]]
+
     def advance(self, state, rows: pd.DataFrame, emit: bool):
         ts = rows["ts_us"].to_numpy()
         reset = rows["reset"].to_numpy(dtype=bool)
@@ -228,6 +237,38 @@ def status(replayed: DataFrame, config: DataFrame | None = None,
     return now if config is None else now.join(config, "module_name", "left")
 
 
+def blocked_periods(replayed: DataFrame, configs: DataFrame) -> DataFrame:
+    """(module_name, blocked_from, blocked_until): when calls of a module are not admitted.
+
+    Every failure that opens a breaker starts such a period; it ends after the recovery time, or
+    at a manual reset before that. Periods of a module do not overlap. The reset that ends a
+    period is the first event of its module that changes an open state to a closed one within it.
+    """
+    own = breaker_config(replayed, configs).select("module_name", "recovery_timeout")
+    opened = replayed.filter(F.col("admitted") & (F.col("state_after") == OPEN)).join(
+        own, "module_name").select(
+        "module_name", F.col("ts").alias("blocked_from"), "recovery_timeout",
+        (F.col("ts") + F.make_dt_interval(secs=F.col("recovery_timeout"))).alias("_until"))
+    slot = lambda ts: F.floor(  # noqa: E731  a period touches two slots of its length at most
+        F.unix_micros(ts.cast("timestamp"))
+        / (F.greatest(F.col("recovery_timeout"), F.lit(1)).cast("bigint") * 1_000_000)).cast("bigint")
+    resets = replayed.filter(F.col("reset") & (F.col("state_before") == OPEN)).join(
+        own, "module_name").select(
+        F.col("module_name").alias("_module"), F.col("ts").alias("_reset"),
+        slot(F.col("ts")).alias("_reset_slot"))
+    slots = opened.withColumn("_slot", F.explode(F.array_distinct(F.array(
+        slot(F.col("blocked_from")), slot(F.col("_until"))))))
+    met = slots.join(resets, (F.col("module_name") == F.col("_module"))
+                     & (F.col("_slot") == F.col("_reset_slot"))
+                     & (F.col("_reset") >= F.col("blocked_from"))
+                     & (F.col("_reset") < F.col("_until")), "left")
+    return met.groupBy("module_name", "blocked_from", "_until").agg(
+        F.min("_reset").alias("_reset")).select(
+        "module_name", "blocked_from",
+        F.least("_until", "_reset").alias("blocked_until")).filter(
+        "blocked_until > blocked_from")
+
+
 def as_initial(state: Column, failures: Column, successes: Column, last_failure: Column) -> Column:
     """A module's status as the JSON state a later replay starts from."""
     last = F.unix_micros(last_failure.cast("timestamp"))

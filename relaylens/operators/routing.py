@@ -16,6 +16,7 @@ logger = logging.getLogger(__name__)
 FREE_TIER, PROMPT_LENGTH, QUALITY = "free_tier", "prompt_length", "quality"
 GLOBAL_KEYS = ["threshold", "model_under", "model_over", "fallback_enabled",
                "selection_strategy", "cold_start_strategy", "top_k", "epsilon"]
+COOLDOWN_KEYS = ["cooldown_reset_hour", "cooldown_timezone"]
 
 
 def all_rules(rules: DataFrame) -> DataFrame:
@@ -122,47 +123,77 @@ def rule_cards(rules: DataFrame, module_configs: DataFrame, weights: DataFrame,
                breakers: DataFrame) -> DataFrame:
     """All that a decision needs to know about a model, one row per model with a rule.
 
-    Settings are parsed and merged, and pools and breakers attached, once per rule instead of
-    once per request; none of these joins touches the request table.
+    Settings are parsed and merged, and pools and recovery times attached, once per rule instead
+    of once per request; none of these joins touches the request table.
     """
-    gates = breakers.select("module_name", F.col("state").alias("_state"),
-                            F.col("last_failure_at").alias("_failed_at"),
-                            F.col("recovery_timeout").alias("_recovery"))
+    gates = breakers.select("module_name", F.col("recovery_timeout").alias("_recovery"))
     pools = candidate_pools(rules, weights).withColumnRenamed("rule_model_name", "model_name")
-    return (effective_settings(best_rules(rules), module_configs)
+    return (effective_settings(best_rules(rules), module_configs, GLOBAL_KEYS + COOLDOWN_KEYS)
             .join(gates, "module_name", "left").join(pools, "model_name", "left"))
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only after counting; a larger frame is left to a shuffled join.
+def reset_of(ts: Column) -> Column:
+    """The next reset after ``ts`` by the settings of the row; hour 0 and UTC without them."""
+    hour = F.coalesce(F.col("cooldown_reset_hour").try_cast("int"), F.lit(0))
+    return clock.next_reset(ts, hour, F.coalesce("cooldown_timezone", F.lit("UTC")))
 
-    The count computes the frame once more, so pass one that is cheap next to the other side.
+
+def cooldown_periods(errors: DataFrame, rules: DataFrame, module_configs: DataFrame) -> DataFrame:
+    """Per key and reset period the first error, with the reset hour and zone that the settings
+    of the key's rule give; keys without a rule reset at midnight UTC."""
+    settings_of = effective_settings(best_rules(rules), module_configs, COOLDOWN_KEYS).select(
+        F.concat("model_name", F.lit(cooldown.FREE)).alias("model_key"), *COOLDOWN_KEYS)
+    timed = errors.join(settings_of, "model_key", "left").withColumn(
+        "cooldown_until", reset_of(F.col("ts")))
+    return timed.groupBy("model_key", "cooldown_until").agg(
+        F.min(F.struct("ts", "event_id")).alias("first_error"))
+
+
+def time_slot(ts: Column, seconds: Column) -> Column:
+    """The number of the stretch of ``seconds`` in which ``ts`` lies."""
+    return F.floor(F.unix_micros(ts.cast("timestamp"))
+                   / (F.greatest(seconds, F.lit(1)).cast("bigint") * 1_000_000)).cast("bigint")
+
+
+def slotted(blocked: DataFrame, breakers: DataFrame) -> DataFrame:
+    """(_module, _slot, _blocked): the blocked periods that touch a slot of recovery time.
+
+    A period is no longer than the recovery time, so it touches two slots at most, and looking
+    up a request's slot is an equi-join with one right row at most.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    own = blocked.join(breakers.select("module_name", "recovery_timeout"), "module_name")
+    ends = F.array_distinct(F.array(time_slot(F.col("blocked_from"), F.col("recovery_timeout")),
+                                    time_slot(F.col("blocked_until"), F.col("recovery_timeout"))))
+    return own.withColumn("_slot", F.explode(ends)).groupBy(
+        F.col("module_name").alias("_module"), "_slot").agg(
+        F.collect_list(F.struct("blocked_from", "blocked_until")).alias("_blocked"))
 
 
 def switchboard(requests: DataFrame, rules: DataFrame, module_configs: DataFrame,
                 weights: DataFrame, errors: DataFrame, breakers: DataFrame,
-                reset_hour: int = 0) -> DataFrame:
+                blocked: DataFrame) -> DataFrame:
     """The whole chain for requests ``(request_id, ts, model_name, prompt_length)``.
 
-    match rule -> merge settings -> breaker gate -> the module's own decision. The request
-    table takes part in two joins, to the rule cards and to the cooldown periods. Both right
-    sides have one row per key, so it keeps its size, and one ``case`` picks the branch. Cards
-    beyond the broadcast bound join by shuffle on the model, where AQE splits hot models.
+    match rule -> merge settings -> breaker gate -> the module's own decision, all as of the
+    time of each request. The request table takes part in three equi-joins, to the rule cards,
+    to the cooldown periods and to the blocked periods of the breakers. All right sides have
+    one row per key, so it keeps its size, and one ``case`` picks the branch. Spark broadcasts
+    what is below its threshold and joins the rest by shuffle, where AQE splits hot keys.
 
-    ``breakers`` holds ``(module_name, state, last_failure_at, recovery_timeout)``.
+    ``breakers`` holds ``(module_name, recovery_timeout)``, ``blocked`` the result of
+    ``breaker.blocked_periods`` for the same modules.
     """
-    cards = broadcast_if_small(rule_cards(rules, module_configs, weights, breakers))
-    started = cooldown.periods(errors, reset_hour).select(
+    cards = rule_cards(rules, module_configs, weights, breakers)
+    started = cooldown_periods(errors, rules, module_configs).select(
         F.col("model_key").alias("_key"), F.col("cooldown_until").alias("_reset"), "first_error")
-    keyed = draws(requests).withColumns({
-        "_key": F.concat("model_name", F.lit(cooldown.FREE)),
-        "_reset": clock.next_reset(F.col("ts"), reset_hour)})
-    rows = keyed.join(cards, "model_name", "left").join(started, ["_key", "_reset"], "left")
-    waited = clock.seconds_between(F.col("_failed_at"), F.col("ts"))
-    blocked = F.coalesce((F.col("_state") == "open") & (waited < F.col("_recovery")),
-                         F.lit(False))
+    carded = draws(requests).join(cards, "model_name", "left").withColumns({
+        "_key": F.concat("model_name", F.lit(cooldown.FREE)), "_reset": reset_of(F.col("ts")),
+        "_module": F.col("module_name"),
+        "_slot": time_slot(F.col("ts"), F.col("_recovery"))})
+    rows = carded.join(started, ["_key", "_reset"], "left").join(
+        slotted(blocked, breakers), ["_module", "_slot"], "left")
+    blocked = F.coalesce(F.exists("_blocked", lambda p: (F.col("ts") >= p["blocked_from"])
+                                  & (F.col("ts") < p["blocked_until"])), F.lit(False))
     cooling = F.coalesce(F.col("first_error") < F.struct(
         F.col("ts"), F.col("request_id").alias("event_id")), F.lit(False))
     fallback = F.lower(F.coalesce("fallback_enabled", F.lit("true"))) == "true"

@@ -10,8 +10,11 @@ slices, and the state at the start of each slice is found by repair:
    what the previous one ended with; slices that did not are folded again from there;
 3. when all agree, the states are exact (the first slice is right, hence the second, ...).
 
-A state machine usually forgets its start within a slice, so one or two repairs suffice. What
-the driver sees is one row per slice, whatever the data.
+A state machine usually forgets its start within a slice, so one or two repairs suffice. A part of
+a state that only grows, such as the failures of a module that stays down, is kept out of this
+comparison as an *offset*: slices are folded from an unknown offset, and once all states agree the
+true offsets are running sums over the slices' reports. What the driver sees is one row per slice,
+whatever the data.
 """
 
 from __future__ import annotations
@@ -26,7 +29,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from relaylens.session import shared_dir
 
-_SUMMARY = "slice_id INT, first_key STRING, last_key STRING, entered STRING, left_as STRING"
+_SUMMARY = ("slice_id INT, first_key STRING, last_key STRING, entered STRING, left_as STRING, "
+            "left_offset BIGINT")
+UNKNOWN = 1 << 50  # stands for an offset that is not known yet; counts stay far below it
+ROWS_PER_SLICE = 2_000_000
 
 
 class Fold(ABC):
@@ -43,21 +49,32 @@ class Fold(ABC):
     def advance(self, state, rows: pd.DataFrame, emit: bool):
         """``(state after rows, output rows or None)`` for consecutive rows of one key."""
 
+    def split(self, state) -> tuple[object, int]:
+        """The state without its offset, and the offset: a number that no transition looks at and
+        that the rows only raise, or drop together with what they leave it in."""
+        return state, 0
+
+    def joined(self, core, offset: int):
+        return core
+
 
 def sorted_slices(df: DataFrame, key: str, order: list[str], slices: int | None = None) -> DataFrame:
     """Rows in (key, order), cut into slices of similar size; ``order`` must break all ties.
 
     The result is checkpointed to the shared folder: later passes must see the same slices.
+    Without ``slices`` their number follows from the number of rows.
     """
     spark = df.sparkSession
     shared_dir(spark)
-    slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if slices is None:
+        slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                     -(-df.count() // ROWS_PER_SLICE))
     return (df.repartitionByRange(slices, key, *order).sortWithinPartitions(key, *order)
             .withColumn("slice_id", F.spark_partition_id()).checkpoint())
 
 
 def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Bounds of the runs of equal keys."""
+    """Bounds of the runs of equal keys; a null equals a null."""
     cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
     edges = [0, *cuts.tolist(), len(keys)]
     return zip(edges[:-1], edges[1:])
@@ -69,47 +86,57 @@ def _mapper(fold: Fold, entries: dict[int, str], emit: bool):
         for rows in batches:
             if not len(rows):
                 continue
-            names = rows[fold.key].to_numpy()
+            names = rows[fold.key].astype(object).where(rows[fold.key].notna(), None).to_numpy()
             for start, stop in _runs(names):
                 part = rows.iloc[start:stop]
-                if key is None or names[start] != key:
-                    key, known = names[start], None
-                    if summary is None:
-                        slice_id = int(part["slice_id"].iloc[0])
-                        known = entries.get(slice_id)
+                if summary is None:
+                    slice_id = int(part["slice_id"].iloc[0])
+                    known = entries.get(slice_id)
                     state = fold.initial(part) if known is None else json.loads(known)
-                    if summary is None:
-                        summary = [slice_id, str(key), None, json.dumps(state), None]
+                    key, core = names[start], json.dumps(fold.split(state)[0])
+                    summary = [slice_id, json.dumps(key), None, core, None, None]
+                elif names[start] != key:
+                    key, state = names[start], fold.initial(part)
                 state, out = fold.advance(state, part, emit)
                 if emit:
                     yield out
         if summary is not None and not emit:
-            summary[2], summary[4] = str(key), json.dumps(state)
-            columns = ["slice_id", "first_key", "last_key", "entered", "left_as"]
-            yield pd.DataFrame([summary], columns=columns)
+            core, offset = fold.split(state)
+            summary[2], summary[4], summary[5] = json.dumps(key), json.dumps(core), int(offset)
+            yield pd.DataFrame([summary], columns=["slice_id", "first_key", "last_key", "entered",
+                                                   "left_as", "left_offset"])
     return run
 
 
 def entry_states(slices: DataFrame, fold: Fold) -> dict[int, str]:
     """State at the start of every slice whose first key continues from the slice before."""
-    entries: dict[int, str] = {}
+    cores: dict[int, str] = {}
     reports: dict[int, object] = {}
     todo = slices
     while True:
-        found = todo.mapInPandas(_mapper(fold, dict(entries), False), _SUMMARY).collect()
+        unknown = {i: json.dumps(fold.joined(json.loads(c), UNKNOWN)) for i, c in cores.items()}
+        found = todo.mapInPandas(_mapper(fold, unknown, False), _SUMMARY).collect()
         reports.update({row.slice_id: row for row in found})
-        wrong: dict[int, str] = {}
-        before = None
-        for slice_id in sorted(reports):
-            row = reports[slice_id]
-            continued = before is not None and before.last_key == row.first_key
-            if continued and row.entered != before.left_as:
-                wrong[slice_id] = before.left_as
-            before = row
+        wrong = {after.slice_id: before.left_as for before, after in _continued(reports)
+                 if after.slice_id not in cores or after.entered != before.left_as}
         if not wrong:
-            return entries
-        entries.update(wrong)
+            break
+        cores.update(wrong)
         todo = slices.filter(F.col("slice_id").isin(*wrong))
+    entries: dict[int, str] = {}
+    offsets = {i: row.left_offset for i, row in reports.items()}
+    for before, after in _continued(reports):
+        entered = offsets[before.slice_id]
+        entries[after.slice_id] = json.dumps(fold.joined(json.loads(before.left_as), entered))
+        if offsets[after.slice_id] >= UNKNOWN // 2:  # it still counts from where it entered
+            offsets[after.slice_id] += entered - UNKNOWN
+    return entries
+
+
+def _continued(reports: dict[int, object]) -> list[tuple[object, object]]:
+    """Neighbouring slices in which a key goes on from the first to the second."""
+    rows = [reports[i] for i in sorted(reports)]
+    return [(a, b) for a, b in zip(rows, rows[1:]) if a.last_key == b.first_key]
 
 
 def run_fold(slices: DataFrame, fold: Fold) -> DataFrame:

@@ -295,9 +295,9 @@ def quality_rank(t):
 
 @query("quality_fresh", """
     SELECT rule_model_name, candidate_model FROM {weights}
-    WHERE last_assessed_at > {at}'2024-01-18 00:00:00'""")
+    WHERE last_assessed_at > {at}'2024-01-28 00:00:00'""")
 def quality_fresh(t):
-    return quality.fresh(t.weights, "2024-01-20 00:00:00", 1440).select(
+    return quality.fresh(t.weights, "2024-01-30 00:00:00", 1440).select(
         "rule_model_name", "candidate_model")
 
 

@@ -44,14 +44,14 @@ def upsert_partial(t):
            ROUND(COALESCE(u.score, w.score), 6) AS score,
            COALESCE(u.ts, w.last_assessed_at) AS last_assessed_at,
            COALESCE(w.assessment_count, 0) + COALESCE(u.n, 0) AS assessment_count
-    FROM {weights} w FULL OUTER JOIN (
+    FROM {early_weights} w FULL OUTER JOIN (
       SELECT * FROM (SELECT *, COUNT(*) OVER (PARTITION BY rule_model_name, candidate_model) AS n,
                ROW_NUMBER() OVER (PARTITION BY rule_model_name, candidate_model
                                   ORDER BY ts DESC, event_id DESC) AS rn
              FROM {assessments}) q WHERE rn = 1) u USING (rule_model_name, candidate_model)""")
 def upsert_increment(t):
     scores = t.assessments.withColumnRenamed("ts", "last_assessed_at")
-    merged = quality.update_weights(t.weights, scores, ["last_assessed_at", "event_id"])
+    merged = quality.update_weights(t.early_weights, scores, ["last_assessed_at", "event_id"])
     return merged.withColumn("score", F.round("score", 6))
 
 

@@ -115,6 +115,10 @@ def breaker_config(t):
     return breaker.breaker_config(t.routing_modules, t.breaker_configs)
 
 
+_GATED = """CASE module_name WHEN 'module-0' THEN 'free_tier' WHEN 'module-1' THEN 'prompt_length'
+           WHEN 'module-2' THEN 'quality' END"""
+
+
 @query("route_switchboard", f"""{_LOG}
     SELECT request_id, module_name, state_open AS blocked, CASE WHEN NOT state_open THEN target END
              AS target_model,
@@ -122,40 +126,45 @@ def breaker_config(t):
                 ELSE COALESCE(target, 'default') END AS metric_target,
            CASE WHEN module_name IS NULL THEN NULL ELSE NOT state_open END AS metric_success
     FROM (
-      SELECT t.request_id, r.module_name,
-             COALESCE(b.state = 'open' AND epoch_us(t.ts) - epoch_us(b.last_failure_at)
-               < CAST(b.recovery AS BIGINT) * 1000000, false) AS state_open,
+      SELECT t.request_id, r.module_name, b.request_id IS NOT NULL AS state_open,
              CASE r.module_name
                WHEN 'free_tier' THEN CASE
                  WHEN NOT EXISTS (SELECT 1 FROM {{rate_limit_events}} e
                    WHERE e.model_key = t.model_name || '-free' AND (e.ts, e.event_id) < (t.ts, t.request_id)
-                     AND CAST(e.ts AS DATE) = CAST(t.ts AS DATE)) THEN t.model_name || '-free'
+                     AND CAST(e.ts - INTERVAL 6 HOUR AS DATE) = CAST(t.ts - INTERVAL 6 HOUR AS DATE))
+                   THEN t.model_name || '-free'
                  WHEN r.instance_config LIKE '%"false"%' THEN NULL
                  ELSE t.model_name || '-paid' END
                WHEN 'prompt_length' THEN CASE WHEN r.instance_config LIKE '%model_over%'
                  THEN CASE WHEN t.n <= 1500 THEN 'small' ELSE 'large' END END
                WHEN 'quality' THEN q.target_model END AS target
-      FROM (SELECT x.request_id, x.ts, x.model_name, LENGTH(e.props) * 100 AS n
+      FROM (SELECT x.request_id, x.ts, x.model_name, LENGTH(e.props) * 100 * (1 + x.request_id % 3) AS n
             FROM {{traffic}} x JOIN {{events}} e ON e.event_id = x.request_id) t
       LEFT JOIN {{routing_rules}} r ON r.model_name = t.model_name AND r.enabled
       LEFT JOIN ({ROUTE_QUALITY}) q ON q.request_id = t.request_id
-      LEFT JOIN (SELECT CASE module_name WHEN 'module-0' THEN 'free_tier'
-                   WHEN 'module-1' THEN 'prompt_length' WHEN 'module-2' THEN 'quality' END AS module,
-                   state, last_failure_at, CASE WHEN module_name = 'module-1' THEN 60 ELSE 3600 END
-                     AS recovery FROM ({_STATUS}) z) b ON b.module = r.module_name) w""")
+      LEFT JOIN (SELECT DISTINCT t.request_id FROM {{traffic}} t
+                 JOIN {{routing_rules}} r ON r.model_name = t.model_name AND r.enabled
+                 JOIN (SELECT {_GATED} AS module, failed_at AS opened, failed_at + INTERVAL 1 SECOND
+                         * CASE WHEN module_name = 'module-1' THEN 60 ELSE 3600 END AS over
+                       FROM steps WHERE admitted AND state = 'open') s
+                   ON s.module = r.module_name AND t.ts >= s.opened AND t.ts < s.over) b
+        ON b.request_id = t.request_id) w""")
 def route_switchboard(t):
     """All traffic through the chain; the breakers are those of the first three log modules."""
-    standing = frames.written(t, breaker.status(_replay(t), breaker.breaker_config(
-        t.routing_log, t.breaker_configs)), "breakers")
-    named = standing.withColumn("module_name", F.when(
-        F.col("module_name") == "module-0", routing.FREE_TIER).when(
-        F.col("module_name") == "module-1", routing.PROMPT_LENGTH).when(
-        F.col("module_name") == "module-2", routing.QUALITY)).filter("module_name is not null")
+    def gated(df):
+        return df.withColumn("module_name", F.when(
+            F.col("module_name") == "module-0", routing.FREE_TIER).when(
+            F.col("module_name") == "module-1", routing.PROMPT_LENGTH).when(
+            F.col("module_name") == "module-2", routing.QUALITY)).filter("module_name is not null")
+
+    blocked = breaker.blocked_periods(frames.written(t, _replay(t), "replayed"), t.breaker_configs)
+    recovery = breaker.breaker_config(t.routing_log, t.breaker_configs)
     requests = t.traffic.join(t.events.select(
-        F.col("event_id").alias("request_id"), (F.length("props") * 100).alias("prompt_length")),
+        F.col("event_id").alias("request_id"),
+        (F.length("props") * 100 * (1 + F.col("event_id") % 3)).alias("prompt_length")),
         "request_id")
     decisions = routing.switchboard(requests, t.routing_rules, t.module_configs, t.weights,
-                                    t.rate_limit_events, named)
+                                    t.rate_limit_events, gated(recovery), gated(blocked))
     ruled = F.col("module_name").isNotNull()
     return decisions.select(
         "request_id", "module_name", "blocked", "target_model",

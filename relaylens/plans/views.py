@@ -113,6 +113,13 @@ VIEWS = {
                               + INTERVAL '1' DAY) AS cooldown_until
         FROM {rate_limit_events} GROUP BY model_key""",
     "weights": """
+        SELECT 'model-' || CAST(user_id AS STRING) AS rule_model_name,
+               'cand-' || CAST(event_id % 5 AS STRING) AS candidate_model,
+               ROUND(AVG(CASE WHEN event_type = 'error' THEN CAST(0 AS DOUBLE)
+                              ELSE CAST(1 AS DOUBLE) END), 4) AS score,
+               MAX(ts) AS last_assessed_at, COUNT(*) AS assessment_count
+        FROM {events} GROUP BY user_id, event_id % 5""",
+    "early_weights": """
         SELECT 'model-' || CAST(user_id AS STRING) AS rule_model_name,
                'cand-' || CAST(event_id % 5 AS STRING) AS candidate_model,
                ROUND(AVG(CASE WHEN event_type = 'error' THEN CAST(0 AS DOUBLE)

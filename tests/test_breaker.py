@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from relaylens.operators import breaker
+from relaylens.operators import breaker, slices as slices_module
 
 SCHEMA = ("event_id BIGINT, module_name STRING, ts TIMESTAMP_NTZ, ok BOOLEAN, reset BOOLEAN, "
           "failure_threshold INT, recovery_timeout INT, success_threshold INT")
@@ -105,3 +105,62 @@ def test_slow_success_is_a_failure(spark):
     got = [r.ok for r in df.select(breaker.in_time(
         F.col("success"), F.col("ms"), F.lit(30.0)).alias("ok")).collect()]
     assert got == [True, True, False, False]
+
+
+def test_a_null_module_is_a_module(spark, monkeypatch):
+    """Its breaker opens, whatever the size of the batches that Python workers get."""
+    rows = [(i, None, START + timedelta(seconds=i), False, False, 5, 600, 1) for i in range(12)]
+    expected, _ = model(rows)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for batch in ("3", "10000"):
+        spark.conf.set(size, batch)
+        try:
+            for slices in (1, 4):
+                got = {(r.event_id, r.reset): (r.state_before, r.admitted, r.state_after,
+                                               r.failure_count) for r in breaker.replay(
+                    spark.createDataFrame(rows, SCHEMA), slices).collect()}
+                assert got == expected
+        finally:
+            spark.conf.unset(size)
+
+
+def test_a_dead_module_needs_few_passes(spark, monkeypatch):
+    """Twelve slices of a module that never recovers: passes do not grow with the slices."""
+    rows = [(i, "dead", START + timedelta(seconds=i), False, False, 3, 10, 2) for i in range(1200)]
+    expected, _ = model(rows)
+    passes = []
+    plain = slices_module._mapper
+
+    def counted(fold, entries, emit):
+        passes.append(emit)
+        return plain(fold, entries, emit)
+
+    monkeypatch.setattr(slices_module, "_mapper", counted)
+    for n in (4, 12):
+        passes.clear()
+        replayed = breaker.replay(spark.createDataFrame(rows, SCHEMA), n)
+        got = {(r.event_id, r.reset): (r.state_before, r.admitted, r.state_after, r.failure_count)
+               for r in replayed.collect()}
+        assert got == expected and len(passes) <= 5
+
+
+def test_blocked_periods_against_the_model(spark):
+    rows = log(11, 1500, 0.6, 0.02)
+    calls = spark.createDataFrame(rows, SCHEMA)
+    limits = {(r[1], r[6]) for r in rows}
+    configs = spark.createDataFrame([(m, 1, t, 1, 30.0, True) for m, t in limits],
+                                    "module_name STRING, failure_threshold INT, recovery_timeout INT, "
+                                    "success_threshold INT, timeout_seconds DOUBLE, enabled BOOLEAN")
+    replayed = breaker.replay(calls, 6)
+    periods = [tuple(r) for r in breaker.blocked_periods(replayed, configs).collect()]
+    refused = 0
+    for r in replayed.filter("not reset").collect():
+        inside = any(m == r.module_name and a <= r.ts < b for m, a, b in periods)
+        if not r.admitted:
+            refused += 1
+            assert inside
+    assert refused > 100
+    by = {}
+    for m, a, b in sorted(periods):
+        assert by.get(m, START) <= a < b
+        by[m] = b
