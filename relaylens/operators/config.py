@@ -56,11 +56,16 @@ def config_wide(rows: DataFrame, keys: list[str]) -> DataFrame:
         for key in keys])
 
 
-def coerce_rows(rows: DataFrame, schema: DataFrame) -> DataFrame:
-    """Typed values; keys the schema does not know stay texts."""
-    kinds = schema.select("config_key", "type").distinct()
+def coerce_rows(rows: DataFrame, schema: DataFrame, modules: DataFrame) -> DataFrame:
+    """Typed values by the schema of each row's module; keys it does not declare stay texts.
+
+    ``modules`` names the schema of each module in ``kind``. A module declares a key once, so the
+    joins never multiply rows, however other modules type the same key.
+    """
+    kinds = modules.select("module_name", "kind").dropDuplicates(["module_name"])
+    types = schema.groupBy("kind", "config_key").agg(F.max("type").alias("type"))
     typed = settings.coerce(F.col("config_value"), F.coalesce("type", F.lit("string")))
-    return (rows.join(kinds, "config_key", "left")
+    return (rows.join(kinds, "module_name", "left").join(types, ["kind", "config_key"], "left")
             .withColumn("typed", typed)
             .select("module_name", "config_key", "config_value",
                     F.col("typed.boolean").alias("boolean_value"),

@@ -8,7 +8,7 @@ from relaylens.functions import clock, pii
 from relaylens.functions.text import extract_texts
 from relaylens.operators import state
 
-STORE_POLICIES = {"original_value": state.KEEP, "entity_type": state.KEEP,
+STORE_POLICIES = {"original_value": state.AGREE, "entity_type": state.KEEP,
                   "request_id": state.KEEP, "expires_at": state.GREATEST}
 MASKED_CALLS = ("completion", "text_completion")
 
@@ -47,6 +47,14 @@ def message_texts(messages: DataFrame, *keep: str) -> DataFrame:
         extract_texts(F.col("content"), F.col("parts"))).alias("part", "text"))
 
 
+def gate_messages(messages: DataFrame, calls=MASKED_CALLS) -> DataFrame:
+    """Messages, strings or lists of parts, masked only for the listed call types."""
+    listed = F.col("call_type").isin(*calls)
+    return messages.withColumns({
+        "content": F.when(listed, pii.mask("content")).otherwise(F.col("content")),
+        "parts": F.when(listed, pii.mask_parts("parts")).otherwise(F.col("parts"))})
+
+
 def gate_by_call_type(df: DataFrame, text: str, calls=MASKED_CALLS) -> DataFrame:
     """Only the listed call types are masked."""
     return df.withColumn(text, F.when(F.col("call_type").isin(*calls), pii.mask(text))
@@ -55,20 +63,25 @@ def gate_by_call_type(df: DataFrame, text: str, calls=MASKED_CALLS) -> DataFrame
 
 def store_upsert(store: DataFrame, found: DataFrame, as_of, ttl_hours: float = 24,
                  order: list[str] | None = None, small_updates: bool = False) -> DataFrame:
-    """New tokens in; known ones keep their original and get the later expiry."""
+    """New tokens in; known ones get the later expiry.
+
+    A token that turns out to stand for two values loses its original for good: giving either
+    back could show a person's data to another.
+    """
     entering = found.withColumn("expires_at", clock.shifted(as_of, hours=ttl_hours))
     return state.keyed_upsert(store, entering, ["token"], STORE_POLICIES,
                               order or ["request_id", "original_value"], small_updates)
 
 
 def collisions(store: DataFrame, found: DataFrame) -> DataFrame:
-    """Tokens that stand for more than one value; restoring them could leak another's data."""
+    """Tokens that stand for more than one value, known as such to the store or not."""
     pairs = store.select("token", "original_value").unionByName(
         found.select("token", "original_value"))
     return pairs.groupBy("token").agg(
         F.min("original_value").alias("first_value"),
         F.max("original_value").alias("last_value"),
-    ).filter(F.col("first_value") != F.col("last_value"))
+        F.bool_or(F.col("original_value").isNull()).alias("_known"),
+    ).filter(F.col("_known") | (F.col("first_value") != F.col("last_value"))).drop("_known")
 
 
 def restore(df: DataFrame, text: str, ids: list[str], store: DataFrame, as_of,
@@ -77,12 +90,13 @@ def restore(df: DataFrame, text: str, ids: list[str], store: DataFrame, as_of,
 
     Rows without the token mark skip every shuffle. For the others, only (row id, token) pairs
     travel to the store and only the pairs that were found travel back; a row collects no more
-    than its own tokens. ``unsafe`` lists tokens to leave alone, such as ``collisions``.
+    than its own tokens. Tokens of several values have no original in the store and stay as they
+    are; ``unsafe`` lists further tokens to leave alone.
     """
     into = into or text
     marked = F.coalesce(F.contains(F.col(text), F.lit(pii.TOKEN_MARK)), F.lit(False))
-    live = store.filter(F.col("expires_at") > clock.instant(as_of)).select(
-        "token", "original_value")
+    live = store.filter((F.col("expires_at") > clock.instant(as_of))
+                        & F.col("original_value").isNotNull()).select("token", "original_value")
     if unsafe is not None:
         live = live.join(unsafe.select("token"), "token", "left_anti")
     with_tokens = df.filter(marked)

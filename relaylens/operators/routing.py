@@ -75,12 +75,15 @@ def route_prompt_length(requests: DataFrame) -> DataFrame:
         F.col("prompt_length"), F.col("threshold"), F.col("model_under"), F.col("model_over")))
 
 
-def candidate_pools(rules: DataFrame, weights: DataFrame,
-                    prices: DataFrame | None = None) -> DataFrame:
+def candidate_pools(rules: DataFrame, weights: DataFrame, prices: DataFrame | None = None,
+                    as_of=None, interval_minutes: float = 60) -> DataFrame:
     """Per rule its candidates with score and cost as one array, and whether any has a weight.
 
     The array restores what was one array in the rule's config, so its size is that of a row.
+    With ``as_of`` weights older than two assessment intervals do not count.
     """
+    if as_of is not None:
+        weights = quality.fresh(weights, as_of, interval_minutes)
     pool = quality.model_costs(quality.rule_pools(rules), prices).join(
         weights.select("rule_model_name", "candidate_model", "score"),
         ["rule_model_name", "candidate_model"], "left")

@@ -38,6 +38,24 @@ def pipeline(df: DataFrame, stages: dict[str, Callable[[DataFrame], DataFrame |
     return df
 
 
+def _disposed(df: DataFrame, found: Column) -> DataFrame:
+    """The first disposition of a row stays; rows without one have passed."""
+    known = F.col("disposition") if "disposition" in df.columns else F.lit("passed")
+    return df.withColumn("disposition", F.when(known == "passed", F.coalesce(
+        found, F.lit("passed"))).otherwise(known))
+
+
+def rejecting(name: str, test: Callable[[DataFrame], Column]) -> Callable[[DataFrame], DataFrame]:
+    """A stage that marks the rows it rejects in ``disposition`` and keeps them in the frame."""
+    return lambda df: _disposed(df, F.when(test(df), F.lit(f"rejected by {name}")))
+
+
+def guarded(name: str, value: Callable[[DataFrame], Column]) -> Callable[[DataFrame], DataFrame]:
+    """A stage whose expression is null where it fails (the ``try_`` functions): such rows are
+    marked in ``disposition``, and the job goes on."""
+    return lambda df: _disposed(df, F.when(value(df).isNull(), F.lit(f"error in {name}")))
+
+
 def merge_maps(rows: DataFrame, keys: list[str], name: str, value: str, order: str,
                into: str = "headers") -> DataFrame:
     """One map per group; of several values of one name the last in ``order`` wins.

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from relaylens.functions import clock
 
 OVERWRITE, KEEP, GREATEST, INCREMENT = "overwrite", "keep", "greatest", "increment"
+AGREE = "agree"
 
 
 def collapse(updates: DataFrame, keys: list[str], policies: dict[str, str],
@@ -18,7 +19,8 @@ def collapse(updates: DataFrame, keys: list[str], policies: dict[str, str],
     """
     at = F.struct(*order)
     merged = {OVERWRITE: lambda c: F.max_by(c, at), KEEP: lambda c: F.min_by(c, at),
-              GREATEST: F.max, INCREMENT: lambda c: F.count(F.lit(1))}
+              GREATEST: F.max, INCREMENT: lambda c: F.count(F.lit(1)),
+              AGREE: lambda c: F.when(F.min(c) == F.max(c), F.min(c))}
     return updates.groupBy(*keys).agg(
         *[merged[policy](F.col(c) if c in updates.columns else None).alias(c)
           for c, policy in policies.items()])
@@ -30,7 +32,8 @@ def keyed_upsert(target: DataFrame, updates: DataFrame, keys: list[str],
     """The state after inserting new keys and merging known ones column by column.
 
     ``overwrite`` takes the last update, ``keep`` the stored value (else the first update),
-    ``greatest`` the larger one, ``increment`` adds the number of updates.
+    ``greatest`` the larger one, ``increment`` adds the number of updates; ``agree`` keeps a value
+    that all updates share and is null, for good, once two differ.
 
     The default is one full outer join; a target bucketed by its keys is not shuffled for it.
     ``small_updates`` merges by a left join and appends the unknown keys, which lets Spark
@@ -45,6 +48,7 @@ def keyed_upsert(target: DataFrame, updates: DataFrame, keys: list[str],
         touched = F.col("_touched")
         changed = {OVERWRITE: new, KEEP: F.when(known, old).otherwise(new),
                    GREATEST: F.greatest(old, new),
+                   AGREE: F.when(~F.coalesce(known, F.lit(False)) | (old == new), new),
                    INCREMENT: F.coalesce(old, F.lit(0)) + new}[policy]
         return F.when(touched, changed).otherwise(old).alias(column)
 
@@ -52,8 +56,8 @@ def keyed_upsert(target: DataFrame, updates: DataFrame, keys: list[str],
     merged_columns = [value(c, p) for c, p in policies.items()]
     if not small_updates:
         return stored.join(delta, keys, "full_outer").select(*keys, *merged_columns)
-    known = target.select(*keys).join(delta.select(*keys), keys, "left_semi")
-    inserted = delta.join(known, keys, "left_anti").drop("_touched")
+    # Both uses of the collapsed updates share one exchange.
+    inserted = delta.join(target.select(*keys), keys, "left_anti")
     merged = stored.join(delta, keys, "left").select(*keys, *merged_columns)
     return merged.unionByName(inserted.select(*keys, *policies))
 

@@ -62,43 +62,53 @@ def config_effective(t):
             .filter(F.col("key") != "models"))
 
 
-@query("config_coerce", """
+_KIND = """CASE WHEN module_name LIKE 'module-%' THEN CASE CAST(SUBSTR(module_name, 8) AS INT) % 3
+               WHEN 0 THEN 'free_tier' WHEN 1 THEN 'prompt_length' ELSE 'quality' END
+           ELSE module_name END"""
+
+
+def _kinds(t):
+    """Modules of the log by their number: a third of them each under one of three schemas."""
+    return t.routing_modules.withColumn("kind", F.expr(_KIND))
+
+
+@query("config_coerce", f"""
     SELECT module_name, config_key,
-           CASE WHEN config_key = 'fallback_enabled'
+           CASE WHEN kind = 'free_tier' AND config_key = 'fallback_enabled'
              THEN LOWER(config_value) IN ('true', '1', 'yes', 'on') END AS boolean_value,
-           CASE WHEN config_key IN ('threshold', 'cooldown_reset_hour')
+           CASE WHEN kind || '.' || config_key IN ('prompt_length.threshold',
+                                                   'free_tier.cooldown_reset_hour')
              THEN TRY_CAST(config_value AS BIGINT) END AS integer_value,
-           CASE WHEN config_key = 'epsilon'
+           CASE WHEN kind = 'quality' AND config_key = 'epsilon'
              THEN TRY_CAST(config_value AS DOUBLE) END AS number_value,
-           CASE WHEN config_key = 'models' THEN CAST(CAST(config_value AS JSON) AS VARCHAR)
-             END AS json_value,
-           CASE WHEN config_key = 'selection_strategy' OR (config_key = 'epsilon'
-             AND TRY_CAST(config_value AS DOUBLE) IS NULL) THEN config_value END AS text_value
-    FROM (SELECT module_name, config_key, REPLACE(config_value, '", "', '","') AS config_value
-          FROM {module_configs}) c""")
+           CASE WHEN kind = 'quality' AND config_key = 'models'
+             THEN CAST(CAST(REPLACE(config_value, '", "', '","') AS JSON) AS VARCHAR) END AS json_value,
+           CASE WHEN kind || '.' || config_key NOT IN ('free_tier.fallback_enabled',
+                  'prompt_length.threshold', 'free_tier.cooldown_reset_hour', 'quality.models',
+                  'quality.epsilon')
+                OR (kind = 'quality' AND config_key = 'epsilon'
+                    AND TRY_CAST(config_value AS DOUBLE) IS NULL) THEN config_value END AS text_value
+    FROM (SELECT *, {_KIND} AS kind FROM {{module_configs}}) c""")
 def config_coerce(t):
-    return config.coerce_rows(t.module_configs, config.schema_table(t.spark)).drop("config_value")
-
-
-_KINDS = """SELECT module_name, CASE WHEN module_name LIKE 'module-%' THEN 'free_tier'
-                   ELSE module_name END AS kind FROM {routing_modules}"""
+    return config.coerce_rows(t.module_configs, config.schema_table(t.spark), _kinds(t)).drop(
+        "config_value")
 
 
 @query("config_defaults", f"""
     SELECT module_name, k.config_key, COALESCE(c.config_value, k.default_value) AS value,
            c.config_value IS NULL AS defaulted,
            CASE WHEN k.config_key = 'cooldown_reset_hour' AND c.config_value IS NOT NULL
-                THEN CAST(c.config_value AS INT) BETWEEN 0 AND 23 ELSE true END AS valid
-    FROM ({_KINDS}) m
-    JOIN (VALUES ('cooldown_reset_hour', '0'), ('cooldown_timezone', 'UTC'),
-                 ('fallback_enabled', 'true')) AS k(config_key, default_value) ON kind = 'free_tier'
+                THEN CAST(c.config_value AS INT) BETWEEN 0 AND 23
+                WHEN k.config_key = 'epsilon' AND c.config_value IS NOT NULL
+                THEN TRY_CAST(c.config_value AS DOUBLE) IS NOT NULL ELSE true END AS valid
+    FROM (SELECT module_name, {_KIND} AS kind FROM {{routing_modules}}) m
+    JOIN (VALUES {', '.join(
+        "('" + kind + "', '" + key + "', " + ("NULL" if value is None else "'" + value + "'") + ")"
+        for kind, key, _, value, *_ in config.SCHEMA_ROWS)}) AS k(kind, config_key, default_value)
+      USING (kind)
     LEFT JOIN {{module_configs}} c USING (module_name, config_key)""")
 def config_defaults(t):
-    kind = F.when(F.col("module_name").startswith("module-"), F.lit("free_tier")).otherwise(
-        F.col("module_name"))
-    modules = t.routing_modules.withColumn("kind", kind)
-    schema = config.schema_table(t.spark).filter("kind = 'free_tier'")
-    return config.with_defaults(modules, t.module_configs, schema)
+    return config.with_defaults(_kinds(t), t.module_configs, config.schema_table(t.spark))
 
 
 @query("route_prompt_length", """
@@ -193,19 +203,24 @@ def select_cold_start(t):
 
 
 @query("model_cost", """
-    SELECT p_partkey, model, CAST(CASE WHEN model LIKE '%gpt-4o%' OR model LIKE '%opus%' THEN 15.0
+    SELECT p_partkey, model, CASE WHEN p_partkey % 5 = 0 THEN p_retailprice / 100
+      WHEN model LIKE '%gpt-4o%' OR model LIKE '%opus%' THEN 15.0
       WHEN model LIKE '%gpt-4%' OR model LIKE '%sonnet%' THEN 3.0
       WHEN model LIKE '%haiku%' OR model LIKE '%gpt-3.5%' OR model LIKE '%mini%' THEN 0.25
-      ELSE 1.0 END AS DOUBLE) AS cost
-    FROM (SELECT p_partkey, p_name || CASE p_size % 6 WHEN 0 THEN '-gpt-4o-mini'
+      ELSE 1.0 END AS cost
+    FROM (SELECT *, p_partkey || '-' || p_name || CASE p_size % 6 WHEN 0 THEN '-gpt-4o-mini'
             WHEN 1 THEN '-gpt-4' WHEN 2 THEN '-mini' WHEN 3 THEN '-sonnet' WHEN 4 THEN '-opus'
             ELSE '' END AS model FROM {part}) p""")
 def model_cost(t):
+    """A fifth of the models have a price in the table, the others go by their names."""
     size = F.col("p_size") % 6
     suffix = (F.when(size == 0, "-gpt-4o-mini").when(size == 1, "-gpt-4").when(size == 2, "-mini")
               .when(size == 3, "-sonnet").when(size == 4, "-opus").otherwise(""))
-    models = t.part.select("p_partkey", F.concat("p_name", suffix).alias("model"))
-    return quality.model_costs(models, column="model")
+    models = t.part.select("p_partkey", F.concat(
+        F.col("p_partkey").cast("string"), F.lit("-"), "p_name", suffix).alias("model"),
+        (F.col("p_retailprice") / 100).alias("price"))
+    prices = models.filter("p_partkey % 5 = 0").select("model", "price")
+    return quality.model_costs(models.select("p_partkey", "model"), prices, column="model")
 
 
 ROUTE_QUALITY = """
@@ -229,6 +244,28 @@ def route_quality(t):
         F.col("target_model").isNotNull()).select("request_id", "target_model")
 
 
+@query("route_quality_fresh", """
+    SELECT request_id, MIN_BY(candidate_model, pos) FILTER (through > u * total) AS target_model
+    FROM (SELECT d.request_id, d.u, p.candidate_model, p.pos,
+                 SUM(1 / p.cost) OVER (PARTITION BY d.request_id ORDER BY p.pos) AS through,
+                 SUM(1 / p.cost) OVER (PARTITION BY d.request_id) AS total
+          FROM {draws} d JOIN {pool_scores} p ON d.model_name = p.rule_model_name
+          WHERE p.rule_model_name NOT IN (
+            SELECT q.rule_model_name FROM {rule_pools} q JOIN {weights} w
+              USING (rule_model_name, candidate_model)
+            WHERE w.last_assessed_at > {at}'2024-01-29 12:00:00')) x
+    GROUP BY request_id""")
+def route_quality_fresh(t):
+    """Rules whose weights are all stale start cold; only their requests are listed."""
+    pools = routing.candidate_pools(t.routing_rules, t.weights, as_of="2024-01-30 12:00:00",
+                                    interval_minutes=720).filter("not scored")
+    matched = routing.match_rule(t.traffic, t.routing_rules).filter(
+        F.col("module_name") == routing.QUALITY)
+    ready = routing.effective_settings(matched, t.module_configs)
+    return routing.route_quality(ready, pools).filter(
+        F.col("target_model").isNotNull()).select("request_id", "target_model")
+
+
 @query("candidates_filter", """
     SELECT rule_model_name, STRING_AGG(candidate_model, ',' ORDER BY score DESC, pos) AS candidates
     FROM {pool_scores} WHERE score >= 0.7 AND candidate_model <> 'cand-9'
@@ -335,19 +372,33 @@ def udf_route(t):
 
 
 @query("stage_pipeline", """
-    SELECT request_id, turn, UPPER(role) AS role, LENGTH(body) AS size
+    SELECT request_id, turn, UPPER(role) AS role, LENGTH(body) AS size,
+           CASE WHEN LENGTH(body) > 200 THEN 'rejected by f_limit'
+                WHEN turn % 3 = 2 THEN 'error in g_ratio' ELSE 'passed' END AS disposition
     FROM {messages} WHERE role <> 'system'""")
 def stage_pipeline(t):
+    """Failing stages are skipped, one rejects rows, one fails for single rows; a deliberate block
+    of the whole frame ends the chain."""
     def broken(df):
         return df.select("no_such_column")
 
+    def block(df):
+        raise stages.BlockRequest("not today")
+
     steps = {"a_drop_system": lambda df: df.filter("role <> 'system'"),
              "b_broken": broken, "c_unchanged": lambda df: None,
              "d_disabled": lambda df: df.limit(0),
-             "e_upper": lambda df: df.withColumn("role", F.upper("role"))}
+             "e_upper": lambda df: df.withColumn("role", F.upper("role")),
+             "f_limit": stages.rejecting("f_limit", lambda df: F.col("size") > 200),
+             "g_ratio": stages.guarded("g_ratio", lambda df: F.try_divide(
+                 F.col("size"), F.when(F.col("turn") % 3 != 2, F.lit(1))))}
     rows = t.messages.select("request_id", "turn", "role",
                              F.length("body").cast("bigint").alias("size"))
-    return stages.pipeline(rows, steps, [("d_disabled", False), ("a_drop_system", True)])
+    registry = [("d_disabled", False), ("a_drop_system", True)]
+    try:
+        return stages.pipeline(rows, steps | {"b_block": block}, registry).limit(0)
+    except stages.BlockRequest:
+        return stages.pipeline(rows, steps, registry)
 
 
 @query("merge_headers", """

@@ -8,7 +8,7 @@ from relaylens.functions import clock
 from relaylens.operators import cooldown, quality, state
 from relaylens.plans.registry import query
 
-NOON = "2024-01-15 12:00:00"
+EVENING = "2024-01-29 20:00:00"
 RULE_COLUMNS = "model_name, module_name, enabled, priority, instance_config"
 RULE_FULL = dict.fromkeys(["module_name", "enabled", "priority", "instance_config"],
                           state.OVERWRITE)
@@ -135,12 +135,11 @@ _SET = """
     SELECT model_key, MAX(CASE WHEN EXTRACT(HOUR FROM ts) < 6
              THEN CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 6 HOUR
              ELSE CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 30 HOUR END) AS cooldown_until
-    FROM {rate_limit_events} WHERE ts <= {at}'2024-01-15 12:00:00' GROUP BY model_key"""
+    FROM {rate_limit_events} GROUP BY model_key"""
 
 
 def _cooldowns(t):
-    errors = t.rate_limit_events.filter(F.col("ts") <= clock.instant(NOON))
-    return cooldown.from_errors(errors, hour=6)
+    return cooldown.from_errors(t.rate_limit_events, hour=6)
 
 
 @query("cooldown_set", _SET)
@@ -151,32 +150,32 @@ def cooldown_set(t):
 @query("cooldown_status", f"""
     SELECT model_key, cooldown_until, CAST(NULL AS BIGINT) AS active_count,
            CAST(NULL AS BIGINT) AS total_cooldown_records
-    FROM ({_SET}) c WHERE cooldown_until > {{at}}'2024-01-15 12:00:00'
+    FROM ({_SET}) c WHERE cooldown_until > {{at}}'2024-01-29 20:00:00'
     UNION ALL
-    SELECT NULL, NULL, COUNT(*) FILTER (cooldown_until > {{at}}'2024-01-15 12:00:00'), COUNT(*)
+    SELECT NULL, NULL, COUNT(*) FILTER (cooldown_until > {{at}}'2024-01-29 20:00:00'), COUNT(*)
     FROM ({_SET}) c""")
 def cooldown_status(t):
-    active, counts = cooldown.status(_cooldowns(t), NOON)
+    active, counts = cooldown.status(_cooldowns(t), EVENING)
     return active.unionByName(counts, allowMissingColumns=True)
 
 
 @query("cooldown_list", f"""
-    SELECT model_key, cooldown_until, cooldown_until > {{at}}'2024-01-15 12:00:00' AS is_active
+    SELECT model_key, cooldown_until, cooldown_until > {{at}}'2024-01-29 20:00:00' AS is_active
     FROM ({_SET}) c""")
 def cooldown_list(t):
-    return cooldown.listing(_cooldowns(t), NOON)
+    return cooldown.listing(_cooldowns(t), EVENING)
 
 
 @query("cooldown_clear", f"""
     SELECT 'expired' AS cleared, model_key FROM ({_SET}) c
-    WHERE cooldown_until > {{at}}'2024-01-15 12:00:00'
+    WHERE cooldown_until > {{at}}'2024-01-29 20:00:00'
     UNION ALL SELECT 'active', model_key FROM ({_SET}) c
-    WHERE cooldown_until <= {{at}}'2024-01-15 12:00:00'
+    WHERE cooldown_until <= {{at}}'2024-01-29 20:00:00'
     UNION ALL SELECT 'key', model_key FROM ({_SET}) c WHERE model_key <> 'model-8-free'""")
 def cooldown_clear(t):
     table = _cooldowns(t)
-    runs = [("expired", cooldown.clear(table, NOON)),
-            ("active", cooldown.clear(table, NOON, "active")),
+    runs = [("expired", cooldown.clear(table, EVENING)),
+            ("active", cooldown.clear(table, EVENING, "active")),
             ("key", cooldown.clear(table, mode="key", key="model-8-free"))]
     left = [df.select(F.lit(name).alias("cleared"), "model_key") for name, df in runs]
     return left[0].union(left[1]).union(left[2])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from relaylens.functions.text import extract_texts
 from relaylens.operators import breaker, routing, state
 from relaylens.operators.pii import message_texts
 from relaylens.plans import frames, views
@@ -224,22 +225,30 @@ def fan_out_stream(t):
 
 
 @query("stream_mask", f"""
-    SELECT request_id, turn, part, {duckdb_mask('text')} AS text FROM {{message_texts}}""")
+    SELECT request_id, turn, part, {duckdb_mask('text')} AS text, CAST(NULL AS VARCHAR) AS token,
+           CAST(NULL AS VARCHAR) AS original_value
+    FROM {{message_texts}}
+    UNION ALL
+    SELECT NULL, NULL, NULL, NULL, {views.duckdb_token('v')}, v FROM (SELECT DISTINCT v FROM (
+      SELECT UNNEST(regexp_extract_all(text, '{{pii_pattern}}')) AS v FROM {{message_texts}}) a) b""")
 def stream_mask(t):
     out, progress = _paths(t, "mask")
     store = StateTable(t.spark, scratch_path(t.spark, "tokens"), schemas.PII_TOKENS)
     live = frames.messages(t.live)
-    sinks.drain(jobs.mask_stream(live, store, out, progress, AS_OF))
+    sinks.drain(jobs.mask_stream(live, store, out, progress, lambda batch: AS_OF))
     masked = sinks.read_output(t.spark, out, live.schema)
-    return message_texts(masked, "request_id", "turn")
+    return message_texts(masked, "request_id", "turn").unionByName(
+        store.read().select("token", "original_value"), allowMissingColumns=True)
 
 
 @query("stream_screen", f"""
-    SELECT request_id, turn, part, {duckdb_scan('text')} AS pattern, 'block' AS outcome
+    SELECT request_id, turn, part, {duckdb_scan('text')} AS pattern, 'block' AS outcome, text
     FROM {{message_texts}} WHERE role = 'user' AND {duckdb_scan('text')} IS NOT NULL
     UNION ALL
-    SELECT request_id, turn, NULL, NULL, 'passed' FROM {{messages}}
-    WHERE (request_id, turn) NOT IN (SELECT (request_id, turn) FROM {{message_texts}}
+    SELECT request_id, turn, NULL, NULL, 'passed', (SELECT STRING_AGG(x.text, '|' ORDER BY x.part)
+      FROM {{message_texts}} x WHERE x.request_id = m.request_id AND x.turn = m.turn)
+    FROM {{messages}} m
+    WHERE request_id NOT IN (SELECT request_id FROM {{message_texts}}
            WHERE role = 'user' AND {duckdb_scan('text')} IS NOT NULL)""")
 def stream_screen(t):
     passed, progress = _paths(t, "screen")
@@ -248,11 +257,12 @@ def stream_screen(t):
     sinks.drain(jobs.screen_stream(live, passed, log, progress, action="block"))
     hits = sinks.read_output(t.spark, log, "request_id BIGINT, turn BIGINT, part INT, "
                              "pattern STRING, action STRING, text STRING")
-    went_on = sinks.read_output(t.spark, passed, "request_id BIGINT, turn BIGINT")
-    return hits.select("request_id", "turn", "part", "pattern",
-                       F.col("action").alias("outcome")).unionByName(
-        went_on.select("request_id", "turn", F.lit("passed").alias("outcome")),
-        allowMissingColumns=True)
+    went_on = sinks.read_output(t.spark, passed, live.schema)
+    texts = extract_texts(F.col("content"), F.col("parts"))
+    return hits.select("request_id", "turn", "part", "pattern", F.col("action").alias("outcome"),
+                       "text").unionByName(
+        went_on.select("request_id", "turn", F.lit("passed").alias("outcome"), F.when(
+            F.size(texts) > 0, F.array_join(texts, "|")).alias("text")), allowMissingColumns=True)
 
 
 @query("stream_metrics", """
@@ -308,7 +318,7 @@ _NEWEST = "(SELECT MAX(ts) FROM {routing_log})"
 def stream_assess(t):
     weights = StateTable(t.spark, scratch_path(t.spark, "weights"), schemas.QUALITY_WEIGHTS)
     sinks.drain(jobs.assess_schedule(
-        t.live.routing_log, t.routing_log, t.routing_rules, weights,
+        t.live.routing_log, lambda: t.routing_log, lambda: t.routing_rules, weights,
         scratch_path(t.spark, "assess-progress"), every=None))
     return weights.read().withColumn("score", F.round("score", 6))
 
@@ -325,12 +335,22 @@ def stream_assess(t):
                     WHERE expires_at > {{at}}'{AS_OF}') AS live
             FROM {{sources}} WHERE request_id IN (SELECT request_id FROM {{found}})) s) q""")
 def stream_restore(t):
-    whole = scratch_path(t.spark, "chunks")
-    frames.chunks(t).write.parquet(whole)
+    """Chunks in three shuffled files, one a batch: a fifth of the responses never finish, another
+    fifth arrive twice. Whatever came in goes out once."""
+    whole = frames.written(t, frames.chunks(t), "all-chunks")
+    lot = F.pmod(F.xxhash64("request_id"), F.lit(5))
+    sent = whole.withColumn("finish_reason", F.when(lot != 0, F.col("finish_reason")))
+    deal = F.pmod(F.xxhash64("request_id", "seq"), F.lit(2))
+    folder = scratch_path(t.spark, "chunks")
+    for part in (sent.filter(deal == 0), sent.filter(deal == 1), sent.filter(lot == 1)):
+        part.coalesce(1).write.mode("append").parquet(folder)
     live = t.spark.readStream.schema(
-        "request_id STRING, seq BIGINT, delta STRING, finish_reason STRING").parquet(whole)
+        "request_id STRING, seq BIGINT, delta STRING, finish_reason STRING").option(
+        "maxFilesPerTrigger", 1).parquet(folder)
     out, progress = _paths(t, "restored")
-    sinks.drain(chunks.restore_stream(live, frames.token_store(t), AS_OF, out, progress))
+    store = frames.token_store(t)
+    sinks.drain(chunks.restore_stream(live, lambda: store, lambda _: AS_OF, out, progress))
+    chunks.restore_left_over(t.spark, store, AS_OF, out, progress)
     pieces = sinks.read_output(t.spark, out, "request_id STRING, seq BIGINT, delta STRING")
     return _joined(pieces)
 

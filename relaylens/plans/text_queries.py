@@ -8,6 +8,7 @@ from relaylens.functions import pii, text
 from relaylens.operators import injection, pii as pii_ops
 from relaylens.plans import frames
 from relaylens.plans.registry import query
+from relaylens.sources import schemas
 from relaylens.sources.tables import spread
 from relaylens.plans.views import (AS_OF, LOOKALIKE_SQL, duckdb_mask, duckdb_scan, duckdb_token)
 
@@ -43,13 +44,13 @@ def inj_snippet(t):
 
 
 @query("pii_call_gate", f"""
-    SELECT m.request_id, m.turn, MD5(CASE WHEN r.call_type = 'embedding' THEN m.body
-           ELSE {duckdb_mask('m.body')} END) AS digest
-    FROM {{messages}} m JOIN {{requests}} r USING (request_id)""")
+    SELECT m.request_id, m.turn, m.part, MD5(CASE WHEN r.call_type = 'embedding' THEN m.text
+           ELSE {duckdb_mask('m.text')} END) AS digest
+    FROM {{message_texts}} m JOIN {{requests}} r USING (request_id)""")
 def pii_call_gate(t):
-    rows = t.messages.join(t.requests.select("request_id", "call_type"), "request_id")
-    return pii_ops.gate_by_call_type(rows, "body").select(
-        "request_id", "turn", F.md5("body").alias("digest"))
+    rows = frames.messages(t).join(t.requests.select("request_id", "call_type"), "request_id")
+    return pii_ops.message_texts(pii_ops.gate_messages(rows), "request_id", "turn").select(
+        "request_id", "turn", "part", F.md5("text").alias("digest"))
 
 
 @query("pii_token", f"""
@@ -85,14 +86,11 @@ def pii_entities(t):
 
 @query("pii_mask_messages", f"""
     SELECT request_id, turn, part, {duckdb_mask('text')} AS text,
-           {duckdb_mask('text')} <> text AS changed FROM {{message_texts}}""")
+           BOOL_OR({duckdb_mask('text')} <> text) OVER (PARTITION BY request_id, turn) AS changed
+    FROM {{message_texts}}""")
 def pii_mask_messages(t):
     masked = pii_ops.mask_messages(frames.messages(t))
-    texts = pii_ops.message_texts(masked, "request_id", "turn")
-    original = pii_ops.message_texts(frames.messages(t), "request_id", "turn").withColumnRenamed(
-        "text", "original")
-    return texts.join(original, ["request_id", "turn", "part"]).select(
-        "request_id", "turn", "part", "text", (F.col("text") != F.col("original")).alias("changed"))
+    return pii_ops.message_texts(masked, "request_id", "turn", "changed")
 
 
 @query("pii_store_upsert", "SELECT * FROM {token_store}")
@@ -100,6 +98,30 @@ def pii_store_upsert(t):
     return frames.token_store(t)
 
 
+_SHORT = r"_([0-9a-f])[0-9a-f]{{7}}\]$"
+
+
+@query("pii_collisions", f"""
+    SELECT token, CASE WHEN COUNT(DISTINCT value) = 1 THEN MIN(value) END AS original_value,
+           CASE WHEN COUNT(DISTINCT value) = 1 THEN MIN(value) ELSE token END AS restored,
+           COUNT(DISTINCT value) > 1 AS collided
+    FROM (SELECT regexp_replace(token, '{_SHORT}', '_\\10000000]') AS token, value FROM {{found}}) f
+    GROUP BY token""")
+def pii_collisions(t):
+    """Tokens of a single digit, so that many stand for several values; none of these comes back."""
+    found = frames.written(t, pii_ops.entities(frames.sources(t), "text", "request_id").withColumn(
+        "token", F.regexp_replace("token", _SHORT.format(), "_$10000000]")), "collisions")
+    empty = t.spark.createDataFrame([], schemas.PII_TOKENS)
+    store = pii_ops.store_upsert(empty, found, AS_OF)
+    clashes = pii_ops.collisions(store, found).select("token", F.lit(True).alias("collided"))
+    rows = store.select(F.col("token").alias("id"), F.col("original_value").alias("original"),
+                        F.col("token").alias("text"))
+    back = pii_ops.restore(rows, "text", ["id"], store, AS_OF, into="restored")
+    return back.withColumnRenamed("id", "token").join(clashes, "token", "left").select(
+        "token", F.col("original").alias("original_value"), "restored",
+        F.coalesce("collided", F.lit(False)).alias("collided"))
+
+
 @query("pii_restore", f"""
     SELECT s.request_id, CASE WHEN s.request_id LIKE 'doc-%' THEN MD5(s.text) ELSE MD5(
         array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i] || CASE
@@ -123,15 +145,23 @@ def pii_restore(t):
     FROM {{message_texts}} WHERE role <> 'assistant' GROUP BY request_id, turn
     UNION ALL
     SELECT request_id, 'response', turn, {duckdb_mask('body')} FROM {{messages}}
-    WHERE role = 'assistant'""")
+    WHERE role = 'assistant'
+    UNION ALL
+    SELECT request_id, 'entity', NULL, UNNEST(list_transform(
+             regexp_extract_all(text, '{{pii_pattern}}'), lambda v: {duckdb_token('v')} || v))
+    FROM (SELECT request_id, text FROM {{message_texts}} WHERE role <> 'assistant'
+          UNION ALL SELECT request_id, body FROM {{messages}} WHERE role = 'assistant') e""")
 def pii_scrub_log(t):
     asked = frames.messages(t).filter("role <> 'assistant'")
     answers = t.messages.filter("role = 'assistant'").select(
         "request_id", F.col("turn").alias("choice_idx"), F.col("body").alias("content"))
-    scrubbed, _ = pii_ops.scrub_log(asked, answers)
+    scrubbed, found = pii_ops.scrub_log(asked, answers)
     texts = text.extract_texts(F.col("content"), F.col("parts"))
+    entities = found.select("request_id", F.lit("entity").alias("side"),
+                            F.concat("token", "original_value").alias("text"))
     return scrubbed.filter(F.size(texts) > 0).select(
-        "request_id", "side", "idx", F.array_join(texts, "|").alias("text"))
+        "request_id", "side", "idx", F.array_join(texts, "|").alias("text")).unionByName(
+        entities, allowMissingColumns=True)
 
 
 @query("pii_stats", f"""

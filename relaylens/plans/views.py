@@ -206,8 +206,8 @@ REFERENCE_VIEWS = {
     "masked_sources": f"""
         SELECT request_id, {duckdb_mask('text')} AS text FROM {{sources}}""",
     "token_store": """
-        SELECT token, MIN(value) AS original_value, MIN(entity_type) AS entity_type,
-               MIN(request_id) AS request_id,
+        SELECT token, CASE WHEN MIN(value) = MAX(value) THEN MIN(value) END AS original_value,
+               MIN(entity_type) AS entity_type, MIN(request_id) AS request_id,
                MAX(CASE WHEN request_id LIKE 'doc-%' THEN {at}'2024-01-31 12:00:00'
                         ELSE {at}'2024-01-30 00:00:00' END) AS expires_at
         FROM {found} GROUP BY token""",

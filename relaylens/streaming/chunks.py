@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -22,6 +22,7 @@ from relaylens.streaming.sinks import each_batch, write_batch
 _TOKEN, _PARTIAL = re.compile(pii.TOKEN_PATTERN), re.compile(pii.PARTIAL_PATTERN)
 
 SAFE = "request_id STRING, seq BIGINT, safe STRING"
+LAST_BATCH = (1 << 62)  # the folder of what is released after the last micro-batch
 
 
 def split_held(text: str) -> tuple[str, str]:
@@ -68,8 +69,31 @@ def restore_chunks(chunks: DataFrame, store: DataFrame, as_of,
                    into="delta").select("request_id", "seq", "delta")
 
 
+FINISHED = -1  # the next chunk of a response whose last chunk was there
+
+
+def flush(tail: str, upcoming: int, early: list[tuple]) -> list[tuple[int, str, int]]:
+    """``(seq, safe text, chunks missing before it)`` of all that is held of a response that will
+    not go on: the held end, then what came too early, in order."""
+    out, expected = [], upcoming
+    for seq, delta, finish in sorted(early, key=lambda c: c[0]):
+        if seq > expected and tail:  # nothing can complete the held end any more
+            out.append((expected, tail, 0))
+            tail = ""
+        safe, tail = _feed(tail, delta, finish)
+        out.append((seq, safe, seq - expected))
+        expected = seq + 1
+    if tail:
+        out.append((expected, tail, 0))
+    return out
+
+
 class _ChunkProcessor(StatefulProcessor):
-    """Holds per request the tail, the next expected chunk, and chunks that came too early."""
+    """Holds per request the tail, the next expected chunk, and chunks that came too early.
+
+    A finished response leaves a mark, so that repeated chunks are not sent again; with a limit
+    on idle time the mark goes after it, and unfinished responses are flushed after it.
+    """
 
     def __init__(self, idle_ms: int | None):
         self.idle_ms = idle_ms
@@ -80,8 +104,8 @@ class _ChunkProcessor(StatefulProcessor):
         self.early = handle.getMapState("early", "seq BIGINT", "delta STRING, finish STRING")
 
     def _rows(self, key, out: list) -> pd.DataFrame:
-        return pd.DataFrame({"request_id": [key[0]] * len(out), "seq": [s for s, _ in out],
-                             "safe": [t for _, t in out]})
+        return pd.DataFrame({"request_id": [key[0]] * len(out), "seq": [r[0] for r in out],
+                             "safe": [r[1] for r in out], "missing": [r[2] for r in out]})
 
     def _clear_timers(self) -> None:
         for moment in list(self.handle.listTimers()):
@@ -90,21 +114,22 @@ class _ChunkProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         stored = self.progress.get()
         tail, upcoming = stored if stored is not None else ("", 0)
-        done = False
         for batch in rows:
             out = []
             ordered = batch.sort_values("seq")
             for seq, delta, finish in zip(ordered["seq"].tolist(), ordered["delta"],
                                           ordered["finish_reason"]):
-                if seq < upcoming:
+                if upcoming == FINISHED or seq < upcoming:
                     continue  # a repeated chunk
                 if seq > upcoming:
                     self.early.updateValue((seq,), (delta, finish))
                     continue
                 while True:
                     safe, tail = _feed(tail, delta, finish)
-                    out.append((upcoming, safe))
-                    done = done or bool(isinstance(finish, str) and finish)
+                    out.append((upcoming, safe, 0))
+                    if isinstance(finish, str) and finish:
+                        tail, upcoming = "", FINISHED
+                        break
                     upcoming += 1
                     if not self.early.containsKey((upcoming,)):
                         break
@@ -112,22 +137,22 @@ class _ChunkProcessor(StatefulProcessor):
                     self.early.removeKey((upcoming,))
             if out:
                 yield self._rows(key, out)
-        if self.idle_ms is not None:
-            self._clear_timers()
-        if done:
-            self.progress.clear()
+        if upcoming == FINISHED:
             self.early.clear()
-            return
         self.progress.update((tail, upcoming))
         if self.idle_ms is not None:
+            self._clear_timers()
             now = timerValues.getCurrentProcessingTimeInMs()
             self.handle.registerTimer(now + self.idle_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         """A response that never finished: what was held goes out, then its state ends."""
         stored = self.progress.get()
-        if stored is not None and stored[0]:
-            yield self._rows(key, [(stored[1], stored[0])])
+        if stored is not None and stored[1] != FINISHED:
+            early = [(k[0], *v) for k, v in self.early.iterator()]
+            out = flush(stored[0], stored[1], early)
+            if out:
+                yield self._rows(key, out)
         self.progress.clear()
         self.early.clear()
 
@@ -135,31 +160,82 @@ class _ChunkProcessor(StatefulProcessor):
         pass
 
 
+RELEASED = StructType([StructField("request_id", StringType()), StructField("seq", LongType()),
+                       StructField("safe", StringType()), StructField("missing", LongType())])
+
+
 def release_stream(chunks: DataFrame, idle_minutes: float | None = None) -> DataFrame:
     """Streaming form of ``release``; needs the RocksDB state store.
 
-    With ``idle_minutes`` a response that stops without its last chunk is flushed. That needs
-    timers on the wall clock, which keep a query running, so a draining job leaves them out.
+    ``missing`` counts the chunks that were given up before a row. With ``idle_minutes`` a
+    response that stops without its last chunk is flushed. That needs timers on the wall clock,
+    which keep a query running, so a draining job leaves them out and flushes with ``left_over``.
     """
-    schema = StructType([StructField("request_id", StringType()), StructField("seq", LongType()),
-                         StructField("safe", StringType())])
     idle_ms = None if idle_minutes is None else int(idle_minutes * 60_000)
     return (chunks.select("request_id", "seq", "delta", "finish_reason").groupBy("request_id")
             .transformWithStateInPandas(
-                statefulProcessor=_ChunkProcessor(idle_ms), outputStructType=schema,
+                statefulProcessor=_ChunkProcessor(idle_ms), outputStructType=RELEASED,
                 outputMode="Append", timeMode="None" if idle_ms is None else "ProcessingTime"))
 
 
-def restore_stream(chunks: DataFrame, store: DataFrame, as_of, out: str, checkpoint: str,
+def left_over(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """What the state of a drained query still holds of unfinished responses, released.
+
+    Only for the end of the input: a later run on the same checkpoint would release it again.
+    A response was one value of one row, so gathering its early chunks restores no more.
+    """
+    def part(name: str) -> DataFrame:
+        return spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+
+    held = part("progress").select(F.col("key.request_id").alias("request_id"), "value.*").filter(
+        F.col("next") != FINISHED)
+    early = part("early").select(F.col("key.request_id").alias("request_id"), F.struct(
+        F.col("user_map_key.seq").alias("seq"), F.col("user_map_value.delta").alias("delta"),
+        F.col("user_map_value.finish").alias("finish")).alias("chunk"))
+    both = held.join(early.groupBy("request_id").agg(F.collect_list("chunk").alias("early")),
+                     "request_id", "left")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = [(request, *row) for request, tail, upcoming, early_ in zip(
+                rows["request_id"], rows["tail"], rows["next"], rows["early"])
+                for row in flush(tail or "", int(upcoming), [
+                    (c["seq"], c["delta"], c["finish"])
+                    for c in (early_ if early_ is not None else [])])]
+            yield pd.DataFrame(out, columns=RELEASED.fieldNames())
+
+    return both.select("request_id", "tail", "next", "early").mapInPandas(run, RELEASED)
+
+
+def restore_stream(chunks: DataFrame, store, as_of, out: str, checkpoint: str,
                    idle_minutes: float = 30, every: str | None = None):
-    """Each micro-batch of released text is restored against the token store."""
+    """Each micro-batch of released text is restored against the token store.
+
+    ``store`` is a frame, or a function that each batch calls to read the store as it is by
+    then; ``as_of`` is a time, or a function of the batch that tells it.
+    """
     def handle(batch: DataFrame, epoch: int) -> None:
         batch.persist()
         try:
-            restored = restore(batch, "safe", ["request_id", "seq"], store, as_of, into="delta")
-            write_batch(restored.select("request_id", "seq", "delta"), out, epoch)
+            write_batch(_restored(batch, store, as_of), out, epoch)
         finally:
             batch.unpersist()
 
     released = release_stream(chunks, idle_minutes if every else None)
     return each_batch(released, checkpoint, handle, every=every)
+
+
+def _restored(batch: DataFrame, store, as_of) -> DataFrame:
+    known = store() if callable(store) else store
+    moment = as_of(batch) if callable(as_of) else as_of
+    return restore(batch, "safe", ["request_id", "seq"], known, moment, into="delta").select(
+        "request_id", "seq", "delta", "missing")
+
+
+def restore_left_over(spark: SparkSession, store, as_of, out: str, checkpoint: str) -> None:
+    """Writes what a drained query still held as its last batch; see ``left_over``."""
+    left = left_over(spark, checkpoint).persist()
+    try:
+        write_batch(_restored(left, store, as_of), out, LAST_BATCH)
+    finally:
+        left.unpersist()

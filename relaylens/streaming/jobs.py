@@ -22,9 +22,23 @@ def event_time(stream: DataFrame, column: str = "ts", delay: str = "10 minutes")
     return stream.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, delay)
 
 
+def newest(column: str = "ts"):
+    """The clock of a batch: its newest event time (the wall clock for a batch without rows)."""
+    def read(batch: DataFrame):
+        last = batch.agg(F.max(F.col(column).cast("timestamp_ntz")).alias("t")).first()["t"]
+        return last if last is not None else F.localtimestamp()
+    return read
+
+
 def mask_stream(messages: DataFrame, store: StateTable, out: str, checkpoint: str, as_of,
                 ttl_hours: float = 24, every: str | None = None) -> DataStreamWriter:
-    """Messages masked in flight and their tokens stored; upserts by token are idempotent."""
+    """Messages masked in flight and their tokens stored; upserts by token are idempotent.
+
+    ``as_of`` is a time, or a function of the batch such as ``newest()``, so that a running job
+    does not go on giving out tokens that expire by the time of its start.
+    """
+    moment = as_of if callable(as_of) else lambda _: as_of
+
     def handle(batch: DataFrame, epoch: int) -> None:
         batch.persist()
         try:
@@ -32,8 +46,8 @@ def mask_stream(messages: DataFrame, store: StateTable, out: str, checkpoint: st
             texts = pii.message_texts(batch, "request_id", "turn")
             found = pii.entities(texts, "text", "request_id", "turn").withColumn(
                 "request_id", F.col("request_id").cast("string"))
-            store.commit(pii.store_upsert(store.read(before=epoch), found, as_of, ttl_hours),
-                         version=epoch)
+            store.commit(pii.store_upsert(store.read(before=epoch), found, moment(batch),
+                                          ttl_hours), version=epoch)
         finally:
             batch.unpersist()
 
@@ -45,10 +59,12 @@ def screen_stream(messages: DataFrame, passed: str, log: str, checkpoint: str,
                   extra: list[tuple[str, str]] = (), every: str | None = None) -> DataStreamWriter:
     """Messages screened in flight: the ones that go on, and one log row per detection.
 
-    A blocked message does not go on; a flagged one carries the name of the pattern. The texts
-    of a message are scanned as an array, so nothing is shuffled.
+    A request is one call, whose messages arrive together: one hit blocks all of them, or flags
+    all of them with the pattern of the first hit. Only the hits are grouped and joined back, by
+    request; Spark broadcasts them while they are few.
     """
     def handle(batch: DataFrame, epoch: int) -> None:
+        batch.persist()
         scanned = F.col("role").isin(*role_list(roles))
         texts = batch.select("*", F.posexplode(F.when(scanned, extract_texts(
             F.col("content"), F.col("parts")))).alias("part", "text"))
@@ -57,9 +73,9 @@ def screen_stream(messages: DataFrame, passed: str, log: str, checkpoint: str,
         try:
             write_batch(hits.select("request_id", "turn", "part", "pattern",
                                     F.lit(action).alias("action"), "text"), log, epoch)
-            first = hits.groupBy("request_id", "turn").agg(
-                F.min_by("pattern", "part").alias("pattern"))
-            marked = batch.join(first, ["request_id", "turn"], "left")
+            first = hits.groupBy("request_id").agg(
+                F.min_by("pattern", F.struct("turn", "part")).alias("pattern"))
+            marked = batch.join(first, "request_id", "left")
             if action == injection.BLOCK:
                 marked = marked.filter(F.col("pattern").isNull())
             detected = F.when(F.lit(action == injection.FLAG), F.col("pattern"))
@@ -67,6 +83,7 @@ def screen_stream(messages: DataFrame, passed: str, log: str, checkpoint: str,
                         passed, epoch)
         finally:
             hits.unpersist()
+            batch.unpersist()
 
     return each_batch(messages, checkpoint, handle, every=every)
 
@@ -138,16 +155,23 @@ def cooldown_stream(errors: DataFrame, cooldowns: StateTable, checkpoint: str, h
     return each_batch(live, checkpoint, handle, mode="update", every=every)
 
 
-def assess_schedule(log: DataFrame, history: DataFrame, rules: DataFrame, weights: StateTable,
+def assess_schedule(log: DataFrame, history, rules, weights: StateTable,
                     checkpoint: str, module: str = "quality",
                     every: str | None = "60 seconds") -> DataStreamWriter:
-    """An assessment cycle whenever new log rows arrive, as of the newest of them."""
+    """An assessment cycle whenever new log rows arrive, as of the newest of them.
+
+    ``history`` and ``rules`` are frames, or functions that every cycle calls to read the tables
+    as they are by then; a frame would keep the files it was listed with.
+    """
+    def fresh(table):
+        return table() if callable(table) else table
+
     def handle(batch: DataFrame, epoch: int) -> None:
-        newest = batch.agg(F.max(F.col("ts").cast("timestamp_ntz")).alias("ts")).first().ts
-        if newest is None:
+        last = batch.agg(F.max(F.col("ts").cast("timestamp_ntz")).alias("ts")).first().ts
+        if last is None:
             return
         weights.commit(quality.assessment_cycle(
-            rules, history, weights.read(before=epoch), clock.instant(newest), module),
+            fresh(rules), fresh(history), weights.read(before=epoch), clock.instant(last), module),
             version=epoch)
 
     return each_batch(log, checkpoint, handle, every=every)

@@ -82,7 +82,7 @@ def test_restore_undoes_mask_and_keeps_unknown_and_expired_tokens(spark):
     assert purged.first().purged == 0 and kept.count() == 3  # equal to as_of is kept
 
 
-def test_store_keeps_the_first_original_and_the_later_expiry(spark):
+def test_store_gives_up_colliding_tokens_and_keeps_the_later_expiry(spark):
     when = datetime(2024, 2, 2)
     store = spark.createDataFrame([("t", "first", "EMAIL", "r1", when)], schemas.PII_TOKENS)
     found = spark.createDataFrame([("t", "second", "EMAIL", "r2"), ("u", "x", "SSN", "r3")],
@@ -91,12 +91,17 @@ def test_store_keeps_the_first_original_and_the_later_expiry(spark):
     for small in (False, True):
         after = {r.token: r for r in ops.store_upsert(
             store, found, AS_OF, small_updates=small).collect()}
-        assert after["t"].original_value == "first" and after["t"].request_id == "r1"
+        assert after["t"].original_value is None and after["t"].request_id == "r1"
         assert after["t"].expires_at == when
         assert after["u"].expires_at == datetime(2024, 2, 1)
     clash = ops.collisions(store, found)
     assert [r.token for r in clash.collect()] == ["t"]
     texts_ = spark.createDataFrame([(1, "[PII_EMAIL_00000000]")], "id INT, text STRING")
+    risky = ops.store_upsert(store, found, AS_OF).filter("token = 't'").withColumn(
+        "token", F.lit("[PII_EMAIL_00000000]"))
+    assert ops.restore(texts_, "text", ["id"], risky, AS_OF).first().text == "[PII_EMAIL_00000000]"
+    again = ops.store_upsert(ops.store_upsert(store, found, AS_OF), found.limit(1), AS_OF)
+    assert again.filter("token = 't'").first().original_value is None  # for good
     risky = store.withColumn("token", F.lit("[PII_EMAIL_00000000]"))
     unsafe = spark.createDataFrame([("[PII_EMAIL_00000000]",)], "token STRING")
     assert ops.restore(texts_, "text", ["id"], risky, AS_OF).first().text == "first"
