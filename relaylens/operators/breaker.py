@@ -19,8 +19,8 @@ DEFAULTS = {"failure_threshold": 5, "recovery_timeout": 60, "success_threshold":
             "timeout_seconds": 30.0}
 
 STATUS = ("module_name STRING, state STRING, failure_count BIGINT, success_count BIGINT, "
-          "last_failure_at TIMESTAMP_NTZ")
-STATUS_COLUMNS = ["state", "failure_count", "success_count", "last_failure_at"]
+          "last_failure_at TIMESTAMP_NTZ, last_seen_at TIMESTAMP_NTZ")
+STATUS_COLUMNS = ["state", "failure_count", "success_count", "last_failure_at", "last_seen_at"]
 
 
 def breaker_config(modules: DataFrame, configs: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def in_time(success: Column, response_time_ms: Column, timeout_seconds: Column)
     return success & ~F.coalesce(response_time_ms > timeout_seconds * 1000, F.lit(False))
 
 
-def outcomes(log: DataFrame, configs: DataFrame) -> DataFrame:
+def outcomes(log: DataFrame, configs: DataFrame, keep: list[str] = ()) -> DataFrame:
     """Log rows as breaker input; modules without an enabled row get the defaults."""
     own = configs.filter("enabled").select("module_name", *DEFAULTS)
     joined = log.join(own, "module_name", "left").withColumns(
@@ -43,7 +43,8 @@ def outcomes(log: DataFrame, configs: DataFrame) -> DataFrame:
     return joined.select(
         "event_id", "module_name", "ts",
         in_time(F.col("success"), F.col("response_time_ms"), F.col("timeout_seconds")).alias("ok"),
-        F.lit(False).alias("reset"), "failure_threshold", "recovery_timeout", "success_threshold")
+        F.lit(False).alias("reset"), "failure_threshold", "recovery_timeout", "success_threshold",
+        *keep)
 
 
 def with_resets(calls: DataFrame, resets: DataFrame | None = None,
@@ -221,7 +222,7 @@ def status(replayed: DataFrame, config: DataFrame | None = None,
         F.max_by("failure_count", at).alias("failure_count"),
         latest("success_count", counted).alias("success_count"),
         latest("last_failure_at", failed).alias("last_failure_at"),
-        F.bool_or(failed).alias("_failed"))
+        F.bool_or(failed).alias("_failed"), F.max("ts").alias("last_seen_at"))
     if previous is not None:
         before = previous.select("module_name", *[
             F.col(c).alias(f"_{c}") for c in STATUS_COLUMNS])
@@ -230,10 +231,11 @@ def status(replayed: DataFrame, config: DataFrame | None = None,
             F.coalesce("failure_count", "_failure_count").alias("failure_count"),
             F.coalesce("success_count", "_success_count").alias("success_count"),
             F.when(F.col("_failed"), F.col("last_failure_at")).otherwise(
-                F.col("_last_failure_at")).alias("last_failure_at"))
+                F.col("_last_failure_at")).alias("last_failure_at"),
+            F.greatest("last_seen_at", "_last_seen_at").alias("last_seen_at"))
     now = now.select("module_name", "state", "failure_count",
                      F.coalesce("success_count", F.lit(0)).alias("success_count"),
-                     "last_failure_at")
+                     "last_failure_at", "last_seen_at")
     return now if config is None else now.join(config, "module_name", "left")
 
 

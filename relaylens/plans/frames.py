@@ -64,13 +64,13 @@ def token_store(t) -> DataFrame:
     return pii_ops.store_upsert(store, found.filter(~from_docs), PAGE_CLOCK)
 
 
-def chunks(t) -> DataFrame:
+def chunks(t, size: int = CHUNK) -> DataFrame:
     """Masked texts that hold a token, cut into pieces as a streamed response would be."""
     marked = masked_sources(t).filter(F.contains(F.col("text"), F.lit(pii.TOKEN_MARK)))
-    last = F.floor((F.length("text") - 1) / CHUNK)
+    last = F.floor((F.length("text") - 1) / size)
     return (marked.select("request_id", "text", last.alias("last"),
                           F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("seq"))
             .select("request_id", "seq",
-                    F.substring(F.col("text"), (F.col("seq") * CHUNK + 1).cast("int"),
-                                F.lit(CHUNK)).alias("delta"),
+                    F.substring(F.col("text"), (F.col("seq") * size + 1).cast("int"),
+                                F.lit(size)).alias("delta"),
                     F.when(F.col("seq") == F.col("last"), F.lit("stop")).alias("finish_reason")))

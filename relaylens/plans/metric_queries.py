@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from relaylens.operators import metrics
@@ -198,14 +200,19 @@ def perf_report(t):
 
 
 @query("metrics_retention", """
-    SELECT COUNT(*) FILTER (ts < {at}'2024-01-10 00:00:00') AS removed,
-           COUNT(*) FILTER (ts >= {at}'2024-01-10 00:00:00') AS kept,
-           (SELECT COUNT(*) FROM {routing_log} WHERE ts >= {at}'2024-01-10 00:00:00') AS rows_left
+    SELECT COUNT(*) FILTER (ts < {at}'2024-01-10 12:00:00') AS removed,
+           COUNT(*) FILTER (ts >= {at}'2024-01-10 12:00:00') AS kept,
+           (SELECT COUNT(*) FROM {routing_log} WHERE ts >= {at}'2024-01-10 12:00:00') AS rows_left,
+           MIN(ts) FILTER (ts >= {at}'2024-01-10 12:00:00') AS oldest
     FROM {routing_log}""")
 def metrics_retention(t):
-    log = t.routing_log
-    counts = metrics.retention_counts(log, AS_OF, 21)
-    left = metrics.retained(log, AS_OF, 21).agg(F.count(F.lit(1)).alias("rows_left"))
+    log, as_of = t.routing_log, "2024-01-31 12:00:00"
+    path = scratch_path(t.spark, "metrics")
+    tables.persist_metrics(log, path)
+    tables.drop_before(t.spark, path, datetime(2024, 1, 10, 12), "ts", "date")
+    counts = metrics.retention_counts(log, as_of, 21)
+    left = tables.read_table(t.spark, path).agg(F.count(F.lit(1)).alias("rows_left"),
+                                                F.min("ts").alias("oldest"))
     both = counts.unionByName(left, allowMissingColumns=True)
     return both.agg(*[F.max(c).alias(c) for c in both.columns])
 

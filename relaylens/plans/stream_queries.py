@@ -63,7 +63,8 @@ _WITH_RESETS = _BREAKER.replace("RESETS", f"""
 _STEP = """event_id, module_name, before AS state_before, admitted, state AS state_after,
            f AS failure_count"""
 _STATUS = """SELECT module_name, MAX_BY(state, rn) AS state, MAX_BY(f, rn) AS failure_count,
-           MAX_BY(s, rn) AS success_count, ARG_MAX_NULL(failed_at, rn) AS last_failure_at
+           MAX_BY(s, rn) AS success_count, ARG_MAX_NULL(failed_at, rn) AS last_failure_at,
+           MAX(ts) AS last_seen_at
     FROM steps WHERE rn > 0 GROUP BY module_name"""
 
 

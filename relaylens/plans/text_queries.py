@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from relaylens.functions import pii, text
 from relaylens.operators import injection, pii as pii_ops
 from relaylens.plans import frames
 from relaylens.plans.registry import query
-from relaylens.sources import schemas
+from relaylens.session import scratch_path
+from relaylens.sources import schemas, tables
 from relaylens.sources.tables import spread
 from relaylens.plans.views import (AS_OF, LOOKALIKE_SQL, duckdb_mask, duckdb_scan, duckdb_token)
 
@@ -181,8 +184,13 @@ def pii_stats(t):
     WHERE expires_at >= {{at}}'{AS_OF}'
     UNION ALL SELECT NULL, COUNT(*) FROM {{token_store}} WHERE expires_at < {{at}}'{AS_OF}'""")
 def pii_purge(t):
-    kept, purged = pii_ops.purge(frames.token_store(t), AS_OF)
-    return kept.select("token").unionByName(purged, allowMissingColumns=True)
+    """The store in folders by expiry day; purging deletes the days that are over."""
+    store, path = frames.token_store(t), scratch_path(t.spark, "token-days")
+    tables.persist_by_day(store, path, "expires_at", "expiry_day")
+    tables.drop_before(t.spark, path, datetime.fromisoformat(AS_OF), "expires_at", "expiry_day")
+    _, purged = pii_ops.purge(store, AS_OF)
+    left = t.spark.read.schema(schemas.PII_TOKENS + ", expiry_day DATE").parquet(path)
+    return left.select("token").unionByName(purged, allowMissingColumns=True)
 
 
 @query("inj_normalise", f"""
@@ -257,8 +265,12 @@ def inj_log(t):
     FROM (SELECT *, CASE WHEN regexp_matches(tail, '\[PII_[A-Z_]+_[0-9a-f]{{8}}\]') THEN ''
         WHEN regexp_full_match(tail, '\[(P(I(I(_([A-Z_]*(_[0-9a-f]{{0,8}}\]?)?)?)?)?)?)?')
         THEN tail ELSE '' END AS held
-      FROM (SELECT *, regexp_extract(delta, '\[[^\[]*$') AS tail FROM {chunk_pieces}) a) b""")
+      FROM (SELECT *, regexp_extract(delta, '\[[^\[]*$') AS tail FROM (
+        SELECT request_id, seq, SUBSTR(text, seq * 60 + 1, 60) AS delta
+        FROM (SELECT request_id, text, UNNEST(range(0, (LENGTH(text) - 1) // 60 + 1)) AS seq
+              FROM {masked_sources} WHERE contains(text, '[PII_')) p) c) a) b""")
 def split_safe_held(t):
-    pieces = frames.chunks(t)
+    """Pieces of 60 characters: some hold whole tokens, some cut one."""
+    pieces = frames.chunks(t, size=60)
     return pieces.select("request_id", "seq", pii.safe_head(F.col("delta")).alias("safe"),
                          pii.held_tail(F.col("delta")).alias("held"))

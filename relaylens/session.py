@@ -54,6 +54,27 @@ def shared_dir(spark: SparkSession) -> str:
     return local
 
 
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder, for a written intermediate table."""
-    return f"{shared_dir(spark).rstrip('/')}/relaylens/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/relaylens/{label}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it lies."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Deletes the intermediate tables that this process has made; call it once no frame that
+    was built from them is needed any more. They hold copies of texts."""
+    count = len(_scratch)
+    while _scratch:
+        remove(spark, _scratch.pop())
+    return count

@@ -9,6 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from relaylens.session import remove
+
+KEPT_VERSIONS = 3  # the newest ones; a batch reads the one before its own
+
 
 class StateTable:
     def __init__(self, spark: SparkSession, path: str, schema: str):
@@ -28,6 +32,22 @@ class StateTable:
         names = [status.getPath().getParent().getName() for status in fs.globStatus(done)]
         return sorted(int(name.split("=")[1]) for name in names)
 
+    def version_of(self, batch: DataFrame, epoch: int) -> int:
+        """The version that a micro-batch commits.
+
+        Epochs start again with every new checkpoint, so each streaming query is bound, at its
+        first batch, to the versions after those that it found.
+        """
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_queries/{query}")
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            known = self.versions()
+            first = (known[-1] + 1 if known else 0) - epoch
+            fs.mkdirs(jvm.org.apache.hadoop.fs.Path(root, f"first={first}"))
+        return int(fs.listStatus(root)[0].getPath().getName().split("=")[1]) + epoch
+
     def read(self, before: int | None = None) -> DataFrame:
         """The newest committed state, or the newest one older than ``before``."""
         known = [v for v in self.versions() if before is None or v < before]
@@ -39,4 +59,6 @@ class StateTable:
         known = self.versions()
         version = version if version is not None else (known[-1] + 1 if known else 0)
         state.write.mode("overwrite").parquet(self._location(version))
+        for old in [v for v in known if v < version][:-(KEPT_VERSIONS - 1)]:
+            remove(self.spark, self._location(old))
         return version

@@ -46,8 +46,9 @@ def mask_stream(messages: DataFrame, store: StateTable, out: str, checkpoint: st
             texts = pii.message_texts(batch, "request_id", "turn")
             found = pii.entities(texts, "text", "request_id", "turn").withColumn(
                 "request_id", F.col("request_id").cast("string"))
-            store.commit(pii.store_upsert(store.read(before=epoch), found, moment(batch),
-                                          ttl_hours), version=epoch)
+            version = store.version_of(batch, epoch)
+            store.commit(pii.store_upsert(store.read(before=version), found, moment(batch),
+                                          ttl_hours), version=version)
         finally:
             batch.unpersist()
 
@@ -115,18 +116,25 @@ def breaker_stream(log: DataFrame, configs: DataFrame, states: StateTable, out:
                    checkpoint: str, every: str | None = None) -> DataStreamWriter:
     """Breakers over a stream: each micro-batch is replayed from the stored module states.
 
-    The replay cuts a hot module into slices, which one state-store key could not.
+    The replay cuts a hot module into slices, which one state-store key could not. Rows that are
+    older than what their module has already replayed would turn the machine back; they change
+    nothing and are written to ``<out>-late``, so that none is lost unseen.
     """
     def handle(batch: DataFrame, epoch: int) -> None:
-        before = states.read(before=epoch)
+        version = states.version_of(batch, epoch)
+        before = states.read(before=version)
         initial = before.select("module_name", breaker.as_initial(
             F.col("state"), F.col("failure_count"), F.col("success_count"),
-            F.col("last_failure_at")).alias("initial"))
-        calls = breaker.outcomes(batch, configs).join(initial, "module_name", "left")
+            F.col("last_failure_at")).alias("initial"), F.col("last_seen_at").alias("_seen"))
+        joined = batch.join(initial, batch["module_name"].eqNullSafe(initial["module_name"]),
+                            "left").drop(initial["module_name"])
+        is_late = F.coalesce(F.col("ts") < F.col("_seen"), F.lit(False))
+        write_batch(joined.filter(is_late).select(*batch.columns), f"{out}-late", epoch)
+        calls = breaker.outcomes(joined.filter(~is_late), configs, keep=["initial"])
         replayed = breaker.replay(calls).persist()
         try:
             write_batch(replayed, out, epoch)
-            states.commit(breaker.status(replayed, previous=before), version=epoch)
+            states.commit(breaker.status(replayed, previous=before), version=version)
         finally:
             replayed.unpersist()
 
@@ -148,9 +156,10 @@ def cooldown_stream(errors: DataFrame, cooldowns: StateTable, checkpoint: str, h
     def handle(batch: DataFrame, epoch: int) -> None:
         changed = batch.select("model_key", F.col("window.end").cast("timestamp_ntz")
                                .alias("cooldown_until"))
+        version = cooldowns.version_of(batch, epoch)
         cooldowns.commit(state.keyed_upsert(
-            cooldowns.read(before=epoch), changed, ["model_key"],
-            {"cooldown_until": state.GREATEST}, ["cooldown_until"]), version=epoch)
+            cooldowns.read(before=version), changed, ["model_key"],
+            {"cooldown_until": state.GREATEST}, ["cooldown_until"]), version=version)
 
     return each_batch(live, checkpoint, handle, mode="update", every=every)
 
@@ -170,8 +179,9 @@ def assess_schedule(log: DataFrame, history, rules, weights: StateTable,
         last = batch.agg(F.max(F.col("ts").cast("timestamp_ntz")).alias("ts")).first().ts
         if last is None:
             return
+        version = weights.version_of(batch, epoch)
         weights.commit(quality.assessment_cycle(
-            fresh(rules), fresh(history), weights.read(before=epoch), clock.instant(last), module),
-            version=epoch)
+            fresh(rules), fresh(history), weights.read(before=version), clock.instant(last),
+            module), version=version)
 
     return each_batch(log, checkpoint, handle, every=every)

@@ -6,7 +6,7 @@ import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
 logger = logging.getLogger(__name__)
 
@@ -65,7 +65,26 @@ def read_output(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("basePath", path).parquet(f"{path}/batch=*")
 
 
-def dropped_rows(query: StreamingQuery) -> int:
-    """Rows that came after the watermark, over the recent batches."""
-    return sum(op.numRowsDroppedByWatermark
-               for progress in query.recentProgress for op in progress.stateOperators)
+class DroppedRows(StreamingQueryListener):
+    """Counts, per query, every row that came after a watermark and was dropped.
+
+    Add it with ``spark.streams.addListener`` before the query starts: progress reports that a
+    query itself keeps are only the latest ones.
+    """
+
+    def __init__(self):
+        self.by_query: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.by_query.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        dropped = sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+        key = str(event.progress.id)
+        self.by_query[key] = self.by_query.get(key, 0) + dropped
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass

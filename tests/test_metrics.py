@@ -1,11 +1,15 @@
 """Edges of the metric operators."""
 
+import os
 from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
 
+from relaylens import session
 from relaylens.operators import metrics
+from relaylens.session import scratch_path
+from relaylens.sources import tables
 
 SCHEMA = ("event_id BIGINT, ts TIMESTAMP_NTZ, model_name STRING, module_name STRING, "
           "target_model STRING, response_time_ms DOUBLE, success BOOLEAN, error_message STRING")
@@ -47,3 +51,29 @@ def test_quantile_is_exact_on_ties_and_hot_modules(spark, quantile):
            for r in metrics.latency_table(frame(spark, rows), NOW, 60, quantile).collect()}
     for name, vs in values.items():
         assert got[name] == pytest.approx(np.quantile(vs, quantile))
+
+
+def test_dropping_old_rows_leaves_other_days_alone(spark):
+    rows = spark.sql("""SELECT id, TIMESTAMP_NTZ '2024-01-01 06:00:00'
+                               + make_dt_interval(0, CAST(id AS INT) * 6) AS ts FROM range(40)""")
+    path = scratch_path(spark, "days")
+    tables.persist_by_day(rows, path, "ts", "day")
+    cut = datetime(2024, 1, 4, 12)
+    later = lambda: {f for f in spark.read.parquet(path).inputFiles()
+                     if f.split("day=")[1] > "2024-01-05"}
+    before = later()
+    for _ in range(2):
+        tables.drop_before(spark, path, cut, "ts", "day")
+        left = spark.read.parquet(path)
+        assert sorted(r.id for r in left.collect()) == [
+            r.id for r in rows.orderBy("id").collect() if r.ts >= cut]
+    assert tables.days_of(spark, path, "day")[0] == cut.date()
+    assert later() == before and len(before) >= 5
+
+
+def test_scratch_tables_can_be_removed(spark, monkeypatch):
+    monkeypatch.setattr(session, "_scratch", [])
+    path = scratch_path(spark, "some")
+    spark.range(3).write.parquet(path)
+    assert session.remove_scratch(spark) == 1 and session.remove_scratch(spark) == 0
+    assert not os.path.exists(path.removeprefix("file:"))

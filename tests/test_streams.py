@@ -1,6 +1,7 @@
 """Streams against their batch forms, over several files, and the state table."""
 
 import random
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -181,3 +182,66 @@ def test_a_retried_commit_replaces_its_version(spark):
     table.commit(row(3), version=1)
     assert table.versions() == [0, 1]
     assert table.read().first().v == 3 and table.read(before=1).first().v == 1
+
+
+def test_old_versions_go_and_a_new_checkpoint_goes_on(spark):
+    table = StateTable(spark, scratch_path(spark, "table"), "k INT, v INT")
+    row = lambda v: spark.createDataFrame([(1, v)], "k INT, v INT")
+    for v in range(5):
+        table.commit(row(v))
+    assert table.versions() == [2, 3, 4] and table.read().first().v == 4
+    source = scratch_path(spark, "numbers")
+    row(7).write.parquet(source)
+    for _ in range(2):  # two queries, each with a checkpoint of its own and epochs from 0
+        live = spark.readStream.schema("k INT, v INT").parquet(source)
+
+        def handle(batch, epoch):
+            version = table.version_of(batch, epoch)
+            last = table.read(before=version).first().v
+            table.commit(row(last + batch.count()), version=version)
+
+        sinks.drain(sinks.each_batch(live, scratch_path(spark, "p"), handle), 120)
+    assert table.versions() == [4, 5, 6] and table.read().first().v == 6
+
+
+def test_late_rows_do_not_turn_a_breaker_back(spark):
+    rows = outcome_rows(300)
+    log = spark.createDataFrame(rows, schemas.ROUTING_LOG)
+    configs = spark.createDataFrame([("a", 2, 30, 2, 30.0, True)], schemas.BREAKER_CONFIGS)
+    source = scratch_path(spark, "log")
+    late = [i for i in range(100) if i % 10 == 3]
+    for ids in ([i for i in range(150) if i not in late], range(150, 300), late):
+        log.filter(log.event_id.isin(list(ids))).coalesce(1).write.mode("append").parquet(source)
+    live = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    states = StateTable(spark, scratch_path(spark, "states"), breaker.STATUS)
+    out = scratch_path(spark, "out")
+    sinks.drain(jobs.breaker_stream(live, configs, states, out, scratch_path(spark, "p")), 120)
+    on_time = breaker.replay(breaker.outcomes(log.filter(~log.event_id.isin(late)), configs), 3)
+    columns = ["event_id", "state_before", "state_after", "failure_count"]
+    got = sinks.read_output(spark, out, "event_id BIGINT, state_before STRING, state_after STRING, "
+                            "failure_count BIGINT").select(*columns)
+    assert sorted(got.collect()) == sorted(on_time.select(*columns).collect())
+    missed = sinks.read_output(spark, out + "-late", "event_id BIGINT")
+    assert sorted(r.event_id for r in missed.collect()) == late
+
+
+def test_every_dropped_row_is_counted(spark):
+    log = spark.createDataFrame(outcome_rows(600), schemas.ROUTING_LOG)
+    source = scratch_path(spark, "log")
+    for part in ("event_id >= 300 AND event_id < 450", "event_id >= 450 AND event_id < 590",
+                 "event_id >= 590 AND event_id < 599", "event_id < 40", "event_id = 599"):
+        log.filter(part).coalesce(1).write.mode("append").parquet(source)
+    live = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    counter = sinks.DroppedRows()
+    spark.streams.addListener(counter)
+    try:
+        query = sinks.drain(jobs.metrics_stream(live, scratch_path(spark, "out"),
+                                                scratch_path(spark, "p"), width="1 minute",
+                                                slide=None, delay="1 minute"), 120)
+        for _ in range(50):
+            if counter.by_query.get(str(query.id), 0):
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(counter)
+    assert counter.by_query[str(query.id)] > 0
