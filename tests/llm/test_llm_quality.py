@@ -18,7 +18,8 @@ def test_score_is_the_difference_of_normal_densities():
     scale = np.sqrt(np.diag(pooled))
     x, logs = rng.normal(0, 1, (5, quality.FEATURES)), []
     for k in (0, 1):
-        s = 0.9 * np.cov(data[k].T, bias=True) + 0.1 * pooled
+        own = np.cov(data[k].T, bias=True)
+        s = (1 - quality.TO_POOLED) * own + quality.TO_POOLED * pooled
         z = s / np.outer(scale, scale)
         d = len(z)
         z = (1 - quality.TO_SPHERE) * z + quality.TO_SPHERE * np.trace(z) / d * np.eye(d)
