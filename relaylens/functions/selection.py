@@ -32,18 +32,15 @@ def floored(score: Column) -> Column:
     return F.greatest(F.coalesce(score, F.lit(SCORE_FLOOR)), F.lit(SCORE_FLOOR))
 
 
-def _pick(pool: Column, u: Column) -> Column:
-    """A uniform element; null for an empty pool."""
-    size = F.size(pool)
+def _pick(models: Column, u: Column) -> Column:
+    """A uniform element; null for an empty list."""
+    size = F.size(models)
     index = F.least(F.floor(u * size).cast("int"), size - 1)
-    return F.when(size > 0, F.get(pool, index)["model"])
+    return F.when(size > 0, F.get(models, index))
 
 
-def proportional(pool: Column, weight, u: Column) -> Column:
-    """The first candidate whose cumulative weight exceeds ``u`` times the total.
-
-    ``u`` is used once per candidate, so it should be a plain column.
-    """
+def _steps(pool: Column, weight) -> Column:
+    """The candidates with their cumulative weights, and the total."""
     start = F.struct(F.lit(0.0).alias("sum"), F.array().cast(
         "ARRAY<STRUCT<through: DOUBLE, model: STRING>>").alias("steps"))
 
@@ -52,47 +49,84 @@ def proportional(pool: Column, weight, u: Column) -> Column:
         return F.struct(through.alias("sum"), F.concat(acc["steps"], F.array(F.struct(
             through.alias("through"), c["model"].alias("model")))).alias("steps"))
 
-    def choose(acc):
-        reached = F.filter(acc["steps"], lambda s: s["through"] > u * acc["sum"])
-        last = F.get(acc["steps"], F.size(acc["steps"]) - 1)
-        return F.coalesce(F.get(reached, 0), last)["model"]
+    return F.aggregate(pool, start, step)
+
+
+def _drawn(steps: Column, u: Column) -> Column:
+    """The first candidate whose cumulative weight exceeds ``u`` times the total.
+
+    ``u`` is used once per candidate, so it should be a plain column.
+    """
+    reached = F.filter(steps["steps"], lambda s: s["through"] > u * steps["sum"])
+    last = F.get(steps["steps"], F.size(steps["steps"]) - 1)
+    return F.coalesce(F.get(reached, 0), last)["model"]
+
+
+def _models(pool: Column) -> Column:
+    return F.transform(pool, lambda c: c["model"])
+
+
+def _ranked(pool: Column) -> Column:
+    """Models from the highest score on; equal scores keep list order."""
+    return _models(F.array_sort(F.transform(pool, lambda c, i: F.struct(
+        (-floored(c["score"])).alias("key"), i.alias("pos"), c["model"].alias("model")))))
+
+
+def _by_score(pool: Column) -> Column:
+    return _steps(pool, lambda c: floored(c["score"]))
+
+
+def _by_cost(pool: Column) -> Column:
+    return _steps(pool, lambda c: F.lit(1.0) / F.greatest(c["cost"], F.lit(SMALLEST_COST)))
+
+
+def prepared(pool: Column) -> Column:
+    """What the strategies need of a pool, so that it is summed and ranked once per rule and a
+    request only looks its choice up."""
+    return F.struct(_models(pool).alias("models"), _ranked(pool).alias("ranked"),
+                    _by_score(pool).alias("by_score"), _by_cost(pool).alias("by_cost"))
+
 
-    return F.aggregate(pool, start, step, choose)
+def _best(ranked: Column, k: Column, u: Column) -> Column:
+    return _pick(F.slice(ranked, F.lit(1), F.greatest(F.lit(1), F.least(k, F.size(ranked)))), u)
 
 
 def weighted(pool: Column, u: Column) -> Column:
-    return proportional(pool, lambda c: floored(c["score"]), u)
+    return _drawn(_by_score(pool), u)
 
 
 def top_k(pool: Column, k: Column, u: Column) -> Column:
     """Uniform among the ``k`` best; equal scores keep list order, ``k`` is clamped to 1..n."""
-    size = F.size(pool)
-    ranked = F.array_sort(F.transform(pool, lambda c, i: F.struct(
-        (-floored(c["score"])).alias("key"), i.alias("pos"), c["model"].alias("model"))))
-    best = F.slice(ranked, F.lit(1), F.greatest(F.lit(1), F.least(k, size)))
-    return _pick(best, u)
+    return _best(_ranked(pool), k, u)
 
 
 def epsilon_greedy(pool: Column, epsilon: Column, u_explore: Column, u_pick: Column) -> Column:
     """Uniform with probability ``epsilon``, else the first candidate with the highest score."""
-    best = F.array_max(F.transform(pool, lambda c, i: F.struct(
-        floored(c["score"]).alias("key"), (-i).alias("pos"), c["model"].alias("model"))))
-    return F.when(u_explore < epsilon, _pick(pool, u_pick)).otherwise(best["model"])
+    return F.when(u_explore < epsilon, _pick(_models(pool), u_pick)).otherwise(
+        F.get(_ranked(pool), 0))
 
 
 def cold_start(pool: Column, strategy: Column, u: Column) -> Column:
     """Inverse cost weights, or uniform for any other strategy; ``cost`` is a pool field."""
-    cheap = proportional(
-        pool, lambda c: F.lit(1.0) / F.greatest(c["cost"], F.lit(SMALLEST_COST)), u)
-    return F.when(strategy == "cost_weighted", cheap).otherwise(_pick(pool, u))
+    return F.when(strategy == "cost_weighted", _drawn(_by_cost(pool), u)).otherwise(
+        _pick(_models(pool), u))
 
 
-def by_strategy(pool: Column, strategy: Column, k: Column, epsilon: Column,
+def by_strategy(ready: Column, strategy: Column, k: Column, epsilon: Column,
                 u: Column, u_explore: Column) -> Column:
-    """Strategy by name; an unknown name falls back to the weighted draw."""
-    return (F.when(strategy == "top_k", top_k(pool, k, u))
-            .when(strategy == "epsilon_greedy", epsilon_greedy(pool, epsilon, u_explore, u))
-            .otherwise(weighted(pool, u)))
+    """Strategy by name over a ``prepared`` pool; an unknown name falls back to the weighted
+    draw."""
+    greedy = F.when(u_explore < epsilon, _pick(ready["models"], u)).otherwise(
+        F.get(ready["ranked"], 0))
+    return (F.when(strategy == "top_k", _best(ready["ranked"], k, u))
+            .when(strategy == "epsilon_greedy", greedy)
+            .otherwise(_drawn(ready["by_score"], u)))
+
+
+def start_cold(ready: Column, strategy: Column, u: Column) -> Column:
+    """``cold_start`` over a ``prepared`` pool."""
+    return F.when(strategy == "cost_weighted", _drawn(ready["by_cost"], u)).otherwise(
+        _pick(ready["models"], u))
 
 
 def filter_candidates(candidates: Column, keep=(), order=None) -> Column:

@@ -103,23 +103,28 @@ def draws(requests: DataFrame) -> DataFrame:
 
 
 def quality_target() -> Column:
-    """The choice for a row with ``draws``, a pool and the effective settings."""
-    pool, u = F.col("pool"), F.col("_u")
+    """The choice for a row with ``draws``, a prepared pool and the effective settings."""
+    ready, u = F.col("_ready"), F.col("_u")
     chosen = selection.by_strategy(
-        pool, F.coalesce("selection_strategy", F.lit("weighted_random")),
+        ready, F.coalesce("selection_strategy", F.lit("weighted_random")),
         F.coalesce(F.col("top_k").try_cast("int"), F.lit(1)),
         F.coalesce(F.col("epsilon").try_cast("double"), F.lit(0.1)), u, F.col("_explore"))
-    fallback = selection.cold_start(
-        pool, F.coalesce("cold_start_strategy", F.lit("cost_weighted")), u)
+    fallback = selection.start_cold(
+        ready, F.coalesce("cold_start_strategy", F.lit("cost_weighted")), u)
     return F.when(F.col("scored"), chosen).otherwise(fallback)
 
 
+def ready_pools(pools: DataFrame) -> DataFrame:
+    """``candidate_pools`` with all that a choice looks up, worked out once per rule."""
+    return pools.select(F.col("rule_model_name").alias("model_name"),
+                        selection.prepared(F.col("pool")).alias("_ready"), "scored")
+
+
 def route_quality(requests: DataFrame, pools: DataFrame) -> DataFrame:
     """Requests with their effective settings; models without a pool get null."""
-    joined = draws(requests).join(pools.withColumnRenamed("rule_model_name", "model_name"),
-                                  "model_name", "left")
+    joined = draws(requests).join(ready_pools(pools), "model_name", "left")
     return joined.withColumn("target_model", quality_target()).drop(
-        "pool", "scored", "_u", "_explore")
+        "_ready", "scored", "_u", "_explore")
 
 
 def rule_cards(rules: DataFrame, module_configs: DataFrame, weights: DataFrame,
@@ -130,7 +135,7 @@ def rule_cards(rules: DataFrame, module_configs: DataFrame, weights: DataFrame,
     of once per request; none of these joins touches the request table.
     """
     gates = breakers.select("module_name", F.col("recovery_timeout").alias("_recovery"))
-    pools = candidate_pools(rules, weights).withColumnRenamed("rule_model_name", "model_name")
+    pools = ready_pools(candidate_pools(rules, weights))
     return (effective_settings(best_rules(rules), module_configs, GLOBAL_KEYS + COOLDOWN_KEYS)
             .join(gates, "module_name", "left").join(pools, "model_name", "left"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from relaylens.functions import clock
 from relaylens.operators import cooldown, quality, state
+from relaylens.plans import frames
 from relaylens.plans.registry import query
 
 EVENING = "2024-01-29 20:00:00"
@@ -86,7 +87,8 @@ def set_enabled(t):
 @query("lookup_rule", f"""
     SELECT {RULE_COLUMNS} FROM {{routing_rules}} WHERE model_name = 'model-42'""")
 def lookup_rule(t):
-    return state.lookup(t.routing_rules, model_name="model-42")
+    rules = frames.written(t, t.routing_rules, "rules")  # a stored column, so the filter is pushed
+    return state.lookup(rules, model_name="model-42")
 
 
 @query("rule_counts", """

@@ -246,7 +246,7 @@ def inj_verdict(t):
     FROM {{requests}} r LEFT JOIN ({_VERDICTS}) v USING (request_id)"""
                                         for action in ("log_only", "flag", "block")))
 def inj_action(t):
-    found = injection.verdicts(frames.messages(t))
+    found = frames.written(t, injection.verdicts(frames.messages(t)), "verdicts")
     parts = [injection.apply_action(t.requests.select("request_id"), found, action).select(
         F.lit(action).alias("action"), "request_id", "injection_detected", "disposition")
         for action in ("log_only", "flag", "block")]
