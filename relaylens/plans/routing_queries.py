@@ -253,12 +253,12 @@ def route_quality(t):
           WHERE p.rule_model_name NOT IN (
             SELECT q.rule_model_name FROM {rule_pools} q JOIN {weights} w
               USING (rule_model_name, candidate_model)
-            WHERE w.last_assessed_at > {at}'2024-01-29 12:00:00')) x
+            WHERE w.last_assessed_at > {at}'2024-01-30 12:00:00')) x
     GROUP BY request_id""")
 def route_quality_fresh(t):
     """Rules whose weights are all stale start cold; only their requests are listed."""
-    pools = routing.candidate_pools(t.routing_rules, t.weights, as_of="2024-01-30 12:00:00",
-                                    interval_minutes=720).filter("not scored")
+    pools = routing.candidate_pools(t.routing_rules, t.weights, as_of="2024-01-31 00:00:00",
+                                    interval_minutes=360).filter("not scored")
     matched = routing.match_rule(t.traffic, t.routing_rules).filter(
         F.col("module_name") == routing.QUALITY)
     ready = routing.effective_settings(matched, t.module_configs)
