@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -125,3 +126,37 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scanned_documents(table(spark, sf_dir, "documents"))
+
+
+def _licence_sql() -> str:
+    """Phrases and templates against all words and lines, without any filter."""
+    cut = """list_filter(string_split_regex(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'),
+             lambda x: x <> '')"""
+    phrases = ", ".join(f"({p.split()!r}, '{label}')" for p, label in licences.PHRASES.items())
+    sets = [(label, sorted(set(t.split()))) for label, t in licences.TEMPLATES]
+    templates = ", ".join(
+        f"('{label}', {w!r}, {math.ceil(licences.CONTAINMENT * len(w))})" for label, w in sets)
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+                      {cut.format("coalesce(text, '')")} AS w FROM documents),
+         p AS (SELECT * FROM (VALUES {phrases}) AS v(ws, label)),
+         h AS (SELECT r, i, label FROM (SELECT r, w, unnest(range(len(w))) AS i FROM d), p
+               WHERE w[i + 1] = ws[1] AND w[i + 1:i + len(ws)] = ws),
+         b AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word,
+                      list_sort(list(DISTINCT label)) AS labels FROM h GROUP BY r),
+         l AS (SELECT r, list_distinct({cut.format("line")}) AS w
+               FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)),
+         m AS (SELECT r, label, len(list_intersect(w, ws)) / len(ws) AS share
+               FROM l, (VALUES {templates}) AS v(label, ws, need)
+               WHERE len(list_intersect(w, ws)) >= need),
+         g AS (SELECT r, list(DISTINCT label) AS labels, max(share) AS best FROM m GROUP BY r)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+           coalesce(array_to_string(b.labels, ','), '') AS base_labels,
+           array_to_string(list_sort(list_distinct(list_concat(
+             coalesce(b.labels, []), coalesce(g.labels, [])))), ',') AS labels,
+           CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score
+    FROM d LEFT JOIN b USING (r) LEFT JOIN g USING (r)"""
+
+
+ORACLES["op10_licence_scan"] = _licence_sql()
