@@ -33,8 +33,8 @@ _HINTS = {
     "IP_ADDR": r"\d\.\d{1,3}\.\d{1,3}\.\d",
 }
 
-_NO_SPANS = ("CAST(array() AS ARRAY<STRUCT<start: INT, rank: INT, stop: INT, value: STRING, "
-             "entity_type: STRING>>)")
+NO_SPANS = ("CAST(array() AS ARRAY<STRUCT<start: INT, rank: INT, stop: INT, value: STRING, "
+            "entity_type: STRING>>)")
 
 
 def token(entity_type: Column, value: Column, digits: int = 8, key: str = "") -> Column:
@@ -67,16 +67,16 @@ def _matches(text: str, rank: int, entity_type: str, pattern: str) -> str:
     return f"""CASE WHEN {text} RLIKE {literal(java(_HINTS[entity_type]))} THEN aggregate(
         zip_with(regexp_extract_all({text}, {regex}, 0), split({text}, {regex}, -1),
                  (value, gap) -> named_struct('value', value, 'gap', gap)),
-        named_struct('at', 0, 'spans', {_NO_SPANS}),
+        named_struct('at', 0, 'spans', {NO_SPANS}),
         (acc, pair) -> CASE WHEN pair.value IS NULL THEN acc ELSE named_struct(
             'at', {stop}, 'spans', concat(acc.spans, array({span}))) END,
-        acc -> acc.spans) ELSE {_NO_SPANS} END"""
+        acc -> acc.spans) ELSE {NO_SPANS} END"""
 
 
 def _spans(text: str) -> str:
     every = ", ".join(_matches(text, rank, kind, p) for rank, (kind, p) in enumerate(PII_PATTERNS))
     return f"""aggregate(array_sort(concat({every})),
-        named_struct('stop', -1, 'kept', {_NO_SPANS}),
+        named_struct('stop', -1, 'kept', {NO_SPANS}),
         (acc, s) -> CASE WHEN s.start >= acc.stop
             THEN named_struct('stop', s.stop, 'kept', concat(acc.kept, array(s))) ELSE acc END,
         acc -> acc.kept)"""
@@ -90,20 +90,42 @@ def spans(text: str, guarded: bool = True) -> Column:
     ``guarded=False``.
     """
     found = _spans(text)
-    return F.expr(f"CASE WHEN {_may_contain(text)} THEN {found} ELSE {_NO_SPANS} END"
+    return F.expr(f"CASE WHEN {_may_contain(text)} THEN {found} ELSE {NO_SPANS} END"
                   if guarded else found)
 
 
-def _mask(text: str, digits: int = 8, key: str = "") -> str:
+def _mask_at(text: str, found: str, digits: int = 8, key: str = "") -> str:
     keyed = f"concat({literal(key)}, s.value)" if key else "s.value"
-    replaced = f"""aggregate({_spans(text)}, named_struct('at', 0, 'out', ''),
+    return f"""aggregate({found}, named_struct('at', 0, 'out', ''),
         (acc, s) -> named_struct('at', s.stop, 'out', concat(
             acc.out, substring({text}, acc.at + 1, s.start - acc.at), '{TOKEN_MARK}',
             s.entity_type, '_', substring(sha2({keyed}, 256), 1, {digits}), ']')),
         acc -> concat(acc.out, substring({text}, acc.at + 1)))"""
+
+
+def _mask(text: str, digits: int = 8, key: str = "") -> str:
+    replaced = _mask_at(text, _spans(text), digits, key)
     return f"CASE WHEN {_may_contain(text)} THEN {replaced} ELSE {text} END"
 
 
+def mask_at(text: str, found: str) -> Column:
+    """The text with its ``spans``, a column computed before, replaced by their tokens."""
+    return F.expr(f"CASE WHEN size({found}) > 0 THEN {_mask_at(text, found)} ELSE {text} END")
+
+
+def part_spans(parts: str) -> Column:
+    """The spans of every text part; none for other parts and missing texts."""
+    inner = f"CASE WHEN {_may_contain('p.text')} THEN {_spans('p.text')} ELSE {NO_SPANS} END"
+    return F.expr(f"""transform({parts}, p -> CASE WHEN p.type = 'text' AND p.text IS NOT NULL
+        THEN {inner} ELSE {NO_SPANS} END)""")
+
+
+def mask_parts_at(parts: str, found: str) -> Column:
+    """Parts with their ``part_spans`` replaced by tokens."""
+    return F.expr(f"""transform({parts}, (p, i) -> CASE WHEN size({found}[i]) > 0
+        THEN named_struct('type', p.type, 'text', {_mask_at('p.text', f'{found}[i]')}) ELSE p END)""")
+
+
 def mask(text: str, digits: int = 8, key: str = "") -> Column:
     """The text with every match replaced by its token; clean texts cost one scan."""
     return F.expr(_mask(text, digits, key))

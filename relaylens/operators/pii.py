@@ -30,15 +30,42 @@ def entities(df: DataFrame, text: str, *ids: str) -> DataFrame:
                     F.col("span.entity_type").alias("entity_type")))
 
 
+CONTENT_SPANS, PART_SPANS = "_content_spans", "_part_spans"
+
+
+def with_spans(messages: DataFrame) -> DataFrame:
+    """Messages with what their texts hold, matched once. Persist or write the result when both
+    ``masked_at_spans`` and ``entities_at_spans`` read it."""
+    return messages.withColumns({
+        CONTENT_SPANS: F.coalesce(pii.spans("content"), F.expr(pii.NO_SPANS)),
+        PART_SPANS: pii.part_spans("parts")})
+
+
+def masked_at_spans(found: DataFrame) -> DataFrame:
+    """The messages of ``with_spans`` masked, with a ``changed`` flag."""
+    hit = (F.size(CONTENT_SPANS) > 0) | F.coalesce(
+        F.exists(PART_SPANS, lambda s: F.size(s) > 0), F.lit(False))
+    return found.withColumns({
+        "changed": hit, "content": pii.mask_at("content", CONTENT_SPANS),
+        "parts": pii.mask_parts_at("parts", PART_SPANS)}).drop(CONTENT_SPANS, PART_SPANS)
+
+
+def entities_at_spans(found: DataFrame, *ids: str) -> DataFrame:
+    """One row per entity of the messages of ``with_spans``, with its token."""
+    every = F.concat(F.array(F.col(CONTENT_SPANS)), F.coalesce(F.col(PART_SPANS), F.array(
+        F.expr(pii.NO_SPANS))))
+    return found.select(*ids, F.explode(F.flatten(every)).alias("span")).select(
+        *ids, pii.token(F.col("span.entity_type"), F.col("span.value")).alias("token"),
+        F.col("span.value").alias("original_value"),
+        F.col("span.entity_type").alias("entity_type"))
+
+
 def mask_messages(messages: DataFrame) -> DataFrame:
-    """String contents and text parts masked, with a ``changed`` flag per message."""
-    masked = messages.withColumns({"_content": pii.mask("content"),
-                                   "_parts": pii.mask_parts("parts")})
-    changed = (~F.col("_content").eqNullSafe(F.col("content"))
-               | ~F.col("_parts").eqNullSafe(F.col("parts")))
-    return (masked.withColumn("changed", changed)
-            .withColumns({"content": F.col("_content"), "parts": F.col("_parts")})
-            .drop("_content", "_parts"))
+    """String contents and text parts masked, with a ``changed`` flag per message.
+
+    A text that holds something is changed, for no token equals what it stands for.
+    """
+    return masked_at_spans(with_spans(messages))
 
 
 def message_texts(messages: DataFrame, *keep: str) -> DataFrame:
@@ -116,16 +143,16 @@ def scrub_log(requests: DataFrame, responses: DataFrame) -> tuple[DataFrame, Dat
     ``requests(request_id, turn, content, parts, ...)``, ``responses(request_id, choice_idx,
     content)``. Masking a masked text changes nothing, so the job can run again.
     """
-    masked = mask_messages(requests).select(
+    asked = with_spans(requests)
+    answered = with_spans(responses.withColumn(
+        "parts", F.lit(None).cast("ARRAY<STRUCT<type: STRING, text: STRING>>")))
+    masked = masked_at_spans(asked).select(
         "request_id", F.lit("request").alias("side"), F.col("turn").alias("idx"),
-        "content", "parts", "changed")
-    answers = mask_messages(responses.withColumn(
-        "parts", F.lit(None).cast("ARRAY<STRUCT<type: STRING, text: STRING>>"))).select(
-        "request_id", F.lit("response").alias("side"), F.col("choice_idx").alias("idx"),
-        "content", "parts", "changed")
-    found = entities(message_texts(requests, "request_id", "turn"), "text", "request_id").unionByName(
-        entities(responses, "content", "request_id"))
-    return masked.unionByName(answers), found
+        "content", "parts", "changed").unionByName(masked_at_spans(answered).select(
+            "request_id", F.lit("response").alias("side"), F.col("choice_idx").alias("idx"),
+            "content", "parts", "changed"))
+    return masked, entities_at_spans(asked, "request_id").unionByName(
+        entities_at_spans(answered, "request_id"))
 
 
 def stats(store: DataFrame, as_of) -> DataFrame:

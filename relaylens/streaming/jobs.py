@@ -40,17 +40,16 @@ def mask_stream(messages: DataFrame, store: StateTable, out: str, checkpoint: st
     moment = as_of if callable(as_of) else lambda _: as_of
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        batch.persist()
+        seen = pii.with_spans(batch).persist()  # every text is matched once
         try:
-            write_batch(pii.mask_messages(batch), out, epoch)
-            texts = pii.message_texts(batch, "request_id", "turn")
-            found = pii.entities(texts, "text", "request_id", "turn").withColumn(
+            write_batch(pii.masked_at_spans(seen), out, epoch)
+            found = pii.entities_at_spans(seen, "request_id").withColumn(
                 "request_id", F.col("request_id").cast("string"))
             version = store.version_of(batch, epoch)
             store.commit(pii.store_upsert(store.read(before=version), found, moment(batch),
                                           ttl_hours), version=version)
         finally:
-            batch.unpersist()
+            seen.unpersist()
 
     return each_batch(messages, checkpoint, handle, every=every)
 
