@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+# The texts that count as true.
 TRUE_WORDS = ("true", "1", "yes", "on")
 TEXT_MAP = "MAP<STRING,STRING>"
 

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from relaylens.functions import clock
 
-ALERT_THRESHOLDS = {"max_response_time_ms": 5000.0, "min_success_rate": 0.95,
-                    "max_error_rate": 0.05}
+# The thresholds of the alerts; so are the texts in ``alerts``.
+ALERT_THRESHOLDS = {"max_response_time_ms": 5000.0, "min_success_rate": 0.95}
 
 
 def metric_rows(outcomes: DataFrame, *keep: str) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from relaylens.operators import metrics
 from relaylens.plans.registry import query
-from relaylens.plans.views import AS_OF
 from relaylens.session import scratch_path
 from relaylens.sources import tables
 
