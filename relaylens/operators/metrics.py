@@ -46,9 +46,9 @@ def _rate(successes: Column, total: Column) -> Column:
     return F.coalesce(F.try_divide(successes, total), F.lit(0.0))
 
 
-def _tallies(rows) -> DataFrame:
+def _tallies(rows, *more: Column) -> DataFrame:
     """Counts and latency sums per group, all of them mergeable map-side."""
-    return rows.agg(
+    return rows.agg(*more,
         F.count(F.lit(1)).alias("total_requests"),
         F.count_if("success").alias("successful_requests"),
         F.sum("response_time_ms").alias("latency_sum"),
@@ -210,25 +210,28 @@ def latency_table(log: DataFrame, as_of, minutes: float = 60, quantile: float =
     edges = F.percentile_approx(
         "response_time_ms",
         [max(quantile - margin, 0.0), min(quantile + margin, 1.0)], 100_000)
-    stats = _summary(_tallies(rows.groupBy("module_name")), "module_name")
-    brackets = rows.groupBy("module_name").agg(
-        edges.alias("edges"), F.count("response_time_ms").alias("n"))
+    tallies = _tallies(rows.groupBy("module_name"), edges.alias("edges"),
+                       F.count("response_time_ms").alias("n"))
+    counted = _summary(tallies, "module_name", "edges", "n")
     # two neighbours in rank order may straddle the bracket: widen it by one distinct value
     target = F.col("n").cast("double") - 1
-    brackets = brackets.select(
-        "module_name", F.col("edges")[0].alias("low"), F.col("edges")[1].alias("high"),
-        (target * quantile).alias("position"))
-    placed = rows.join(brackets, "module_name")
+    summary = ["total_requests", "successful_requests", "failed_requests",
+               "avg_response_time_ms", "max_response_time_ms"]
+    brackets = counted.select(
+        F.col("module_name").alias("_module"), F.col("edges")[0].alias("low"),
+        F.col("edges")[1].alias("high"), (target * quantile).alias("position"), *summary)
+    placed = rows.join(brackets, F.col("module_name").eqNullSafe(F.col("_module")))
     inside = placed.filter(value.between(F.col("low"), F.col("high")))
     outside = placed.groupBy("module_name").agg(
         F.count_if(value < F.col("low")).alias("below"),
         F.max(F.when(value < F.col("low"), value)).alias("before"),
         F.min(F.when(value > F.col("high"), value)).alias("after"),
-        F.first("position").alias("position"))
+        F.first("position").alias("position"), *[F.first(c).alias(c) for c in summary])
     in_order = W.partitionBy("module_name").orderBy("response_time_ms")
     ranked = (inside.groupBy("module_name", "response_time_ms").agg(F.count(F.lit(1)).alias("copies"))
               .withColumn("through", F.sum("copies").over(in_order))
-              .join(outside, "module_name")
+              .join(outside.withColumnRenamed("module_name", "_module"),
+                    F.col("module_name").eqNullSafe(F.col("_module")))
               .withColumn("last", F.col("below") + F.col("through") - 1)
               .withColumn("first", F.col("last") - F.col("copies") + 1))
     lower, upper = F.floor("position"), F.ceil("position")
@@ -241,8 +244,10 @@ def latency_table(log: DataFrame, as_of, minutes: float = 60, quantile: float =
         F.coalesce(at(upper), F.min("after")).alias("hi"), F.first("position").alias("position"))
     weight = F.col("position") - F.floor("position")
     quantiles = picked.select(
-        "module_name", (F.col("lo") + (F.col("hi") - F.col("lo")) * weight).alias("p95_latency_ms"))
-    return stats.join(quantiles, "module_name", "left").select(
+        F.col("module_name").alias("_module"),
+        (F.col("lo") + (F.col("hi") - F.col("lo")) * weight).alias("p95_latency_ms"))
+    same = F.col("module_name").eqNullSafe(F.col("_module"))
+    return outside.join(quantiles, same, "left").select(
         "module_name", "total_requests", "successful_requests", "failed_requests",
         F.col("avg_response_time_ms").alias("avg_latency_ms"), "p95_latency_ms",
         F.col("max_response_time_ms").alias("max_latency_ms"))
