@@ -1,14 +1,16 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two interpolated Kneser-Ney models of the letters of words, one of toxic and one of ordinary
-documents: the longest ``ORDER`` letters have a model for each class, and both back off to the
-same letter pairs, whose counts of different letters before them are shared. So a rare
-expression gets nearly the same probability from both, while a stem that toxic documents share
-does not, whatever it ends in. The logarithms of both probabilities of a word are subtracted and
-held within ``CAP``; divided by the length of the text this gives its evidence: the mean of all
-its words, the share of words beyond ``STRONG``, the strongest word and the mean of its ``TOP``
-strongest different ones. A logistic curve fitted on other labelled documents turns them into a
-score. Counts are of documents a word stands in, so a word that one text repeats counts once.
+documents: runs of up to ``ORDER`` letters have a model for each class. Both back off to the same
+letter pairs, whose counts of different letters before them are shared, and by the same shares,
+from the counts of both classes. So a rare expression gets the same probability from both, while
+a stem that toxic documents share does not, whatever it ends in.
+
+The logarithms of both probabilities of a word are subtracted and held within ``CAP``; divided by
+the length of the text this gives its evidence: the mean of all its words, the share of words beyond
+``STRONG``, the strongest word and the mean of its ``TOP`` strongest different ones. A logistic curve
+fitted on other labelled documents turns them into a score. Counts are of documents a word stands
+in, so a word that one text repeats counts once.
 
 Labels are learned from at most ``ROWS`` documents a class for the counts and as many others for
 the curve, taken by a hash of the id; so every table of counts is bounded, and is broadcast. Labels
@@ -32,7 +34,7 @@ from relaylens.llm.common import plain_words, raw_texts, remainder, written
 FOLDS, HELD_OUT = 4, 2
 ROWS = 3000  # documents a class, for the counts (three quarters) and again for the curve (one)
 ORDER, SHARED = 8, 2  # letters of the longest model, and of the one that both classes share
-TOP, CAP, STRONG = 3, 7.0, 3.5
+TOP, CAP, STRONG = 3, 5.0, 3.5
 RARE = 4  # counts up to this are left to shorter runs
 LIMIT = 0.3
 KEPT_WORDS = 300_000  # evidence of words that a worker keeps
@@ -83,50 +85,30 @@ class Table:
         return np.where(known, self.values[at], 0), known
 
 
-def discount(counts: np.ndarray) -> np.ndarray:
-    """What is taken from each count: counts up to ``RARE`` tell little about a class and are left
-    to the shorter runs altogether, larger ones give up as much."""
-    return np.minimum(counts, RARE)
-
-
 class Evidence:
-    """Differences of log-likelihoods, from the counts of all runs of letters in both classes."""
+    """Differences of log-likelihoods, from what ``kept_grams`` gives."""
 
     def __init__(self, grams):
-        """``grams`` has the columns of ``GRAMS``, one row for each run of k letters."""
         self.grams: dict[int, Table] = {}
-        self.back: dict[int, Table] = {}
         self.words: dict[bytes, float] = {}
         lower = None  # names and [class, name] probabilities of one order less
         for k in range(1, ORDER + 1):
             own = grams[grams["k"] == k]
-            gram, context, suffix = (own[c].to_numpy(np.int64).view(np.uint64)
-                                     for c in ("gram", "context", "suffix"))
-            counts = own[["ordinary", "toxic"]].to_numpy(float).T
-            if k <= SHARED:  # how many different letters stand before, in either class
-                longer = grams[grams["k"] == k + 1]
-                kinds = longer.groupby("suffix").size()
-                shared = kinds.reindex(own["gram"]).fillna(0).to_numpy(float) + 1.0
-                counts = np.stack([shared, shared])
-            contexts, at = np.unique(context, return_inverse=True)
-            if lower is None:
+            gram, suffix = (own[c].to_numpy(np.int64).view(np.uint64) for c in ("gram", "suffix"))
+            if lower is None or not len(lower[0]):
                 below = np.full((2, len(gram)), 1 / (len(gram) + 1))
             else:
-                order = np.searchsorted(lower[0], suffix)
-                below = lower[1][:, np.minimum(order, len(lower[0]) - 1)]
-            p, opened = [], []
-            for c, base in zip(counts, below):
-                taken, total = discount(c), np.bincount(at, c, len(contexts))
-                free = np.where(total > 0, np.bincount(at, taken, len(contexts))
-                                / np.maximum(total, 1), 1.0)
-                free = np.maximum(free, 1e-3)
-                p.append((c - taken) / np.maximum(total[at], 1) + free[at] * base)
-                opened.append(free)
+                at = np.minimum(np.searchsorted(lower[0], suffix), len(lower[0]) - 1)
+                below = lower[1][:, at]
+            free, p = own["free"].to_numpy(float), []
+            for kind, base in zip(("ordinary", "toxic"), below):
+                seen, total = (own[c].to_numpy(float) for c in (kind, f"all_{kind}"))
+                share = np.where(total > 0, seen / np.maximum(total, 1e-9), base)
+                p.append((1 - free) * share + free * base)
             order = np.argsort(gram)
             lower = gram[order], np.stack(p)[:, order]
             if k > SHARED:
                 self.grams[k] = Table(gram, np.log(p[1]) - np.log(p[0]))
-                self.back[k] = Table(contexts, np.log(opened[1]) - np.log(opened[0]))
 
     def measure(self, words: list[bytes]) -> np.ndarray:
         """Per word: the difference of its log-likelihoods, within CAP."""
@@ -136,7 +118,7 @@ class Evidence:
         for k in range(ORDER, SHARED, -1):
             at = (left & (place >= k - 1)).nonzero()[0]
             value, known = self.grams[k].get(runs[k][at])
-            out[at] += np.where(known, value, self.back[k].get(runs[k - 1][at - 1])[0])
+            out[at] += value
             left[at[known]] = False
         starts = (place == 0).nonzero()[0]
         return np.clip(np.add.reduceat(out, starts), -CAP, CAP)
@@ -218,6 +200,33 @@ def gram_counts(words: DataFrame) -> DataFrame:
         F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
+def kept_grams(grams: DataFrame) -> DataFrame:
+    """What the models need: k, gram, suffix, the counts of both classes beyond ``RARE``, their
+    sums over the gram's context, and the share of the context that goes to shorter runs.
+
+    Runs that are rare in both classes are left out: shorter ones speak for them. Up to
+    ``SHARED`` letters both classes count how many different letters stand before a run.
+    """
+    before = grams.filter(F.col("k") <= SHARED + 1).groupBy(
+        (F.col("k") - 1).alias("k"), F.col("suffix").alias("gram")).agg(
+        (F.count(F.lit(1)) + 1).alias("kinds"))
+    every = grams.join(before, ["k", "gram"], "left")
+    shared = F.col("k") <= SHARED
+    over = lambda n: F.col(n) - F.least(F.col(n), F.lit(RARE))
+    counted = every.select(
+        "k", "gram", "context", "suffix",
+        F.when(shared, F.coalesce("kinds", F.lit(1))).otherwise(F.col("ordinary") + F.col("toxic"))
+        .alias("n"),
+        *[F.when(shared, F.coalesce("kinds", F.lit(1))).otherwise(over(c)).alias(c)
+          for c in ("ordinary", "toxic")])
+    contexts = counted.groupBy("k", "context").agg(
+        F.greatest(F.sum(F.least(F.col("n"), F.lit(RARE))) / F.sum("n"), F.lit(1e-3))
+        .alias("free"),
+        F.sum("ordinary").alias("all_ordinary"), F.sum("toxic").alias("all_toxic"))
+    return counted.filter(shared | (F.greatest("ordinary", "toxic") > 0)).join(
+        contexts, ["k", "context"]).drop("context", "n")
+
+
 def evidence(texts: Column, model: Broadcast) -> Column:
     @F.arrow_udf("struct<" + ", ".join(f"{k}: double" for k in KINDS) + ">")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -267,7 +276,8 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return rows.select("doc_id", held_out, F.lit(0.0).alias("score"),
                            F.lit(0).alias("predicted"),
                            *[F.lit(0.0).alias(k) for k in KINDS])
-    model = rows.sparkSession.sparkContext.broadcast(Evidence(gram_counts(words).toPandas()))
+    model = rows.sparkSession.sparkContext.broadcast(Evidence(
+        kept_grams(written(gram_counts(words), "grams")).toPandas()))
     other = taught.filter("part = 1").select(
         "toxic", evidence(F.col("text"), model).alias("e")).select("toxic", "e.*").toPandas()
     y = other["toxic"].to_numpy(np.int64)
