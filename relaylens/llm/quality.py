@@ -3,9 +3,8 @@
 Every text becomes a vector of rates (symbols, capitals, repeated and distinct words, word
 lengths and so on). A short text tells little about its rates, so all are drawn towards those of
 ordinary prose as if ``PRIOR`` more words of it stood there, and then put on a logarithmic scale.
-Each class has a mean and a covariance that is
-shrunk towards the pooled one and then towards a multiple of the identity. A score is the
-difference of the classes' log densities, from Mahalanobis distances by Cholesky factors that are
+Each class has a mean and a covariance that is shrunk towards the pooled one and then towards a
+multiple of the identity. A score is the difference of the classes' log densities, from Mahalanobis distances by Cholesky factors that are
 computed once, with the classes' frequencies, through the logistic function.
 
 Sums for means and covariances run over all labelled rows of the training part; only they reach
