@@ -29,8 +29,14 @@ def raw_texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+#: Rows that a Python worker holds at a time: whole texts are large.
+BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
+    if int(spark.conf.get(BATCH_ROWS[0])) > int(BATCH_ROWS[1]):
+        spark.conf.set(*BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
