@@ -86,14 +86,17 @@ class Table:
 
 
 class Evidence:
-    """Differences of log-likelihoods, from what ``kept_grams`` gives."""
+    """Differences of log-likelihoods, from what ``kept_grams`` gives for each number of letters.
 
-    def __init__(self, grams):
+    ``of_order`` is asked for one number after the other, so only one such table is held at once.
+    """
+
+    def __init__(self, of_order):
         self.grams: dict[int, Table] = {}
         self.words: dict[bytes, float] = {}
         lower = None  # names and [class, name] probabilities of one order less
         for k in range(1, ORDER + 1):
-            own = grams[grams["k"] == k]
+            own = of_order(k)
             gram, suffix = (own[c].to_numpy(np.int64).view(np.uint64) for c in ("gram", "suffix"))
             if lower is None or not len(lower[0]):
                 below = np.full((2, len(gram)), 1 / (len(gram) + 1))
@@ -276,8 +279,9 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return rows.select("doc_id", held_out, F.lit(0.0).alias("score"),
                            F.lit(0).alias("predicted"),
                            *[F.lit(0.0).alias(k) for k in KINDS])
+    grams = written(kept_grams(written(gram_counts(words), "grams")), "kept-grams")
     model = rows.sparkSession.sparkContext.broadcast(Evidence(
-        kept_grams(written(gram_counts(words), "grams")).toPandas()))
+        lambda k: grams.filter(F.col("k") == k).drop("k").toPandas()))
     other = taught.filter("part = 1").select(
         "toxic", evidence(F.col("text"), model).alias("e")).select("toxic", "e.*").toPandas()
     y = other["toxic"].to_numpy(np.int64)

@@ -25,7 +25,8 @@ def model_of(spark, counts):
                                   "word binary, ordinary long, toxic long")
     assert llm_rows.rows_of(toxicity.gram_counts(words), "k", "gram", "ordinary", "toxic") == \
         llm_rows.rows_of(grams, "k", "gram", "ordinary", "toxic")
-    return toxicity.Evidence(toxicity.kept_grams(grams).toPandas())
+    kept = toxicity.kept_grams(grams).toPandas()
+    return toxicity.Evidence(lambda k: kept[kept["k"] == k])
 
 
 def test_stems_of_one_class_stand_out(spark):
