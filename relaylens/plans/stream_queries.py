@@ -336,21 +336,20 @@ def stream_assess(t):
                     WHERE expires_at > {{at}}'{AS_OF}') AS live
             FROM {{sources}} WHERE request_id IN (SELECT request_id FROM {{found}})) s) q""")
 def stream_restore(t):
-    """Chunks in three shuffled files, one a batch: a fifth of the responses never finish, another
+    """Chunks in three shuffled parts, one a run: a fifth of the responses never finish, another
     fifth arrive twice. Whatever came in goes out once."""
     whole = frames.written(t, frames.chunks(t), "all-chunks")
     lot = F.pmod(F.xxhash64("request_id"), F.lit(5))
     sent = whole.withColumn("finish_reason", F.when(lot != 0, F.col("finish_reason")))
     deal = F.pmod(F.xxhash64("request_id", "seq"), F.lit(2))
     folder = scratch_path(t.spark, "chunks")
-    for part in (sent.filter(deal == 0), sent.filter(deal == 1), sent.filter(lot == 1)):
-        part.coalesce(1).write.mode("append").parquet(folder)
-    live = t.spark.readStream.schema(
-        "request_id STRING, seq BIGINT, delta STRING, finish_reason STRING").option(
-        "maxFilesPerTrigger", 1).parquet(folder)
     out, progress = _paths(t, "restored")
     store = frames.token_store(t)
-    sinks.drain(chunks.restore_stream(live, lambda: store, lambda _: AS_OF, out, progress))
+    for part in (sent.filter(deal == 0), sent.filter(deal == 1), sent.filter(lot == 1)):
+        part.write.mode("append").parquet(folder)
+        live = t.spark.readStream.schema(
+            "request_id STRING, seq BIGINT, delta STRING, finish_reason STRING").parquet(folder)
+        sinks.drain(chunks.restore_stream(live, lambda: store, lambda _: AS_OF, out, progress))
     chunks.restore_left_over(t.spark, store, AS_OF, out, progress)
     pieces = sinks.read_output(t.spark, out, "request_id STRING, seq BIGINT, delta STRING")
     return _joined(pieces)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from relaylens.functions import pii
 from relaylens.operators import breaker, cooldown
+from relaylens.plans import catalogue, stream_queries
 from relaylens.session import scratch_path
 from relaylens.sources import schemas
 from relaylens.sources.state_table import StateTable
@@ -245,3 +246,17 @@ def test_every_dropped_row_is_counted(spark):
     finally:
         spark.streams.removeListener(counter)
     assert counter.by_query[str(query.id)] > 0
+
+
+def test_restored_chunks_are_dealt_over_many_files(spark, monkeypatch):
+    paths, made = [], stream_queries.scratch_path
+    monkeypatch.setattr(stream_queries, "scratch_path",
+                        lambda *a: paths.append((a[1], made(*a))) or paths[-1][1])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        catalogue.queries()["stream_restore"](spark, "/root/testdata/sf0.001").count()
+        files = spark.read.parquet(dict(paths)["chunks"]).inputFiles()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(files) > 3
