@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from relaylens.llm import (
-    archives, decontaminate, licences, pieces, pseudo, quality, rules, simhash,
-    substrings, toxicity)
+    archives, collocations, decontaminate, licences, pieces, pseudo, quality, rules, simhash,
+    substrings, tokenids, toxicity, wordruns)
 from relaylens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,11 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def word_vocabulary() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 @query
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -160,3 +165,59 @@ def _licence_sql() -> str:
 
 
 ORACLES["op10_licence_scan"] = _licence_sql()
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    looped = docs.withColumn("text", wordruns.looped(F.col("text"), F.col("doc_id")))
+    return wordruns.with_runs(looped).select("doc_id", *wordruns.digests(F.col("periodic")))
+
+
+@query
+def op12_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenids.through_files(table(spark, sf_dir, "documents"), word_vocabulary())
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def _collocation_sql() -> str:
+    """All occurrences of all phrases, with every cut of every candidate."""
+    lengths = "\n UNION ALL ".join(
+        f"SELECT lang, {k} AS m, array_to_string(w[i:i + {k - 1}], ' ') AS phrase "
+        f"FROM o WHERE i + {k - 1} <= len(w)" for k in range(1, collocations.LONGEST + 1))
+    return f"""
+    WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(
+                 coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+         s AS (SELECT lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') AS w
+               FROM p),
+         o AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM s),
+         g AS ({lengths}),
+         f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL
+               HAVING count(*) >= {collocations.SUPPORT}),
+         t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM s GROUP BY lang),
+         c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+         d AS (SELECT DISTINCT lang, array_to_string(w[x:y], ' ') AS phrase, a
+               FROM (SELECT *, unnest(range(1, m + 1)) AS x FROM c)
+                    JOIN (SELECT unnest(range(1, {collocations.LONGEST + 1})) AS y) ON y BETWEEN x AND m
+               WHERE y - x + 1 < m),
+         k AS (SELECT c.lang, c.phrase, c.a, w, unnest(range(1, m)) AS k, n
+               FROM c JOIN t USING (lang)
+               WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.lang = c.lang AND d.phrase = c.phrase
+                                 AND 100 * d.a >= 100 * c.a)),
+         v AS (SELECT k.*, l.a AS l, r.a AS r,
+                      ((1000::HUGEINT * k.a * n) // (l.a::HUGEINT * r.a))::BIGINT AS score
+               FROM k JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(w[1:k], ' ')
+                      JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(w[k + 1:], ' ')),
+         b AS (SELECT * FROM v QUALIFY row_number() OVER (
+                 PARTITION BY lang, phrase ORDER BY score, k) = 1)
+    SELECT lang, row_number() OVER w AS rank, phrase, a, l, r, n, score FROM b
+    WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+    QUALIFY rank <= {collocations.BEST}"""
+
+
+ORACLES["op13_collocations"] = _collocation_sql()
