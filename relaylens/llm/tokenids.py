@@ -23,13 +23,13 @@ ignored, whatever their names. An empty table gives no files and no rows.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -129,12 +129,15 @@ class Encoder:
     """The library's ids of whole texts, a chunk between blanks or line feeds at a time.
 
     The library drops white space and cuts there before it merges, so chunks can be encoded one by
-    one and remembered. A chunk of letters with signs behind it is cut in two: the library ends a
-    run of letters there, and a run of signs begins. Words of letters are encoded many at a time, each up to
-    its token with the end mark; if these do not come out one a word, each word is encoded alone.
+    one and remembered. Where a chunk is letters with signs behind them it is cut in two: the library
+    ends a run of letters there, and a run of signs begins. The chunks of a batch are found by
+    Arrow, each once. Words of letters are encoded many at a time, each up to its token
+    with the end mark; if these do not come out one a word, each word is encoded alone.
     """
 
-    TAIL = re.compile(r"([^\W\d_]+)([.,!?;:&#$%*]+)")
+    #: Letters with signs behind, at the end of a chunk; none of these signs begins a contraction
+    #: or ends a special token that letters can begin.
+    TAIL = r"(\p{L})([.,!?;:&#$%*]+)( |$)"
 
     def __init__(self, serialized: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -143,7 +146,7 @@ class Encoder:
         suffix = getattr(self.library.model, "end_of_word_suffix", None)
         self.ends = np.array([bool(suffix) and (self.library.id_to_token(i) or "").endswith(suffix)
                               for i in range(self.size)])
-        self.chunks: dict[str, bytes] = {"": b""}
+        self.chunks: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def many(self, texts: list[str]) -> list[bytes]:
@@ -155,42 +158,43 @@ class Encoder:
         groups = [words[k:k + JOINED] for k in range(0, len(words), JOINED)]
         out: list[bytes] = []
         for group, joined in zip(groups, self.many([" ".join(g) for g in groups])):
-            ids = np.frombuffer(joined, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(group) and cuts[-1] == len(ids):
-                out += [p.tobytes() for p in np.split(ids, cuts[:-1])]
+            cuts = (4 * np.flatnonzero(self.ends[np.frombuffer(joined, "<u4")]) + 4).tolist()
+            if len(cuts) == len(group) and cuts[-1] == len(joined):
+                out += [joined[lo:hi] for lo, hi in zip([0, *cuts], cuts)]
             else:
                 out += self.many(group)
         return out
 
-    def learn(self, chunks: set[str]) -> None:
-        """Puts chunks into the table, those kept of before first."""
-        table = self.chunks
-        new = []
-        for chunk in chunks:
-            known = self.older.get(chunk)
-            if known is None:
-                new.append(chunk)
-            else:
-                table[chunk] = known
-        cut = {c: m.groups() for c in new if (m := self.TAIL.fullmatch(c))}
-        parts = {p for c in new for p in cut.get(c, (c,))} - table.keys()
-        letters = [p for p in parts if p.isalpha()]
-        others = [p for p in parts if not p.isalpha()]
-        found = dict(zip(letters, self.words(letters))) | dict(zip(others, self.many(others)))
-        table |= found
-        for chunk, (word, tail) in cut.items():
-            table[chunk] = table[word] + table[tail]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as packed 32-bit numbers."""
-        cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = {c for chunks in cut for c in set(chunks) if c not in self.chunks}
-        if len(self.chunks) + len(new) > KEPT_CHUNKS:
-            self.older, self.chunks = self.chunks, {"": b""}
-            new = {c for chunks in cut for c in chunks}
-        self.learn(new)
-        return [b"".join(map(self.chunks.__getitem__, chunks)) for chunks in cut]
+    def known(self, chunks: list[str]) -> list[bytes]:
+        """The ids of different chunks; those used of late are kept."""
+        if len(self.chunks) > KEPT_CHUNKS:
+            self.older, self.chunks = self.chunks, {}
+        found = list(map(self.chunks.get, chunks))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        for k, ids in zip(new, list(map(self.older.get, [chunks[k] for k in new]))):
+            found[k] = ids
+        new = [k for k in new if found[k] is None]
+        letters = [k for k in new if chunks[k].isalpha()]
+        others = [k for k in new if not chunks[k].isalpha()]
+        for places, ids_of_all in ((letters, self.words), (others, self.many)):
+            for k, ids in zip(places, ids_of_all([chunks[k] for k in places])):
+                found[k] = ids
+        self.chunks.update(zip(chunks, found))
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each text has."""
+        texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+        cut = pc.split_pattern(pc.replace_substring_regex(texts, self.TAIL, r"\1 \2\3"), " ")
+        chunks = cut.flatten().dictionary_encode()
+        found = self.known(chunks.dictionary.to_numpy(zero_copy_only=False).tolist())
+        which = chunks.indices.to_numpy()
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, own = np.frombuffer(b"".join(found), "<u4"), sizes[which]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        begin = (np.cumsum(sizes) - sizes)[which] - ends[:-1]
+        ids = flat[np.repeat(begin, own) + np.arange(ends[-1])]
+        return ids, np.diff(ends[cut.offsets.to_numpy() - cut.offsets[0].as_py()])
 
 
 class _Shared:
@@ -228,33 +232,36 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> None:
                         F.monotonically_increasing_id().alias("row"))
     ranged = keyed.repartitionByRange(tasks_for(docs), "doc_id", "mark", "row").sortWithinPartitions(
         "doc_id", "mark", "text").select("doc_id", "text")
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, before = model.value.encoder(), TaskContext.get().partitionId(), 0
         doc_ids: list[int | None] = []
-        ids: list[bytes] = []
+        parts: list[np.ndarray] = []
+        lengths: list[int] = []
         held = 0
-
-        def file() -> pa.RecordBatch:
-            flat = np.frombuffer(b"".join(ids), "<u4")
-            data = packed_file(part, before, doc_ids, [len(x) // 4 for x in ids], flat, bits)
-            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["value"])
-
         for batch in batches:
-            numbers, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(numbers), 256):
-                for number, own in zip(numbers[at:at + 256],
-                                       encoder.encode(texts.slice(at, 256).to_pylist())):
-                    doc_ids.append(number)
-                    ids.append(own + end)
-                    held += len(own) // 4 + 1
-                    if held >= FILE_IDS:
-                        yield file()
+            for at in range(0, batch.num_rows, 1000):
+                ids, sizes = encoder.encode(batch.column(1).slice(at, 1000))
+                ids = np.insert(ids, np.cumsum(sizes), end_id)
+                sizes, done = sizes + 1, 0
+                doc_ids += batch.column(0).slice(at, 1000).to_pylist()
+                for size in sizes.tolist():
+                    lengths.append(size)
+                    held += size
+                    if held >= FILE_IDS:  # the documents up to here become a file
+                        upto = done + held - sum(map(len, parts))
+                        parts.append(ids[done:upto])
+                        yield file(part, before, doc_ids[:len(lengths)], lengths, parts)
                         before += held
-                        doc_ids, ids, held = [], [], 0
+                        doc_ids, lengths, parts = doc_ids[len(lengths):], [], []
+                        held, done = 0, upto
+                parts.append(ids[done:])
         if doc_ids:
-            yield file()
+            yield file(part, before, doc_ids, lengths, parts)
+
+    def file(part: int, before: int, doc_ids: list, lengths: list, parts: list) -> pa.RecordBatch:
+        data = packed_file(part, before, doc_ids, lengths, np.concatenate(parts), bits)
+        return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["value"])
 
     # A row is a file; the writer's line feed behind it is not part of the layout.
     ranged.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option(
