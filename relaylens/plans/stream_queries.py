@@ -14,7 +14,7 @@ from relaylens.plans.views import AS_OF, duckdb_mask, duckdb_scan
 from relaylens.session import scratch_path
 from relaylens.sources import schemas
 from relaylens.sources.state_table import StateTable
-from relaylens.streaming import chunks, jobs, sinks
+from relaylens.streaming import breakers, chunks, jobs, sinks
 
 _BREAKER = """
     WITH RECURSIVE calls AS (
@@ -284,15 +284,40 @@ def stream_metrics(t):
         F.round("avg_response_time_ms", 4).alias("avg_response_time_ms"), "max_response_time_ms")
 
 
+LATE_PARTS = 3
+
+
+def _late_breakers(t):
+    """The log in parts by arrival, each event up to ten minutes late; one run for each part."""
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    arrives = seconds + F.pmod(F.xxhash64("event_id"), F.lit(590))
+    bounds = t.routing_log.agg(F.min(seconds).alias("a"), F.max(seconds).alias("b")).first()
+    width = ((bounds["b"] or 0) - (bounds["a"] or 0) + 600) // LATE_PARTS + 1
+    part = F.floor((arrives - F.lit(bounds["a"] or 0)) / width)
+    source = scratch_path(t.spark, "late-log")
+    out, progress = _paths(t, "breaker")
+    for k in range(LATE_PARTS):
+        t.routing_log.filter(part == k).repartition(4).write.mode("append").parquet(source)
+        live = t.spark.readStream.schema(t.routing_log.schema).parquet(source)
+        sinks.drain(breakers.breaker_event_stream(live, t.breaker_configs, out, progress,
+                                                  span_seconds=3600))
+    breakers.write_left_over(t.spark, out, progress)
+    return sinks.read_output(t.spark, out, breakers.OUT).drop("batch")
+
+
 @query("stream_breaker", f"{_LOG} SELECT {_STEP} FROM steps WHERE rn > 0")
 def stream_breaker(t):
-    out, progress = _paths(t, "breaker")
-    states = StateTable(t.spark, scratch_path(t.spark, "breaker-state"), breaker.STATUS)
-    sinks.drain(jobs.breaker_stream(t.live.routing_log, t.breaker_configs, states, out,
-                                    progress))
-    return sinks.read_output(
-        t.spark, out, "event_id BIGINT, module_name STRING, state_before STRING, "
-        "admitted BOOLEAN, state_after STRING, failure_count BIGINT").drop("batch")
+    return _late_breakers(t).filter(F.col("kind") == breakers.CALL).select(
+        "event_id", "module_name", "state_before", "admitted", "state_after", "failure_count")
+
+
+@query("stream_breaker_recovered", f"""{_LOG}
+    SELECT s.module_name, s.ts + INTERVAL 1 SECOND * COALESCE(c.recovery_timeout, 60) AS ts
+    FROM steps s LEFT JOIN (SELECT * FROM {{breaker_configs}} WHERE enabled) c USING (module_name)
+    WHERE s.rn > 0 AND s.admitted AND s.state = 'open'""")
+def stream_breaker_recovered(t):
+    return _late_breakers(t).filter(F.col("kind") == breakers.RECOVERED).select(
+        "module_name", "ts")
 
 
 @query("stream_cooldown", """

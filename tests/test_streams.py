@@ -12,7 +12,7 @@ from relaylens.plans import catalogue, stream_queries
 from relaylens.session import scratch_path
 from relaylens.sources import schemas
 from relaylens.sources.state_table import StateTable
-from relaylens.streaming import chunks, jobs, sinks
+from relaylens.streaming import breakers, chunks, jobs, sinks
 
 START = datetime(2024, 1, 1)
 SPLITS = [
@@ -260,3 +260,48 @@ def test_restored_chunks_are_dealt_over_many_files(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert len(files) > 3
+
+
+def test_breakers_over_late_events_equal_the_replay_of_the_log(spark):
+    """Events up to ten minutes late over shuffled files; those later than that are counted."""
+    rng = random.Random(31)
+    rows = outcome_rows(900)
+    log = spark.createDataFrame(rows, schemas.ROUTING_LOG)
+    ts = {r[0]: r[1] for r in rows}
+    configs = spark.createDataFrame([("a", 2, 30, 2, 30.0, True)], schemas.BREAKER_CONFIGS)
+    arrives = {i: t + timedelta(seconds=rng.uniform(0, 590)) for i, t in ts.items()}
+    order = sorted(arrives, key=arrives.get)
+    parts = [order[:300], order[300:600], order[600:]]
+    too_late = parts[0][:2]
+    parts[0], parts[2] = parts[0][2:], parts[2] + too_late
+    source, out, progress = (scratch_path(spark, x) for x in ("log", "out", "p"))
+    counter = sinks.DroppedRows()
+    spark.streams.addListener(counter)
+    try:
+        for part in parts:
+            log.filter(log.event_id.isin(part)).repartition(3).write.mode("append").parquet(source)
+            live = spark.readStream.schema(log.schema).parquet(source)
+            query = sinks.drain(breakers.breaker_event_stream(live, configs, out, progress), 180)
+        breakers.write_left_over(spark, out, progress)
+        for _ in range(50):
+            if counter.by_query.get(str(query.id), 0):
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(counter)
+    assert counter.by_query[str(query.id)] == len(too_late)
+    got = sinks.read_output(spark, out, breakers.OUT).drop("batch").collect()
+    kept = log.filter(~log.event_id.isin(too_late))
+    batch = breaker.replay(breaker.outcomes(kept, configs), 4)
+    columns = ["event_id", "module_name", "ts", "state_before", "admitted", "state_after",
+               "failure_count", "success_count", "last_failure_at"]
+    want = sorted(map(tuple, batch.select(*columns).collect()), key=repr)
+    calls = [tuple(r[c] for c in columns) for r in got if r["kind"] == breakers.CALL]
+    assert sorted(calls, key=repr) == want
+    by_recovery = {r.module_name: r.recovery_timeout for r in breaker.breaker_config(
+        kept, configs).collect()}
+    ends = sorted((r.module_name, r.ts + timedelta(seconds=by_recovery[r.module_name]))
+                  for r in batch.collect() if r.admitted and r.state_after == "open")
+    assert sorted((r["module_name"], r["ts"]) for r in got
+                  if r["kind"] == breakers.RECOVERED) == ends
+    assert len(ends) > 3
