@@ -95,11 +95,15 @@ def store_upsert(store: DataFrame, found: DataFrame, as_of, ttl_hours: float = 2
     A token that turns out to stand for two values loses its original for good: giving either
     back could show a person's data to another.
     """
-    entering = found.withColumn("expires_at", clock.shifted(as_of, hours=ttl_hours))
-    return state.keyed_upsert(store, entering, ["token"], STORE_POLICIES,
+    return state.keyed_upsert(store, entering(found, as_of, ttl_hours), ["token"], STORE_POLICIES,
                               order or ["request_id", "original_value"], small_updates)
 
 
+def entering(found: DataFrame, as_of, ttl_hours: float = 24) -> DataFrame:
+    """Entities as updates of a token store that takes deltas; see ``STORE_POLICIES``."""
+    return found.withColumn("expires_at", clock.shifted(as_of, hours=ttl_hours))
+
+
 def collisions(store: DataFrame, found: DataFrame) -> DataFrame:
     """Tokens that stand for more than one value, known as such to the store or not."""
     pairs = store.select("token", "original_value").unionByName(

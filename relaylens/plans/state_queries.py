@@ -8,6 +8,9 @@ from relaylens.functions import clock
 from relaylens.operators import cooldown, quality, state
 from relaylens.plans import frames
 from relaylens.plans.registry import query
+from relaylens.session import scratch_path
+from relaylens.sources import schemas
+from relaylens.sources.keyed_table import KeyedTable
 
 EVENING = "2024-01-29 20:00:00"
 RULE_COLUMNS = "model_name, module_name, enabled, priority, instance_config"
@@ -26,6 +29,24 @@ def upsert_overwrite(t):
                               ["edit_id"])
 
 
+@query("upsert_deltas", f"""
+    SELECT {RULE_COLUMNS} FROM {_LAST_EDIT} e
+    UNION ALL SELECT {RULE_COLUMNS} FROM {{routing_rules}} r
+    WHERE NOT EXISTS (SELECT 1 FROM {{rule_edits}} e WHERE e.model_name = r.model_name)""")
+def upsert_deltas(t):
+    """The rules, then their edits in three batches by id; compacted before the last one."""
+    table = KeyedTable(t.spark, scratch_path(t.spark, "rules"), schemas.ROUTING_RULES,
+                       ["model_name"], RULE_FULL, ["edit_id"])
+    table.merge(t.routing_rules.withColumn("edit_id", F.lit(0)))
+    bounds = t.rule_edits.agg(F.min("edit_id").alias("a"), F.max("edit_id").alias("b")).first()
+    first, width = bounds["a"] or 0, ((bounds["b"] or 0) - (bounds["a"] or 0)) // 3 + 1
+    for k in range(3):
+        if k == 2:
+            table.compact()
+        table.merge(t.rule_edits.filter(F.floor((F.col("edit_id") - first) / width) == k))
+    return table.read()
+
+
 @query("upsert_partial", f"""
     SELECT model_name, COALESCE(e.module_name, r.module_name) AS module_name,
            COALESCE(r.enabled, true) AS enabled,

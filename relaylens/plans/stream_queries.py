@@ -234,7 +234,7 @@ def fan_out_stream(t):
       SELECT UNNEST(regexp_extract_all(text, '{{pii_pattern}}')) AS v FROM {{message_texts}}) a) b""")
 def stream_mask(t):
     out, progress = _paths(t, "mask")
-    store = StateTable(t.spark, scratch_path(t.spark, "tokens"), schemas.PII_TOKENS)
+    store = jobs.token_table(t.spark, scratch_path(t.spark, "tokens"))
     live = frames.messages(t.live)
     sinks.drain(jobs.mask_stream(live, store, out, progress, lambda batch: AS_OF))
     masked = sinks.read_output(t.spark, out, live.schema)

@@ -13,6 +13,7 @@ from relaylens.plans.registry import query
 from relaylens.session import scratch_path
 from relaylens.sources import schemas, tables
 from relaylens.sources.tables import spread
+from relaylens.streaming import jobs
 from relaylens.plans.views import (AS_OF, LOOKALIKE_SQL, duckdb_mask, duckdb_scan, duckdb_token)
 
 # DuckDB's \b knows ASCII letters only, so the reference SQL spells out the second pattern's.
@@ -101,6 +102,19 @@ def pii_store_upsert(t):
     return frames.token_store(t)
 
 
+@query("pii_store_merge", "SELECT * FROM {token_store}")
+def pii_store_merge(t):
+    """Tokens of documents and pages merged as deltas; the second merge rewrites nothing."""
+    store = jobs.token_table(t.spark, scratch_path(t.spark, "token-deltas"))
+    found = frames.written(t, pii_ops.entities(frames.sources(t), "text", "request_id"),
+                           "merged-entities")
+    from_docs = F.col("request_id").startswith("doc-")
+    store.merge(pii_ops.entering(found.filter(from_docs), frames.DOC_CLOCK))
+    store.compact()
+    store.merge(pii_ops.entering(found.filter(~from_docs), frames.PAGE_CLOCK))
+    return store.read()
+
+
 _SHORT = r"_([0-9a-f])[0-9a-f]{{7}}\]$"
 
 

@@ -7,12 +7,14 @@ number, so that a retried batch starts from the same state and replaces its own
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from relaylens.functions import clock
 from relaylens.operators import breaker, injection, pii, quality, state
 from relaylens.functions.text import extract_texts, role_list
+from relaylens.sources import schemas
+from relaylens.sources.keyed_table import BUCKETS, KeyedTable
 from relaylens.sources.state_table import StateTable
 from relaylens.streaming.sinks import each_batch, write_batch
 
@@ -30,10 +32,20 @@ def newest(column: str = "ts"):
     return read
 
 
-def mask_stream(messages: DataFrame, store: StateTable, out: str, checkpoint: str, as_of,
-                ttl_hours: float = 24, every: str | None = None) -> DataStreamWriter:
+def token_table(spark: SparkSession, path: str, buckets: int = BUCKETS) -> KeyedTable:
+    """A token store that takes the tokens of a batch without reading or rewriting others."""
+    return KeyedTable(spark, path, schemas.PII_TOKENS, ["token"], pii.STORE_POLICIES,
+                      ["request_id", "original_value"], buckets)
+
+
+def mask_stream(messages: DataFrame, store: KeyedTable, out: str, checkpoint: str, as_of,
+                ttl_hours: float = 24, every: str | None = None,
+                compact_every: int = 16) -> DataStreamWriter:
     """Messages masked in flight and their tokens stored; upserts by token are idempotent.
 
+    A batch writes its own tokens alone; each ``compact_every`` versions the buckets with many
+    deltas are compacted.
+
     ``as_of`` is a time, or a function of the batch such as ``newest()``, so that a running job
     does not go on giving out tokens that expire by the time of its start.
     """
@@ -46,8 +58,9 @@ def mask_stream(messages: DataFrame, store: StateTable, out: str, checkpoint: st
             found = pii.entities_at_spans(seen, "request_id").withColumn(
                 "request_id", F.col("request_id").cast("string"))
             version = store.version_of(batch, epoch)
-            store.commit(pii.store_upsert(store.read(before=version), found, moment(batch),
-                                          ttl_hours), version=version)
+            store.merge(pii.entering(found, moment(batch), ttl_hours), version=version)
+            if version % compact_every == compact_every - 1:
+                store.compact()
         finally:
             seen.unpersist()
 
