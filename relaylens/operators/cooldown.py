@@ -9,8 +9,20 @@ from relaylens.functions import clock
 FREE, PAID = "-free", "-paid"
 
 
-def from_errors(errors: DataFrame, hour: int = 0, zone: str = "UTC") -> DataFrame:
-    """The cooldown table after a log of errors ``(model_key, ts, event_id)``; last write wins."""
+def with_settings(errors: DataFrame, settings: DataFrame) -> DataFrame:
+    """Errors with the reset ``hour`` and ``zone`` of their key; 0:00 UTC without a setting."""
+    own = settings.select("model_key", F.col("hour").alias("_hour"), F.col("zone").alias("_zone"))
+    return errors.join(own, "model_key", "left").withColumns(
+        {"hour": F.coalesce("_hour", F.lit(0)), "zone": F.coalesce("_zone", F.lit("UTC"))}
+    ).drop("_hour", "_zone")
+
+
+def from_errors(errors: DataFrame, hour: Column | int = 0,
+                zone: Column | str = "UTC") -> DataFrame:
+    """The cooldown table after a log of errors ``(model_key, ts, event_id)``; last write wins.
+
+    Hour and zone may be columns of the errors; see ``with_settings``.
+    """
     until = clock.next_reset(F.col("ts"), hour, zone)
     return errors.groupBy("model_key").agg(
         F.max_by(until, F.struct("ts", "event_id")).alias("cooldown_until"))

@@ -14,7 +14,7 @@ from relaylens.plans.views import AS_OF, duckdb_mask, duckdb_scan
 from relaylens.session import scratch_path
 from relaylens.sources import schemas
 from relaylens.sources.state_table import StateTable
-from relaylens.streaming import breakers, chunks, jobs, sinks
+from relaylens.streaming import breakers, chunks, cooldowns, jobs, sinks
 
 _BREAKER = """
     WITH RECURSIVE calls AS (
@@ -287,20 +287,24 @@ def stream_metrics(t):
 LATE_PARTS = 3
 
 
-def _late_breakers(t):
-    """The log in parts by arrival, each event up to ten minutes late; one run for each part."""
+def _late_parts(t, rows, drain):
+    """Rows in parts by arrival, each up to ten minutes late, in shuffled files; ``drain`` runs
+    once for each part, over a stream of all files so far."""
     seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
     arrives = seconds + F.pmod(F.xxhash64("event_id"), F.lit(590))
-    bounds = t.routing_log.agg(F.min(seconds).alias("a"), F.max(seconds).alias("b")).first()
-    width = ((bounds["b"] or 0) - (bounds["a"] or 0) + 600) // LATE_PARTS + 1
-    part = F.floor((arrives - F.lit(bounds["a"] or 0)) / width)
-    source = scratch_path(t.spark, "late-log")
-    out, progress = _paths(t, "breaker")
+    bounds = rows.agg(F.min(seconds).alias("a"), F.max(seconds).alias("b")).first()
+    first, last = bounds["a"] or 0, bounds["b"] or 0
+    part = F.floor((arrives - first) / ((last - first + 600) // LATE_PARTS + 1))
+    source = scratch_path(t.spark, "late-rows")
     for k in range(LATE_PARTS):
-        t.routing_log.filter(part == k).repartition(4).write.mode("append").parquet(source)
-        live = t.spark.readStream.schema(t.routing_log.schema).parquet(source)
-        sinks.drain(breakers.breaker_event_stream(live, t.breaker_configs, out, progress,
-                                                  span_seconds=3600))
+        rows.filter(part == k).repartition(4).write.mode("append").parquet(source)
+        drain(t.spark.readStream.schema(rows.schema).parquet(source))
+
+
+def _late_breakers(t):
+    out, progress = _paths(t, "breaker")
+    _late_parts(t, t.routing_log, lambda live: sinks.drain(breakers.breaker_event_stream(
+        live, t.breaker_configs, out, progress, span_seconds=3600)))
     breakers.write_left_over(t.spark, out, progress)
     return sinks.read_output(t.spark, out, breakers.OUT).drop("batch")
 
@@ -332,6 +336,25 @@ def stream_cooldown(t):
     return table.read()
 
 
+@query("stream_cooldown_zones", """
+    SELECT model_key, MAX(CAST(CAST(shifted - INTERVAL 3 HOUR AS DATE) AS TIMESTAMP)
+             + INTERVAL 27 HOUR - away) AS cooldown_until
+    FROM (SELECT model_key, ts + away AS shifted, away FROM (
+      SELECT *, CASE WHEN CAST(regexp_extract(model_key, 'model-(\\d+)-free', 1) AS BIGINT) % 2 = 0
+                     THEN INTERVAL 330 MINUTE ELSE INTERVAL 0 MINUTE END AS away
+      FROM {rate_limit_events}) a) b GROUP BY model_key""")
+def stream_cooldown_zones(t):
+    """Even models reset at three o'clock in Kolkata, odd ones at three in UTC."""
+    even = F.regexp_extract("model_key", r"model-(\d+)-free", 1).cast("bigint") % 2 == 0
+    settings = t.rate_limit_events.select("model_key").distinct().withColumns(
+        {"hour": F.lit(3), "zone": F.when(even, F.lit("Asia/Kolkata"))})
+    out, progress = _paths(t, "cooldown-changes")
+    table = cooldowns.cooldown_table(t.spark, scratch_path(t.spark, "cooldown-deltas"))
+    _late_parts(t, t.rate_limit_events, lambda live: sinks.drain(cooldowns.cooldown_event_stream(
+        live, settings, table, out, progress)))
+    return table.read()
+
+
 _NEWEST = "(SELECT MAX(ts) FROM {routing_log})"
 
 

@@ -12,7 +12,7 @@ from relaylens.plans import catalogue, stream_queries
 from relaylens.session import scratch_path
 from relaylens.sources import schemas
 from relaylens.sources.state_table import StateTable
-from relaylens.streaming import breakers, chunks, jobs, sinks
+from relaylens.streaming import breakers, chunks, cooldowns, jobs, sinks
 
 START = datetime(2024, 1, 1)
 SPLITS = [
@@ -305,3 +305,32 @@ def test_breakers_over_late_events_equal_the_replay_of_the_log(spark):
     assert sorted((r["module_name"], r["ts"]) for r in got
                   if r["kind"] == breakers.RECOVERED) == ends
     assert len(ends) > 3
+
+
+def test_cooldowns_with_their_own_hours_and_zones(spark):
+    """Late and shuffled errors against the batch form; the state holds only what cools down."""
+    rng = random.Random(12)
+    rows = [(i, START + timedelta(minutes=7 * i), rng.choice(["x-free", "y-free", "z-free"]))
+            for i in range(600)]
+    errors = spark.createDataFrame(rows, "event_id BIGINT, ts TIMESTAMP_NTZ, model_key STRING")
+    settings = spark.createDataFrame([("x-free", 6, "America/New_York"), ("y-free", 2, "Asia/Tokyo")],
+                                     "model_key STRING, hour INT, zone STRING")
+    source, out, progress = (scratch_path(spark, x) for x in ("errors", "out", "p"))
+    table = cooldowns.cooldown_table(spark, scratch_path(spark, "cooldowns"), buckets=4)
+    arrives = sorted(range(600), key=lambda i: rows[i][1] + timedelta(seconds=rng.uniform(0, 590)))
+    later = spark.createDataFrame([(1000, START + timedelta(days=9), "last-free")], errors.schema)
+    for part in (arrives[:200], arrives[200:400], arrives[400:], None):
+        chosen = later if part is None else errors.filter(errors.event_id.isin(part))
+        chosen.repartition(2).write.mode("append").parquet(source)
+        live = spark.readStream.schema(errors.schema).parquet(source)
+        sinks.drain(cooldowns.cooldown_event_stream(live, settings, table, out, progress), 180)
+    known = cooldown.with_settings(errors.unionByName(later), settings)
+    want = cooldown.from_errors(known, F.col("hour"), F.col("zone"))
+    assert sorted(table.read().collect()) == sorted(want.collect())
+    changes = sinks.read_output(spark, out, "model_key STRING, change STRING, "
+                                "cooldown_until TIMESTAMP_NTZ").drop("batch")
+    lifted = {tuple(r) for r in changes.filter("change = 'lifted'").select(
+        "model_key", "cooldown_until").collect()}
+    assert {tuple(r) for r in want.filter("model_key <> 'last-free'").collect()} <= lifted
+    left = spark.read.format("statestore").option("stateVarName", "until").load(progress)
+    assert [r["key"]["model_key"] for r in left.collect()] == ["last-free"]
