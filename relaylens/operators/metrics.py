@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from relaylens.functions import clock
+from relaylens.operators.slices import sorted_slices
 
 # The thresholds of the alerts; so are the texts in ``alerts``.
 ALERT_THRESHOLDS = {"max_response_time_ms": 5000.0, "min_success_rate": 0.95}
@@ -102,6 +103,33 @@ def module_counters(log: DataFrame) -> DataFrame:
         F.concat_ws(".", F.lit("routing"), "module_name", "kind").alias("counter"), "value")
 
 
+def running_counters(log: DataFrame, slices: int | None = None) -> DataFrame:
+    """(event_id, module_name, ts, total, success, error): the counters as of each call.
+
+    A module's calls are cut into slices of time. The calls of all slices before a slice are a sum
+    over one row for each slice; the rest is counted inside the slice, so that a hot module is
+    counted by many tasks. Calls of one time go by id.
+    """
+    ordered = sorted_slices(log.select("event_id", "module_name", "ts", "success"),
+                            "module_name", ["ts", "event_id"], slices)
+    sums = ordered.groupBy("module_name", "slice_id").agg(
+        F.count(F.lit(1)).alias("_total"), F.count_if("success").alias("_success"))
+    earlier = W.partitionBy("module_name").orderBy("slice_id").rowsBetween(
+        W.unboundedPreceding, -1)
+    before = sums.select(
+        F.col("module_name").alias("_module"), F.col("slice_id").alias("_slice"),
+        *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("_total", "_success")])
+    inside = W.partitionBy("slice_id", "module_name").orderBy("ts", "event_id").rowsBetween(
+        W.unboundedPreceding, 0)
+    counted = ordered.withColumns({"total": F.count(F.lit(1)).over(inside),
+                                   "success": F.count_if("success").over(inside)})
+    same = (F.col("slice_id") == F.col("_slice")) & F.col("module_name").eqNullSafe(F.col("_module"))
+    return counted.join(before, same).select(
+        "event_id", "module_name", "ts", (F.col("total") + F.col("_total")).alias("total"),
+        (F.col("success") + F.col("_success")).alias("success")).withColumn(
+        "error", F.col("total") - F.col("success"))
+
+
 def rolling_latency(log: DataFrame, n: int = 100) -> DataFrame:
     """The last ``n`` response times per module.
 

@@ -123,6 +123,17 @@ def module_counters(t):
     return metrics.module_counters(t.routing_log)
 
 
+@query("module_counters_running", """
+    SELECT event_id, module_name, ts, COUNT(*) OVER w AS total,
+           COUNT(*) FILTER (success) OVER w AS success,
+           COUNT(*) FILTER (NOT success) OVER w AS error
+    FROM {routing_log}
+    WINDOW w AS (PARTITION BY module_name ORDER BY ts, event_id
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def module_counters_running(t):
+    return metrics.running_counters(t.routing_log)
+
+
 @query("rolling_latency", """
     SELECT module_name, ts, event_id, response_time_ms, recency FROM (
       SELECT *, ROW_NUMBER() OVER (PARTITION BY module_name ORDER BY ts DESC, event_id DESC)

@@ -77,3 +77,19 @@ def test_scratch_tables_can_be_removed(spark, monkeypatch):
     spark.range(3).write.parquet(path)
     assert session.remove_scratch(spark) == 1 and session.remove_scratch(spark) == 0
     assert not os.path.exists(path.removeprefix("file:"))
+
+
+@pytest.mark.parametrize("slices", [1, 7])
+def test_running_counters_over_slices_that_cut_a_module(spark, slices):
+    rng = np.random.default_rng(4)
+    rows = [(i, NOW + timedelta(seconds=int(rng.integers(0, 90))), "m",
+             [None, "hot", "hot", "hot", "b"][int(rng.integers(0, 5))], "t", 1.0,
+             bool(rng.integers(0, 2)), None) for i in range(400)]
+    want, counts = [], {}
+    for i, ts, _, module, _, _, success, _ in sorted(rows, key=lambda r: (r[1], r[0])):
+        total, good = counts.get(module, (0, 0))
+        counts[module] = total, good = total + 1, good + success
+        want.append((i, module, ts, total, good, total - good))
+    got = metrics.running_counters(frame(spark, rows), slices).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert metrics.running_counters(frame(spark, []), slices).count() == 0
