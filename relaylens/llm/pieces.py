@@ -1,13 +1,16 @@
 """SentencePiece encoding and decoding of merge-type (BPE) models, exactly, by backtracking.
 
-A text is cut where a piece can never span: before a ``▁`` that follows something else. Each
-such chunk is encoded alone. An Aho-Corasick automaton over all pieces gives the longest piece that
-matches at a place, a table the next shorter one that it begins with. A piece may follow another if the merge rules, run on the
-two together, give just these two back. Encoding takes the longest compatible piece and steps
-back where none fits; a bit per place remembers those from which no encoding exists. Chunks
-repeat, so every worker keeps the ids of the last ones in a table of bounded size.
-
-Nulls count as empty texts; an empty text has no ids and decodes to an empty text.
+A text is cut where a piece can never span: before a ``▁`` that follows something else, and before
+signs at the end of a word if no piece holds the two neighbours of the cut. Each such chunk is
+encoded alone. One pass of an Aho-Corasick automaton over a chunk gives the longest piece that
+matches at each place, a table the next shorter one that it begins with. A piece may follow
+another if the merge rules, run on the two together, give just these two back. Encoding takes the
+longest compatible piece and steps back where none fits; a bit per place remembers those from
+which no encoding exists. The chunks of a batch are found by Arrow, each once, and as chunks
+repeat, every worker keeps the ids of the last ones in two tables of bounded size.
+
+Nulls count as empty texts; an empty text has no ids and decodes to an empty text. Repeated rows
+are encoded each, an empty table gives none. A text is held whole by one task.
 """
 
 from __future__ import annotations
@@ -15,19 +18,22 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 MARK = "▁"
 CHUNKS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-KEPT_CHUNKS = 300_000  # entries of the table of chunks that a worker keeps
+KEPT_CHUNKS = 400_000  # entries of each of the two tables of chunks that a worker keeps
 KEPT_PAIRS = 400_000
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 RESULT = pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
 
@@ -73,8 +79,12 @@ class Model:
             if any(part in self.odd or self.made(part) >= self.rank[piece]
                    for part in self.last[piece]):
                 self.odd.add(piece)
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}  # by first piece, then by second
+        self.n_pairs = 0
+        self.together = {p[k:k + 2] for p in self.ids for k in range(len(p) - 1)}
+        self.surfaces = pa.array(self.surface, pa.binary())
         self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def made(self, piece: str) -> float:
         """The rank of the merge that made a piece; characters are there from the start."""
@@ -128,16 +138,15 @@ class Model:
 
     def fits(self, first: str, second: str) -> bool:
         """Whether the merge rules leave two neighbouring pieces as they are."""
-        key = (first, second)
-        known = self.pairs.get(key)
+        after = self.pairs.setdefault(first, {})
+        known = after.get(second)
         if known is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
             if first in self.odd or second in self.odd:
                 known = self.merged(first + second, len(first)) == [first, second]
             else:
                 known = self.apart(first, second)
-            self.pairs[key] = known
+            after[second] = known
+            self.n_pairs += 1
         return known
 
     def apart(self, x: str, y: str) -> bool:
@@ -159,79 +168,142 @@ class Model:
     def split(self, chunk: str) -> list[str]:
         """The pieces of a chunk; a character that is no piece stands for itself."""
         n = len(chunk)
-        failed = bytearray(n // 8 + 1)  # a bit per place from which no encoding exists
+        longest = [0] * n
+        for end, size in self.words.iter(chunk):  # of one place the longer matches come later
+            longest[end - size + 1] = size
+        failed, any_failed = bytearray(n // 8 + 1), False  # a bit per place without encoding
+        if self.n_pairs > KEPT_PAIRS:
+            self.pairs.clear()
+            self.n_pairs = 0
+        shorter, pairs, after = self.shorter, self.pairs, {}
         out: list[str] = []
         stack: list[str] = []  # for each piece the match to try next in its place
-        pos, piece = 0, self.longest(chunk, 0)
+        pos, before = 0, None
+        piece = chunk[:longest[0]] if n else ""
         while pos < n:
-            if piece is None:  # an unknown character: nothing merges with it
+            if not longest[pos]:  # an unknown character: nothing merges with it
                 out.append(chunk[pos])
                 stack.append("")
                 pos += 1
-                piece = self.longest(chunk, pos)
+                before, piece = None, chunk[pos:pos + longest[pos]] if pos < n else ""
                 continue
-            before = out[-1] if out and out[-1] in self.shorter else None
             while piece:
-                end = pos + len(piece)
-                if not failed[end >> 3] >> (end & 7) & 1 and (
-                        before is None or self.fits(before, piece)):
-                    out.append(piece)
-                    stack.append(self.shorter[piece])
-                    pos, piece = end, self.longest(chunk, end)
-                    break
-                piece = self.shorter[piece]
+                fit = before is None or after.get(piece)
+                if fit is None:
+                    fit = self.fits(before, piece)
+                if fit:
+                    end = pos + len(piece)
+                    if not any_failed or not failed[end >> 3] >> (end & 7) & 1:
+                        out.append(piece)
+                        stack.append(shorter[piece])
+                        before, pos = piece, end
+                        after = pairs.get(piece)
+                        if after is None:
+                            after = pairs[piece] = {}
+                        piece = chunk[end:end + longest[end]] if end < n else ""
+                        break
+                piece = shorter[piece]
             else:
                 failed[pos >> 3] |= 1 << (pos & 7)
+                any_failed = True
                 pos -= len(out.pop())
                 piece = stack.pop()
+                before = out[-1] if out and out[-1] in shorter else None
+                after = pairs.setdefault(before, {}) if before else {}
         return out
 
-    def longest(self, chunk: str, pos: int) -> str | None:
-        """The longest piece that matches at a place: as far as the automaton gets from there."""
-        size = self.words.longest_prefix(chunk[pos:pos + self.widest])
-        while size:
-            piece = chunk[pos:pos + size]
-            if piece in self.shorter:
-                return piece
-            size -= 1
-        return None
-
     def encoded(self, chunk: str) -> bytes:
         """The ids of a chunk as packed 32-bit numbers."""
-        ids: list[int] = []
-        for piece in self.split(chunk):
-            known = self.ids.get(piece)
-            if known is not None:
-                ids.append(known)
-            elif self.bytes:
-                ids.extend(self.bytes[b] for b in piece.encode())
-            else:
-                ids.append(self.unknown)
-        return np.array(ids, np.int32).tobytes()
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.plain and MARK not in text and "  " not in text and text[0] != " ":
-            # Single blanks: a chunk is a word, or a line feed, with which nothing merges, and
-            # what follows it.
-            chunks = text.replace("\n", " \n").split(" ")
-        else:
-            chunks = CHUNKS.findall(MARK + text.replace(" ", MARK))
+        pieces = self.split(chunk)
+        try:
+            return array("i", map(self.ids.__getitem__, pieces)).tobytes()
+        except KeyError:  # characters that are no piece
+            ids: list[int] = []
+            for piece in pieces:
+                if piece in self.ids:
+                    ids.append(self.ids[piece])
+                elif self.bytes:
+                    ids.extend(self.bytes[b] for b in piece.encode())
+                else:
+                    ids.append(self.unknown)
+            return array("i", ids).tobytes()
+
+    def known(self, chunks: list[str]) -> list[bytes]:
+        """The packed ids of different chunks; those used of late are kept. A chunk without
+        ``▁`` or a line feed in front follows a blank."""
+        if len(self.chunks) > KEPT_CHUNKS:
+            self.older, self.chunks = self.chunks, {}
         table = self.chunks
-        for chunk in set(chunks):
-            if chunk not in table:
+        found = list(map(table.get, chunks))
+        for k in [k for k, ids in enumerate(found) if ids is None]:
+            chunk = chunks[k]
+            ids = self.older.get(chunk)
+            if ids is None:
                 first = chunk[:1]
-                table[chunk] = self.encoded(
-                    chunk if first == "\n" or first == MARK else MARK + chunk)
-        out = b"".join(map(table.__getitem__, chunks))
-        if len(table) > KEPT_CHUNKS:
-            table.clear()
-        return out
+                whole = chunk if first == "\n" or first == MARK else MARK + chunk
+                word = whole.rstrip(SIGNS)
+                cut = len(word)
+                if 1 < cut < len(whole) and whole[cut - 1:cut + 1] not in self.together:
+                    ids = self._alone(word) + self._alone(whole[cut:])
+                else:
+                    ids = self.encoded(whole)
+            table[chunk] = found[k] = ids
+        return found
+
+    def _alone(self, part: str) -> bytes:
+        """A part that nothing next to it merges with; it may be a chunk of its own, too."""
+        key = part[1:] if part[:1] == MARK and part[1:2] not in ("", MARK, "\n") else "\0" + part
+        ids = self.chunks.get(key) or self.older.get(key)
+        if ids is None:
+            ids = self.encoded(part)
+        self.chunks[key] = ids
+        return ids
+
+    def chunked(self, texts: pa.Array) -> pa.ListArray:
+        """The chunks of each text; mostly words, told apart by single blanks, as in ``known``."""
+        def split(plain: pa.Array) -> pa.ListArray:
+            return pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
+
+        odd = pc.or_(pc.or_(pc.match_substring(texts, MARK), pc.match_substring(texts, "  ")),
+                     pc.or_(pc.starts_with(texts, " "), pc.equal(pc.binary_length(texts), 0)))
+        if self.plain and not pc.any(odd).as_py():
+            return split(texts)
+        mask = odd.to_numpy(zero_copy_only=False) if self.plain else np.ones(len(texts), bool)
+        lists = pa.array([CHUNKS.findall(MARK + t.replace(" ", MARK)) if t else []
+                          for t in texts.filter(pa.array(mask)).to_pylist()],
+                         pa.list_(pa.string()))
+        both = pa.concat_arrays([split(texts.filter(pa.array(~mask))), lists])
+        return both.take(pa.array(np.argsort(np.argsort(mask, kind="stable"))))
+
+    def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and the end of each text in them."""
+        cut = self.chunked(pc.fill_null(texts, ""))
+        chunks = cut.flatten().dictionary_encode()
+        found = self.known(chunks.dictionary.to_numpy(zero_copy_only=False).tolist())
+        which = chunks.indices.to_numpy()
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        own = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        begin = (np.cumsum(sizes) - sizes)[which] - ends[:-1]
+        ids = np.frombuffer(b"".join(found), np.int32)[np.repeat(begin, own) + np.arange(ends[-1])]
+        return ids, ends[cut.offsets.to_numpy()[1:] - cut.offsets[0].as_py()]
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_texts(pa.array([text], pa.string()))[0].tobytes()
+
+    def decode_texts(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+        joined = pc.binary_join(pa.ListArray.from_arrays(
+            offsets, self.surfaces.take(pa.array(ids))), b"")
+        joined = pc.if_else(pc.starts_with(joined, b" "),
+                            pc.binary_replace_slice(joined, 0, 1, b""), joined)
+        try:
+            return joined.cast(pa.string())
+        except pa.ArrowInvalid:  # bytes of the model that are no character
+            return pa.array([x.decode("utf-8", "replace") for x in joined.to_pylist()])
 
     def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        return self.decode_texts(np.array(ids, np.int32), np.array([len(ids)]))[0].as_py()
 
 
 def read_model(path: str) -> Model:
@@ -248,14 +320,12 @@ def encode_decode(texts: Column, model: Broadcast) -> Column:
         rules = model.value
         for batch in batches:
             parts = []
-            for at in range(0, len(batch), 256):  # whole texts, a few at a time
-                packed = [rules.encode(t) for t in batch.slice(at, 256).to_pylist()]
-                flat = np.frombuffer(b"".join(packed), np.int32)
-                ends = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                decoded = pa.array([rules.decode(np.frombuffer(p, np.int32).tolist())
-                                    for p in packed], pa.string())
-                parts.append(pa.StructArray.from_arrays([ids, decoded], ["ids", "decoded"]))
+            for at in range(0, len(batch), 1000):  # whole texts, a few at a time
+                ids, ends = rules.encode_texts(batch.slice(at, 1000))
+                offsets = np.concatenate([[0], ends]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
+                parts.append(pa.StructArray.from_arrays(
+                    [lists, rules.decode_texts(ids, ends)], ["ids", "decoded"]))
             yield pa.concat_arrays(parts) if parts else pa.array([], RESULT)
 
     return run(texts)
