@@ -225,6 +225,26 @@ def fan_out_stream(t):
                 F.lit("error"), "sink", "n")))
 
 
+@query("fan_out_fed_again", "SELECT event_id, module_name, success FROM {routing_log}")
+def fan_out_fed_again(t):
+    """A sink that fails at its first two attempts ends with every row, and with none twice."""
+    out, progress = _paths(t, "fed-again")
+    dead, attempts = f"{out}-dead", []
+
+    def flaky(batch, epoch):
+        attempts.append(epoch)
+        if len(attempts) <= 2:
+            sinks.write_batch(batch.limit(1), out, epoch)  # it had begun
+            raise RuntimeError("this consumer fails twice")
+        sinks.write_batch(batch, out, epoch)
+
+    _late_parts(t, t.routing_log, lambda live: sinks.drain(sinks.fan_out(
+        live, progress, {"flaky": flaky}, f"{out}-errors", dead_letters=dead)))
+    sinks.feed_again(t.spark, dead, "flaky", flaky)
+    return sinks.read_output(t.spark, out, schemas.ROUTING_LOG).select(
+        "event_id", "module_name", "success")
+
+
 @query("stream_mask", f"""
     SELECT request_id, turn, part, {duckdb_mask('text')} AS text, CAST(NULL AS VARCHAR) AS token,
            CAST(NULL AS VARCHAR) AS original_value

@@ -26,8 +26,13 @@ def each_batch(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame,
 
 def fan_out(stream: DataFrame, checkpoint: str,
             sinks: dict[str, Callable[[DataFrame, int], None]], errors_path: str,
-            enabled: dict[str, bool] | None = None, every: str | None = None) -> DataStreamWriter:
-    """Every batch to every enabled sink; a failing sink is recorded and stops no other."""
+            enabled: dict[str, bool] | None = None, every: str | None = None,
+            dead_letters: str | None = None) -> DataStreamWriter:
+    """Every batch to every enabled sink; a failing sink is recorded and stops no other.
+
+    With ``dead_letters`` the rows of a failed batch are kept there, a folder for each sink and
+    batch, for ``feed_again``.
+    """
     def handle(batch: DataFrame, epoch: int) -> None:
         batch.persist()
         failures = []
@@ -40,6 +45,8 @@ def fan_out(stream: DataFrame, checkpoint: str,
                 except Exception as error:
                     logger.error("sink %s failed in batch %d: %s", name, epoch, error)
                     failures.append((name, epoch, type(error).__name__))
+                    if dead_letters is not None:
+                        write_batch(batch, f"{dead_letters}/sink={name}", epoch)
             rows = batch.sparkSession.createDataFrame(
                 failures, "sink STRING, epoch BIGINT, error STRING")
             write_batch(rows, errors_path, epoch)
@@ -49,6 +56,47 @@ def fan_out(stream: DataFrame, checkpoint: str,
     return each_batch(stream, checkpoint, handle, every=every)
 
 
+def _epochs(spark: SparkSession, path: str) -> list[int]:
+    """The batches that were written below a path, by one listing."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    root = folder(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = fs.globStatus(folder(f"{path}/batch=*/_SUCCESS")) if fs.exists(root) else None
+    names = [status.getPath().getParent().getName() for status in done or []]
+    return sorted(int(name.split("=")[1]) for name in names)
+
+
+def waiting(spark: SparkSession, dead_letters: str, name: str) -> list[int]:
+    """The batches that a sink has missed and not been fed again, oldest first."""
+    fed = set(_epochs(spark, f"{dead_letters}-fed/sink={name}"))
+    return [e for e in _epochs(spark, f"{dead_letters}/sink={name}") if e not in fed]
+
+
+def feed_again(spark: SparkSession, dead_letters: str, name: str,
+               sink: Callable[[DataFrame, int], None]) -> tuple[list[int], list[int]]:
+    """Feeds a sink the batches that it missed, each under its own number; returns those that it
+    took and those that still wait.
+
+    A batch is marked once the sink has taken it, and not fed again. If the job ends between the
+    two, the sink gets the batch under the same number again, which a sink that replaces its own
+    output by number (``write_batch``) takes without repeating a row. A sink that fails keeps its
+    batches; later batches are tried all the same.
+    """
+    taken, left = [], []
+    for epoch in waiting(spark, dead_letters, name):
+        rows = spark.read.parquet(f"{dead_letters}/sink={name}/batch={epoch}")
+        try:
+            sink(rows, epoch)
+        except Exception as error:
+            logger.error("sink %s failed again in batch %d: %s", name, epoch, error)
+            left.append(epoch)
+            continue
+        mark = spark.createDataFrame([(name, epoch)], "sink STRING, epoch BIGINT")
+        write_batch(mark, f"{dead_letters}-fed/sink={name}", epoch)
+        taken.append(epoch)
+    return taken, left
+
+
 def drain(writer: DataStreamWriter, seconds: float | None = None) -> StreamingQuery:
     """Start a draining query and wait for its end, at most ``seconds``."""
     query = writer.start()

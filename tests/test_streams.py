@@ -334,3 +334,33 @@ def test_cooldowns_with_their_own_hours_and_zones(spark):
     assert {tuple(r) for r in want.filter("model_key <> 'last-free'").collect()} <= lifted
     left = spark.read.format("statestore").option("stateVarName", "until").load(progress)
     assert [r["key"]["model_key"] for r in left.collect()] == ["last-free"]
+
+
+def test_a_sink_is_fed_what_it_missed_once(spark):
+    log = spark.createDataFrame(outcome_rows(300), schemas.ROUTING_LOG)
+    source, good, bad, progress = (scratch_path(spark, x) for x in ("log", "good", "bad", "p"))
+    for part in range(3):
+        log.filter(f"event_id % 3 = {part}").coalesce(1).write.mode("append").parquet(source)
+    live = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    calls, broken = [], {0, 2}
+
+    def flaky(batch, epoch):
+        calls.append(epoch)
+        if epoch in broken:
+            raise RuntimeError("not now")
+        sinks.write_batch(batch, bad, epoch)
+
+    dead = f"{bad}-dead"
+    sinks.drain(sinks.fan_out(live, progress, {
+        "flaky": flaky, "good": lambda b, e: sinks.write_batch(b, good, e)},
+        f"{bad}-errors", dead_letters=dead), 120)
+    assert sinks.waiting(spark, dead, "flaky") == [0, 2]
+    assert sinks.waiting(spark, dead, "good") == []
+    broken.remove(0)
+    assert sinks.feed_again(spark, dead, "flaky", flaky) == ([0], [2])
+    broken.clear()
+    assert sinks.feed_again(spark, dead, "flaky", flaky) == ([2], [])
+    assert sinks.feed_again(spark, dead, "flaky", flaky) == ([], [])
+    assert calls == [0, 1, 2, 0, 2, 2]
+    ids = [r.event_id for r in sinks.read_output(spark, bad, "event_id BIGINT").collect()]
+    assert sorted(ids) == list(range(300))
