@@ -14,7 +14,7 @@ from relaylens.plans.views import AS_OF, duckdb_mask, duckdb_scan
 from relaylens.session import scratch_path
 from relaylens.sources import schemas
 from relaylens.sources.state_table import StateTable
-from relaylens.streaming import breakers, chunks, cooldowns, jobs, sinks
+from relaylens.streaming import breakers, chunks, cooldowns, jobs, requests, sinks
 
 _BREAKER = """
     WITH RECURSIVE calls AS (
@@ -286,6 +286,33 @@ def stream_screen(t):
             F.size(texts) > 0, F.array_join(texts, "|")).alias("text")), allowMissingColumns=True)
 
 
+@query("stream_screen_held", f"""
+    SELECT request_id, turn FROM {{messages}}
+    WHERE request_id NOT IN (SELECT request_id FROM {{message_texts}}
+           WHERE role = 'user' AND {duckdb_scan('text')} IS NOT NULL)""")
+def stream_screen_held(t):
+    """The messages of every request dealt over three batches; every fifth request does not say
+    how many it has and is judged by what is there at the end."""
+    whole = frames.messages(t)
+    counts = whole.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"))
+    asked = whole.join(counts, "request_id").withColumns({
+        "n_messages": F.when(F.col("request_id") % 5 != 0, F.col("n")),
+        "ts": F.timestamp_seconds(1_706_572_800 + F.col("request_id") % 60).cast("timestamp_ntz")
+    }).drop("n")
+    asked = frames.written(t, asked, "asked")
+    passed, progress = _paths(t, "held")
+    log, source = f"{passed}-log", scratch_path(t.spark, "held-messages")
+    for part in range(3):
+        asked.filter(F.pmod(F.xxhash64("request_id", "turn"), F.lit(3)) == part).write.mode(
+            "append").parquet(source)
+        live = t.spark.readStream.schema(asked.schema).parquet(source)
+        sinks.drain(jobs.screen_stream(requests.held_requests(live, "n_messages"), passed, log,
+                                       progress, action="block"))
+    jobs.screen_batch(requests.left_over(t.spark, progress, asked.schema), chunks.LAST_BATCH,
+                      passed, log, action="block")
+    return sinks.read_output(t.spark, passed, asked.schema).select("request_id", "turn")
+
+
 @query("stream_metrics", """
     SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, module_name,
            COUNT(*) AS total_requests, COUNT(*) FILTER (success) AS successful_requests,

@@ -67,6 +67,32 @@ def mask_stream(messages: DataFrame, store: KeyedTable, out: str, checkpoint: st
     return each_batch(messages, checkpoint, handle, every=every)
 
 
+def screen_batch(batch: DataFrame, epoch: int, passed: str, log: str,
+                 action: str = injection.LOG_ONLY, roles: str = "user",
+                 extra: list[tuple[str, str]] = ()) -> None:
+    """Screens the messages of whole requests and writes both outputs of a batch."""
+    batch.persist()
+    scanned = F.col("role").isin(*role_list(roles))
+    texts = batch.select("*", F.posexplode(F.when(scanned, extract_texts(
+        F.col("content"), F.col("parts")))).alias("part", "text"))
+    hits = injection.scan(texts.filter(F.col("text") != ""), "text", extra).filter(
+        F.col("pattern").isNotNull()).persist()
+    try:
+        write_batch(hits.select("request_id", "turn", "part", "pattern",
+                                F.lit(action).alias("action"), "text"), log, epoch)
+        first = hits.groupBy("request_id").agg(
+            F.min_by("pattern", F.struct("turn", "part")).alias("pattern"))
+        marked = batch.join(first, "request_id", "left")
+        if action == injection.BLOCK:
+            marked = marked.filter(F.col("pattern").isNull())
+        detected = F.when(F.lit(action == injection.FLAG), F.col("pattern"))
+        write_batch(marked.withColumn("injection_detected", detected).drop("pattern"),
+                    passed, epoch)
+    finally:
+        hits.unpersist()
+        batch.unpersist()
+
+
 def screen_stream(messages: DataFrame, passed: str, log: str, checkpoint: str,
                   action: str = injection.LOG_ONLY, roles: str = "user",
                   extra: list[tuple[str, str]] = (), every: str | None = None) -> DataStreamWriter:
@@ -76,29 +102,8 @@ def screen_stream(messages: DataFrame, passed: str, log: str, checkpoint: str,
     all of them with the pattern of the first hit. Only the hits are grouped and joined back, by
     request; Spark broadcasts them while they are few.
     """
-    def handle(batch: DataFrame, epoch: int) -> None:
-        batch.persist()
-        scanned = F.col("role").isin(*role_list(roles))
-        texts = batch.select("*", F.posexplode(F.when(scanned, extract_texts(
-            F.col("content"), F.col("parts")))).alias("part", "text"))
-        hits = injection.scan(texts.filter(F.col("text") != ""), "text", extra).filter(
-            F.col("pattern").isNotNull()).persist()
-        try:
-            write_batch(hits.select("request_id", "turn", "part", "pattern",
-                                    F.lit(action).alias("action"), "text"), log, epoch)
-            first = hits.groupBy("request_id").agg(
-                F.min_by("pattern", F.struct("turn", "part")).alias("pattern"))
-            marked = batch.join(first, "request_id", "left")
-            if action == injection.BLOCK:
-                marked = marked.filter(F.col("pattern").isNull())
-            detected = F.when(F.lit(action == injection.FLAG), F.col("pattern"))
-            write_batch(marked.withColumn("injection_detected", detected).drop("pattern"),
-                        passed, epoch)
-        finally:
-            hits.unpersist()
-            batch.unpersist()
-
-    return each_batch(messages, checkpoint, handle, every=every)
+    return each_batch(messages, checkpoint, lambda batch, epoch: screen_batch(
+        batch, epoch, passed, log, action, roles, extra), every=every)
 
 
 def metric_windows(log: DataFrame, width: str = "10 minutes", slide: str | None = "1 minute",
