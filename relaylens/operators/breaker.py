@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from relaylens.functions import clock
+from relaylens.operators import passages
 from relaylens.operators.slices import Fold, run_fold, sorted_slices
 
 CLOSED, OPEN, HALF_OPEN = "closed", "open", "half_open"
@@ -99,13 +100,32 @@ class BreakerFold(Fold):
     def joined(self, core, offset: int):
         return core if core[0] == CLOSED else [core[0], offset, *core[1:]]
 
-    def advance(self, state, rows: pd.DataFrame, emit: bool):
-        ts = rows["ts_us"].to_numpy()
+    def passage(self):
+        return passages.Passage()
+
+    def extend(self, passage, rows: pd.DataFrame) -> None:
+        passage.extend(passages.Batch(*self._inputs(rows)))
+
+    def address(self, state) -> tuple[int, int]:
+        number = state[2] if state[0] == OPEN else -state[-1]
+        return int(np.flatnonzero(_NAMES == state[0])[0]), number
+
+    def landed(self, state, code: int, val: int, fixed: bool, off: int):
+        offset = off + (0 if fixed else self.split(state)[1])
+        if code == passages.AS_ENTERED:
+            return state if state[0] == OPEN else [*state[:-1], state[-1] + val]
+        return [CLOSED, val] if code == passages.CLOSED else [str(_NAMES[code]), offset, val]
+
+    @staticmethod
+    def _inputs(rows: pd.DataFrame) -> tuple:
         reset = rows["reset"].to_numpy(dtype=bool)
-        ok = rows["ok"].to_numpy(dtype=bool) & ~reset
-        threshold = max(int(rows["failure_threshold"].iloc[0]), 1)
-        recovery = int(rows["recovery_timeout"].iloc[0]) * 1_000_000
-        needed = int(rows["success_threshold"].iloc[0])
+        return (rows["ts_us"].to_numpy(), rows["ok"].to_numpy(dtype=bool) & ~reset, reset,
+                max(int(rows["failure_threshold"].iloc[0]), 1),
+                int(rows["recovery_timeout"].iloc[0]) * 1_000_000,
+                max(int(rows["success_threshold"].iloc[0]), 1))
+
+    def advance(self, state, rows: pd.DataFrame, emit: bool):
+        ts, ok, reset, threshold, recovery, needed = self._inputs(rows)
         n = len(ts)
         place = np.arange(n)
         breaks = np.flatnonzero(ok | reset)                  # rows that end a failure run
@@ -128,9 +148,9 @@ class BreakerFold(Fold):
             kind = state[0]
             if kind == CLOSED:
                 count = state[1]
-                pause = upcoming(breaks, i)
-                if pause - i >= threshold - count:           # the run at hand suffices
-                    trip = i + max(threshold - count, 1) - 1
+                pause, more = upcoming(breaks, i), max(threshold - count, 1)
+                if pause - i >= more:                        # the run at hand suffices
+                    trip = i + more - 1
                 else:
                     trip = upcoming(trips, pause)
                 stop = min(trip + 1, n)

@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,24 +125,67 @@ def test_a_null_module_is_a_module(spark, monkeypatch):
             spark.conf.unset(size)
 
 
-def test_a_dead_module_needs_few_passes(spark, monkeypatch):
-    """Twelve slices of a module that never recovers: passes do not grow with the slices."""
-    rows = [(i, "dead", START + timedelta(seconds=i), False, False, 3, 10, 2) for i in range(1200)]
+@pytest.mark.parametrize("seed", range(60))
+def test_a_passage_maps_every_entry_state_as_the_fold_does(seed):
+    rng = random.Random(seed)
+    threshold, recovery, needed = rng.randint(1, 6), rng.choice([0, 3, 17, 90]), rng.randint(1, 4)
+    n, rate = rng.randint(1, 70), rng.choice([0.0, 0.2, 0.6, 0.95, 1.0])
+    ts, now = [], 1_000_000_000
+    for _ in range(n):
+        now += rng.choice([0, 1, 1, 2, 9]) * 1_000_000
+        ts.append(now)
+    rows = pd.DataFrame({
+        "event_id": range(n), "module_name": "m", "ts_us": ts,
+        "ok": [rng.random() > rate for _ in ts],
+        "reset": [rng.random() < rng.choice([0, 0.04]) for _ in ts],
+        "failure_threshold": threshold, "recovery_timeout": recovery,
+        "success_threshold": needed})
+    fold = breaker.BreakerFold()
+    passage, at = fold.passage(), 0
+    while at < n:
+        size = rng.choice([1, 2, 7, 40])
+        fold.extend(passage, rows.iloc[at:at + size])
+        at += size
+    pieces = passage.pieces()
+    states = ([["closed", c] for c in range(threshold)]
+              + [["half_open", f, g] for f in (1, 9) for g in range(needed)]
+              + [["open", 4, ts[0] - back * 500_000] for back in range(2 * recovery + 3)])
+    for state in states:
+        kind, number = fold.address(state)
+        piece = pieces[(pieces["kind"] == kind) & (pieces["upto"] >= number)].nsmallest(
+            1, "upto").iloc[0]
+        got = fold.landed(state, *[piece[c].item() for c in ("code", "val", "fixed", "off")])
+        assert got == fold.advance(state, rows, False)[0], state
+
+
+def test_a_threshold_lowered_below_the_stored_failures():
+    rows = pd.DataFrame({"event_id": [0, 1], "module_name": "m", "ts_us": [0, 1],
+                         "ok": [True, False], "reset": False, "failure_threshold": 3,
+                         "recovery_timeout": 60, "success_threshold": 1})
+    fold = breaker.BreakerFold()
+    assert fold.advance(["closed", 7], rows, False)[0] == ["closed", 1]
+    assert fold.advance(["closed", 7], rows.iloc[1:], False)[0] == ["open", 8, 1]
+
+
+@pytest.mark.parametrize("few", [1_000, 0])
+@pytest.mark.parametrize("step,recovery,failing", [(1, 10, 1.0), (1, 37, 1.0), (2, 7, 0.8)])
+def test_two_scans_whatever_the_data(spark, monkeypatch, step, recovery, failing, few):
+    """Slices of a module that never recovers enter in states that no slice can guess."""
+    rng = random.Random(5)
+    rows = [(i, "dead", START + timedelta(seconds=step * i), rng.random() > failing, False, 3,
+             recovery, 2) for i in range(1210)]
     expected, _ = model(rows)
-    passes = []
-    plain = slices_module._mapper
-
-    def counted(fold, entries, emit):
-        passes.append(emit)
-        return plain(fold, entries, emit)
-
-    monkeypatch.setattr(slices_module, "_mapper", counted)
-    for n in (4, 12):
-        passes.clear()
+    scans = []
+    for name in ("_mapper", "_reporter"):
+        plain = getattr(slices_module, name)
+        monkeypatch.setattr(slices_module, name, lambda *a, f=plain: scans.append(a) or f(*a))
+    monkeypatch.setattr(slices_module, "FEW_PIECES", few)
+    for n in (4, 13):
+        scans.clear()
         replayed = breaker.replay(spark.createDataFrame(rows, SCHEMA), n)
         got = {(r.event_id, r.reset): (r.state_before, r.admitted, r.state_after, r.failure_count)
                for r in replayed.collect()}
-        assert got == expected and len(passes) <= 5
+        assert got == expected and len(scans) == 2
 
 
 def test_blocked_periods_against_the_model(spark):
