@@ -49,13 +49,17 @@ def assess_models(log: DataFrame, pool: DataFrame, as_of, hours: float = 24,
     """
     window = log.filter((F.col("ts") > clock.shifted(as_of, hours=-hours))
                         & (F.col("ts") <= clock.instant(as_of)))
-    measured = window.groupBy(F.col("target_model").alias("candidate_model")).agg(
+    return rated(pool, window.groupBy(F.col("target_model").alias("candidate_model")).agg(
         F.count(F.lit(1)).alias("_total"), F.count_if("success").alias("_good"),
-        F.avg("response_time_ms").alias("_ms"))
-    rated = model_costs(pool.join(measured, "candidate_model", "left"), prices)
+        F.avg("response_time_ms").alias("_ms")), prices)
+
+
+def rated(pool: DataFrame, measured: DataFrame, prices: DataFrame | None = None) -> DataFrame:
+    """Scores from the calls, successes and mean latency of each candidate."""
+    costed = model_costs(pool.join(measured, "candidate_model", "left"), prices)
     score = _score(F.col("scoring_metric"), F.col("_good") / F.col("_total"), F.col("_ms"),
                    F.col("cost"))
-    return (rated.withColumn("score", F.when(F.col("_total").isNull(), F.lit(NEUTRAL_SCORE))
+    return (costed.withColumn("score", F.when(F.col("_total").isNull(), F.lit(NEUTRAL_SCORE))
                              .otherwise(score))
             .drop("_total", "_good", "_ms", "cost"))
 
@@ -84,9 +88,12 @@ def rule_pools(rules: DataFrame, module: str = "quality") -> DataFrame:
         F.posexplode(models).alias("pos", "candidate_model"))
 
 
-def assess_rules(rules: DataFrame, log: DataFrame, as_of, module: str = "quality") -> DataFrame:
+def assess_rules(rules: DataFrame, log: DataFrame, as_of, module: str = "quality",
+                 measured: DataFrame | None = None) -> DataFrame:
     """Scores of all candidates of all rules, by the engine each rule names.
 
+    With ``measured`` the bundled engine takes the window's figures from there, not from the log.
+
     An unknown engine falls back to the bundled one; rules of an engine that needs live
     inference are left out. The set of engines is fixed when the plan is built.
     """
@@ -100,15 +107,17 @@ def assess_rules(rules: DataFrame, log: DataFrame, as_of, module: str = "quality
         by_function.setdefault(judge, []).append(name)
     scored = None
     for judge, names in by_function.items():
-        part = judge(log, pool.filter(F.col("judge_engine").isin(*names)), as_of)
+        own = pool.filter(F.col("judge_engine").isin(*names))
+        kept = measured is not None and judge is assess_models
+        part = rated(own, measured) if kept else judge(log, own, as_of)
         scored = part if scored is None else scored.unionByName(part)
     return scored
 
 
 def assessment_cycle(rules: DataFrame, log: DataFrame, weights: DataFrame, as_of,
-                     module: str = "quality") -> DataFrame:
+                     module: str = "quality", measured: DataFrame | None = None) -> DataFrame:
     """The weight table after one assessment of every rule."""
-    fresh = (assess_rules(rules, log, as_of, module)
+    fresh = (assess_rules(rules, log, as_of, module, measured)
              .select("rule_model_name", "candidate_model", "score", "pos")
              .withColumn("last_assessed_at", clock.instant(as_of)))
     return update_weights(weights, fresh, ["pos"])

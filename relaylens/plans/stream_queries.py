@@ -14,7 +14,8 @@ from relaylens.plans.views import AS_OF, duckdb_mask, duckdb_scan
 from relaylens.session import scratch_path
 from relaylens.sources import schemas
 from relaylens.sources.state_table import StateTable
-from relaylens.streaming import breakers, chunks, cooldowns, jobs, requests, sinks
+from relaylens.streaming import (assessments, breakers, chunks, cooldowns, jobs, requests,
+                                 sinks)
 
 _BREAKER = """
     WITH RECURSIVE calls AS (
@@ -412,13 +413,34 @@ _NEWEST = "(SELECT MAX(ts) FROM {routing_log})"
         quality_sql(m, f"{_NEWEST} - INTERVAL 1 DAY", _NEWEST) for m in METRICS)}) q
       USING (candidate_model, scoring_metric)""")
 def stream_assess(t):
-    weights = StateTable(t.spark, scratch_path(t.spark, "weights"), schemas.QUALITY_WEIGHTS)
-    sinks.drain(jobs.assess_schedule(
-        t.live.routing_log, lambda: t.routing_log, lambda: t.routing_rules, weights,
+    recent, weights = _assessed(t)
+    sinks.drain(assessments.assess_schedule(
+        t.live.routing_log, recent, lambda: t.routing_rules, weights,
         scratch_path(t.spark, "assess-progress"), every=None))
     return weights.read().withColumn("score", F.round("score", 6))
 
 
+def _assessed(t):
+    return (assessments.RecentLog(t.spark, scratch_path(t.spark, "recent"), schemas.ROUTING_LOG),
+            StateTable(t.spark, scratch_path(t.spark, "weights"), schemas.QUALITY_WEIGHTS))
+
+
+@query("stream_assess_late", f"""
+    SELECT p.rule_model_name, p.candidate_model, q.score, {_NEWEST} AS last_assessed_at,
+           {LATE_PARTS} AS assessment_count
+    FROM {{rule_pools}} p JOIN ({' UNION ALL '.join(
+        quality_sql(m, f"{_NEWEST} - INTERVAL 1 DAY", _NEWEST) for m in METRICS)}) q
+      USING (candidate_model, scoring_metric)""")
+def stream_assess_late(t):
+    """A cycle for each of three parts of the log, whose last day comes partly late; the last
+    part holds the newest row."""
+    recent, weights = _assessed(t)
+    progress = scratch_path(t.spark, "assess-progress")
+    _late_parts(t, t.routing_log, lambda live: sinks.drain(assessments.assess_schedule(
+        live, recent, lambda: t.routing_rules, weights, progress, every=None)))
+    return weights.read().withColumn("score", F.round("score", 6))
+
+
 @query("stream_restore", f"""
     SELECT request_id, MD5(text) AS digest, LENGTH(text) AS n_chars FROM (
       SELECT s.request_id, array_to_string(list_transform(range(1, len(g) + 1), lambda i: g[i]

@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from relaylens.functions import clock
-from relaylens.operators import breaker, injection, pii, quality, state
+from relaylens.operators import breaker, injection, pii, state
 from relaylens.functions.text import extract_texts, role_list
 from relaylens.sources import schemas
 from relaylens.sources.keyed_table import BUCKETS, KeyedTable
@@ -179,26 +178,3 @@ def cooldown_stream(errors: DataFrame, cooldowns: StateTable, checkpoint: str, h
             {"cooldown_until": state.GREATEST}, ["cooldown_until"]), version=version)
 
     return each_batch(live, checkpoint, handle, mode="update", every=every)
-
-
-def assess_schedule(log: DataFrame, history, rules, weights: StateTable,
-                    checkpoint: str, module: str = "quality",
-                    every: str | None = "60 seconds") -> DataStreamWriter:
-    """An assessment cycle whenever new log rows arrive, as of the newest of them.
-
-    ``history`` and ``rules`` are frames, or functions that every cycle calls to read the tables
-    as they are by then; a frame would keep the files it was listed with.
-    """
-    def fresh(table):
-        return table() if callable(table) else table
-
-    def handle(batch: DataFrame, epoch: int) -> None:
-        last = batch.agg(F.max(F.col("ts").cast("timestamp_ntz")).alias("ts")).first().ts
-        if last is None:
-            return
-        version = weights.version_of(batch, epoch)
-        weights.commit(quality.assessment_cycle(
-            fresh(rules), fresh(history), weights.read(before=version), clock.instant(last),
-            module), version=version)
-
-    return each_batch(log, checkpoint, handle, every=every)
