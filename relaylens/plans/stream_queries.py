@@ -15,7 +15,7 @@ from relaylens.session import scratch_path
 from relaylens.sources import schemas
 from relaylens.sources.state_table import StateTable
 from relaylens.streaming import (assessments, breakers, chunks, cooldowns, jobs, requests,
-                                 sinks)
+                                 rollups, sinks)
 
 _BREAKER = """
     WITH RECURSIVE calls AS (
@@ -372,6 +372,33 @@ def stream_breaker_recovered(t):
         "module_name", "ts")
 
 
+@query("stream_metrics_sizes", f"""
+    SELECT CAST(w AS INTEGER) AS minutes, start AS window_start, module_name,
+           COUNT(*) AS total_requests, COUNT(*) FILTER (success) AS successful_requests,
+           ROUND(AVG(response_time_ms), 4) AS avg_response_time_ms,
+           MIN(response_time_ms) AS min_response_time_ms,
+           MAX(response_time_ms) AS max_response_time_ms
+    FROM ({' UNION ALL '.join(f"""
+      SELECT {width} AS w, time_bucket(INTERVAL {slide} MINUTE, ts)
+               - INTERVAL {slide} MINUTE * UNNEST(range({width // slide})) AS start, *
+      FROM {{routing_log}}""" for width, slide in rollups.WINDOWS)}) x
+    WHERE start + INTERVAL 1 MINUTE * w <= (
+      SELECT MAX(time_bucket(INTERVAL 1 MINUTE, ts) + INTERVAL 1 MINUTE) FROM {{routing_log}}
+      WHERE time_bucket(INTERVAL 1 MINUTE, ts) + INTERVAL 1 MINUTE
+         <= (SELECT MAX(ts) - INTERVAL 10 MINUTE FROM {{routing_log}}))
+    GROUP BY 1, 2, 3""")
+def stream_metrics_sizes(t):
+    """Windows of all sizes over the log in three parts, up to ten minutes late."""
+    out, progress = _paths(t, "sizes")
+    kept = StateTable(t.spark, scratch_path(t.spark, "panes"), rollups.PANES)
+    _late_parts(t, t.routing_log, lambda live: sinks.drain(rollups.rollup_stream(
+        live, kept, out, progress)))
+    return sinks.read_output(t.spark, out, rollups.OUT).select(
+        "minutes", "window_start", "module_name", "total_requests", "successful_requests",
+        F.round("avg_response_time_ms", 4).alias("avg_response_time_ms"), "min_response_time_ms",
+        "max_response_time_ms")
+
+
 @query("stream_cooldown", """
     SELECT model_key, MAX(CASE WHEN EXTRACT(HOUR FROM ts) < 6
              THEN CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 6 HOUR
