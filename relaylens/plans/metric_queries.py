@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from relaylens.operators import metrics
+from relaylens.operators import latency, metrics
 from relaylens.plans.registry import query
 from relaylens.session import scratch_path
 from relaylens.sources import tables
@@ -240,6 +240,22 @@ def latency_p95(t):
                    "avg_latency_ms", "p95_latency_ms")
 
 
+@query("latency_p95_stored", f"""
+    SELECT module_name, COUNT(*) AS total_requests,
+           COUNT(*) FILTER (success) AS successful_requests,
+           COUNT(*) FILTER (NOT success) AS failed_requests,
+           ROUND(AVG(response_time_ms), 4) AS avg_latency_ms,
+           ROUND(QUANTILE_CONT(response_time_ms, 0.95), 4) AS p95_latency_ms,
+           MAX(response_time_ms) AS max_latency_ms
+    FROM {{routing_log}} WHERE {_IN_WEEK} GROUP BY module_name""")
+def latency_p95_stored(t):
+    """``latency_p95`` from the sketches of all days."""
+    path = scratch_path(t.spark, "latency")
+    latency.store_days(t.routing_log, path)
+    return rounded(latency.stored_latency_table(t.spark, path, NOON, WEEK),
+                   "avg_latency_ms", "p95_latency_ms")
+
+
 @query("ops_tiles", """
     SELECT requests_1h, ROUND(success_rate, 4) AS success_rate,
            ROUND(avg_latency_ms, 4) AS avg_latency_ms, active_cooldowns,
