@@ -10,6 +10,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -88,8 +89,66 @@ def flush(tail: str, upcoming: int, early: list[tuple]) -> list[tuple[int, str,
     return out
 
 
+BLOCK = 1024  # so many places of chunks that came too early are one value of the state
+_EARLY = pa.schema([("seq", pa.int64()), ("delta", pa.string()), ("finish", pa.string())])
+
+
+def _text(value):
+    return value if isinstance(value, str) else None
+
+
+def _packed(early: dict) -> bytes:
+    columns = [list(early), [_text(d) for d, _ in early.values()],
+               [_text(f) for _, f in early.values()]]
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _EARLY) as out:
+        out.write_table(pa.table(columns, schema=_EARLY))
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(blob: bytes) -> list[tuple]:
+    table = pa.ipc.open_stream(blob).read_all()
+    return list(zip(*(column.to_pylist() for column in table.columns)))
+
+
+class _Early:
+    """The early chunks of one response during one call: a block is read when it is first needed,
+    and written once, at the end, if it has changed."""
+
+    def __init__(self, state):
+        self.state, self.blocks, self.stored, self.changed = state, {}, set(), set()
+
+    def _block(self, seq: int) -> dict:
+        number = seq // BLOCK
+        if number not in self.blocks:
+            found = self.state.containsKey((number,))
+            self.blocks[number] = {s: (d, f) for s, d, f in _unpacked(
+                self.state.getValue((number,))[0])} if found else {}
+            if found:
+                self.stored.add(number)
+        return self.blocks[number]
+
+    def put(self, seq: int, delta, finish) -> None:
+        self._block(seq)[seq] = (delta, finish)
+        self.changed.add(seq // BLOCK)
+
+    def pop(self, seq: int) -> tuple | None:
+        chunk = self._block(seq).pop(seq, None)
+        if chunk is not None:
+            self.changed.add(seq // BLOCK)
+        return chunk
+
+    def write(self) -> None:
+        for number in sorted(self.changed):
+            if self.blocks[number]:
+                self.state.updateValue((number,), (_packed(self.blocks[number]),))
+            elif number in self.stored:
+                self.state.removeKey((number,))
+
+
 class _ChunkProcessor(StatefulProcessor):
-    """Holds per request the tail, the next expected chunk, and chunks that came too early.
+    """Holds per request the tail, the next expected chunk, and chunks that came too early, packed
+    by blocks of their numbers: a call to the state store costs more than many chunks.
 
     A finished response leaves a mark, so that repeated chunks are not sent again; with a limit
     on idle time the mark goes after it, and unfinished responses are flushed after it.
@@ -101,7 +160,7 @@ class _ChunkProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.progress = handle.getValueState("progress", "tail STRING, next BIGINT")
-        self.early = handle.getMapState("early", "seq BIGINT", "delta STRING, finish STRING")
+        self.early = handle.getMapState("early", "block BIGINT", "rows BINARY")
 
     def _rows(self, key, out: list) -> pd.DataFrame:
         return pd.DataFrame({"request_id": [key[0]] * len(out), "seq": [r[0] for r in out],
@@ -114,6 +173,7 @@ class _ChunkProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         stored = self.progress.get()
         tail, upcoming = stored if stored is not None else ("", 0)
+        early = _Early(self.early)
         for batch in rows:
             out = []
             ordered = batch.sort_values("seq")
@@ -122,7 +182,7 @@ class _ChunkProcessor(StatefulProcessor):
                 if upcoming == FINISHED or seq < upcoming:
                     continue  # a repeated chunk
                 if seq > upcoming:
-                    self.early.updateValue((seq,), (delta, finish))
+                    early.put(seq, delta, finish)
                     continue
                 while True:
                     safe, tail = _feed(tail, delta, finish)
@@ -131,14 +191,16 @@ class _ChunkProcessor(StatefulProcessor):
                         tail, upcoming = "", FINISHED
                         break
                     upcoming += 1
-                    if not self.early.containsKey((upcoming,)):
+                    chunk = early.pop(upcoming)
+                    if chunk is None:
                         break
-                    delta, finish = self.early.getValue((upcoming,))
-                    self.early.removeKey((upcoming,))
+                    delta, finish = chunk
             if out:
                 yield self._rows(key, out)
         if upcoming == FINISHED:
             self.early.clear()
+        else:
+            early.write()
         self.progress.update((tail, upcoming))
         if self.idle_ms is not None:
             self._clear_timers()
@@ -149,7 +211,7 @@ class _ChunkProcessor(StatefulProcessor):
         """A response that never finished: what was held goes out, then its state ends."""
         stored = self.progress.get()
         if stored is not None and stored[1] != FINISHED:
-            early = [(k[0], *v) for k, v in self.early.iterator()]
+            early = [chunk for value in self.early.values() for chunk in _unpacked(value[0])]
             out = flush(stored[0], stored[1], early)
             if out:
                 yield self._rows(key, out)
@@ -189,10 +251,9 @@ def left_over(spark: SparkSession, checkpoint: str) -> DataFrame:
 
     held = part("progress").select(F.col("key.request_id").alias("request_id"), "value.*").filter(
         F.col("next") != FINISHED)
-    early = part("early").select(F.col("key.request_id").alias("request_id"), F.struct(
-        F.col("user_map_key.seq").alias("seq"), F.col("user_map_value.delta").alias("delta"),
-        F.col("user_map_value.finish").alias("finish")).alias("chunk"))
-    both = held.join(early.groupBy("request_id").agg(F.collect_list("chunk").alias("early")),
+    early = part("early").select(F.col("key.request_id").alias("request_id"),
+                                 F.col("user_map_value.rows").alias("block"))
+    both = held.join(early.groupBy("request_id").agg(F.collect_list("block").alias("early")),
                      "request_id", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,8 +261,8 @@ def left_over(spark: SparkSession, checkpoint: str) -> DataFrame:
             out = [(request, *row) for request, tail, upcoming, early_ in zip(
                 rows["request_id"], rows["tail"], rows["next"], rows["early"])
                 for row in flush(tail or "", int(upcoming), [
-                    (c["seq"], c["delta"], c["finish"])
-                    for c in (early_ if early_ is not None else [])])]
+                    chunk for block in (early_ if early_ is not None else [])
+                    for chunk in _unpacked(block)])]
             yield pd.DataFrame(out, columns=RELEASED.fieldNames())
 
     return both.select("request_id", "tail", "next", "early").mapInPandas(run, RELEASED)
