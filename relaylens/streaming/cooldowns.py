@@ -10,8 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from relaylens.functions import clock
@@ -26,12 +25,14 @@ CHANGES = "model_key STRING, change STRING, until_us BIGINT"
 
 
 class _CooldownProcessor(StatefulProcessor):
+    """Takes plain rows: a key has few of them, and a frame for each would cost more than its state."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.until = handle.getValueState("until", "until_us BIGINT")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        until = max((int(batch["until_us"].max()) for batch in rows if len(batch)), default=None)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues):
+        until = max((row["until_us"] for row in rows if row["until_us"] is not None), default=None)
         stored = self.until.get()
         if until is not None and (stored is None or until > stored[0]):
             self.until.update((until,))
@@ -44,8 +45,8 @@ class _CooldownProcessor(StatefulProcessor):
             self.until.clear()
             yield self._row(key, LIFTED, stored[0])
 
-    def _row(self, key, change: str, until: int) -> pd.DataFrame:
-        return pd.DataFrame({"model_key": [key[0]], "change": [change], "until_us": [until]})
+    def _row(self, key, change: str, until: int) -> Row:
+        return Row(model_key=key[0], change=change, until_us=until)
 
     def close(self) -> None:
         pass
@@ -62,7 +63,7 @@ def live_cooldowns(errors: DataFrame, settings: DataFrame,
     timed = event_time(known.withColumn("until_us", F.unix_micros(until.cast("timestamp"))),
                        delay=delay)
     changes = timed.select("model_key", "ts", "until_us").groupBy(
-        "model_key").transformWithStateInPandas(
+        "model_key").transformWithState(
         statefulProcessor=_CooldownProcessor(), outputStructType=CHANGES, outputMode="Append",
         timeMode="EventTime")
     return changes.select("model_key", "change", F.timestamp_micros("until_us").cast(
