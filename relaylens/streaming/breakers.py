@@ -1,7 +1,7 @@
 """Live circuit breakers over events that arrive out of order.
 
 Per module the state store holds the machine and a reorder buffer: the events of each span of time
-(a minute by default) that is not over yet, as one packed value. A span is over once the watermark has
+(a minute by default) that is not over yet, as packed pieces that are written once. A span is over once the watermark has
 passed its end; a timer fires at the end of the first one, and the spans of the module that are over
 are folded in order of time and id by the fold of the batch replay. So events that come up to ``delay`` late give what a replay of the whole
 log gives; later ones are dropped before they reach the state, and ``sinks.DroppedRows`` counts them.
@@ -10,7 +10,7 @@ An opened breaker sets a second timer at the end of its recovery time. The row t
 (``kind`` is ``recovered``) tells from when calls are admitted again, whether or not one comes.
 
 A module's events pass one task a batch, ``delay`` of them at most between two timers; buffers are read
-and written span by span. ``jobs.breaker_stream`` replays logs that arrive in order, and
+and written span by span; the rows of a span go out before the next one is read. ``jobs.breaker_stream`` replays logs that arrive in order, and
 deals a hot module over many tasks.
 """
 
@@ -37,6 +37,7 @@ OUT = ("kind STRING, event_id BIGINT, module_name STRING, ts TIMESTAMP_NTZ, stat
 OUT_US = OUT.replace("ts TIMESTAMP_NTZ", "ts_us BIGINT").replace(
     "last_failure_at TIMESTAMP_NTZ", "last_failure_us BIGINT")
 COLUMNS = [c.split()[0] for c in OUT_US.split(", ")]
+PIECE_ROWS = 500_000  # a task gathers so many events of a module before it writes a piece a span
 
 
 def packed(rows: pd.DataFrame) -> bytes:
@@ -73,21 +74,35 @@ class _BreakerProcessor(StatefulProcessor):
         self.fold = breaker.BreakerFold()
         self.machine = handle.getValueState(
             "machine", "kind STRING, failures BIGINT, last BIGINT, pending BIGINT")
-        self.buffer = handle.getMapState("buffer", "span BIGINT", "rows BINARY")
+        self.buffer = handle.getMapState("buffer", "span BIGINT, piece BIGINT", "rows BINARY")
+        self.pieces = handle.getValueState("pieces", "next BIGINT")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        first = None
+        first, gathered, n = None, [], 0
+        piece = (self.pieces.get() or (0,))[0]
         for batch in rows:
-            for span, part in batch.groupby(batch["ts_us"] // self.span_us):
-                span = int(span)
-                if self.buffer.containsKey((span,)):
-                    part = pd.concat([unpacked(self.buffer.getValue((span,))[0]), part[HELD]])
-                self.buffer.updateValue((span,), (packed(part),))
-                first = span if first is None else min(first, span)
+            gathered.append(batch[HELD])
+            n += len(batch)
+            if n >= PIECE_ROWS:
+                first = self._write(gathered, piece, first)
+                gathered, n, piece = [], 0, piece + 1
+        if n:
+            first = self._write(gathered, piece, first)
+            piece += 1
+        self.pieces.update((piece,))
         if first is not None:
             self._wake_after(first)
         return iter(())
 
+    def _write(self, gathered: list[pd.DataFrame], piece: int, first: int | None) -> int | None:
+        """A piece for each span of the rows; the earliest span so far."""
+        rows = pd.concat(gathered)
+        for span, part in rows.groupby(rows["ts_us"] // self.span_us):
+            span = int(span)
+            self.buffer.updateValue((span, piece), (packed(part),))
+            first = span if first is None else min(first, span)
+        return first
+
     def _wake_after(self, span: int) -> None:
         self.handle.registerTimer((span + 1) * self.span_us // 1000)
 
@@ -95,33 +110,37 @@ class _BreakerProcessor(StatefulProcessor):
         now = timerValues.getCurrentWatermarkInMs() * 1000
         kind, failures, last, pending = self.machine.get() or (breaker.CLOSED, 0, None, None)
         state = [kind, failures] + ([] if kind == breaker.CLOSED else [last])
-        waited, out = pending, []
-        for span in sorted(k[0] for k in self.buffer.keys()):
+        waited, pieces = pending, {}
+        for span, piece in sorted(self.buffer.keys()):
+            pieces.setdefault(span, []).append(piece)
+        for span in sorted(pieces):
             if (span + 1) * self.span_us > now:
                 self._wake_after(span)  # the others wait for this one
                 break
-            rows = unpacked(self.buffer.getValue((span,))[0])
+            rows = pd.concat([unpacked(self.buffer.getValue((span, piece))[0])
+                              for piece in pieces[span]])
             rows = rows.assign(rank=~rows["reset"].astype(bool), module_name=key[0]).sort_values(
                 ["ts_us", "event_id", "rank"], kind="stable", ignore_index=True)
             state, replayed = self.fold.advance(state, rows, True)
             ends, pending = recoveries(
                 replayed, int(rows["recovery_timeout"].iloc[0]) * 1_000_000, pending)
-            out += [replayed.assign(kind=CALL), self._recovered(key, ends)]
-            self.buffer.removeKey((span,))
+            yield replayed.assign(kind=CALL).reindex(columns=COLUMNS)
+            if ends:
+                yield self._recovered(key, ends)
+            for piece in pieces[span]:
+                self.buffer.removeKey((span, piece))
         if pending is not None and pending <= now:
-            out.append(self._recovered(key, [pending]))
+            yield self._recovered(key, [pending])
             pending = None
         if pending is not None and pending != waited:
             self.handle.registerTimer(-(-pending // 1000))
         kind, failures, *rest = state
         self.machine.update((kind, failures, rest[0] if rest else None, pending))
-        for rows in out:
-            if len(rows):
-                yield rows.reindex(columns=COLUMNS)
 
     def _recovered(self, key, ends: list[int]) -> pd.DataFrame:
         return pd.DataFrame({"kind": RECOVERED, "module_name": key[0], "ts_us": ends,
-                             "state_before": breaker.OPEN, "state_after": breaker.HALF_OPEN})
+                             "state_before": breaker.OPEN, "state_after": breaker.HALF_OPEN}
+                            ).reindex(columns=COLUMNS)
 
     def close(self) -> None:
         pass
