@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from relaylens.llm.common import fresh, written
+from relaylens.llm.common import fresh, sent, written
 
 WINDOW = 13
 SET_LIMIT = 20_000  # hashes in the set: 160 kB
@@ -193,6 +193,8 @@ def cleaned(docs: DataFrame, items: DataFrame, remove: str = "documents", **opti
         "contaminated" if remove == "documents" else "n_hit > 0").select(
         F.col("doc_id").alias("id"), F.col("digest").alias("d"), "spans").dropDuplicates(
         ["id", "d"])
+    if remove == "documents":  # whole texts need no shuffle for a list of ids
+        found = sent(written(found.drop("spans"), "contaminated"))
     digest = F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary"))
     same = docs["doc_id"].eqNullSafe(found["id"]) & (digest == found["d"])
     if remove == "documents":

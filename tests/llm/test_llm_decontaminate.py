@@ -1,4 +1,5 @@
 import re
+import sys
 
 import pytest
 
@@ -75,3 +76,23 @@ def test_main_path_is_native(tables):
     docs, frame, _ = tables
     plan = D.judged(docs, frame)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_whole_texts_are_not_shuffled(spark, tables):
+    """Whatever Spark's own threshold says, and with the same rows where the list is too long."""
+    docs, items = tables[:2]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = D.cleaned(docs, items)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        common = sys.modules[D.sent.__module__]
+        limit, common.SENT = common.SENT, 0
+        try:
+            assert llm_rows.rows_of(D.cleaned(docs, items), "doc_id", "text") == llm_rows.rows_of(
+                kept, "doc_id", "text")
+        finally:
+            common.SENT = limit
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
